@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assaykit.llm import decontaminate, exact_dedup, near_dedup
+from assaykit.llm import decontaminate, exact_dedup, langid, mixing, near_dedup
 from assaykit.llm.exchange import materialise
 
 
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_identified(docs)
+
+
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_duplicates(docs)
 
@@ -20,8 +24,13 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("exact_dedup", without_copies), ("near_dedup", without_near_copies), ("decontaminate", without_benchmark)]
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.keep_mixture(docs)
+
+
+STAGES = [("language_id", identified), ("exact_dedup", without_copies), ("near_dedup", without_near_copies), ("decontaminate", without_benchmark), ("mixing", mixed)]
 
+#: The classifier and the random draw have no SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
