@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import is_blank
+from .text import is_blank, let
 
 TEXT_KEYS = tuple("prompt completion input output chosen rejected text label instruction response question answer".split())
 PRIMARY_KEYS = ("prompt", "input", "instruction", "question", "text", "messages_joined")
@@ -149,11 +149,14 @@ def describe_line(raw: str) -> tuple:
 
 def primary_text(fields: Column) -> Column:
     """The first of the leading fields that isn't blank; else all fields' texts."""
-    out = F.array_join(F.transform(fields, lambda f: f["value"]), "\n")
-    for key in reversed(PRIMARY_KEYS):
-        own = F.filter(fields, lambda f: f["name"] == key)  # noqa: B023
-        out = F.when((F.size(own) > 0) & ~is_blank(F.get(own, F.lit(0))["value"]), F.get(own, F.lit(0))["value"]).otherwise(out)
-    return out
+    names = F.array(*map(F.lit, PRIMARY_KEYS))
+
+    def first(f: Column) -> Column:
+        leading = F.filter(f, lambda x: x["name"].isin(*PRIMARY_KEYS) & ~is_blank(x["value"]))
+        found = F.get(F.sort_array(F.transform(leading, lambda x: F.struct(F.array_position(names, x["name"]).alias("at"), x["value"].alias("value")))), F.lit(0))["value"]
+        return F.coalesce(found, F.array_join(F.transform(f, lambda x: x["value"]), "\n"))
+
+    return let(fields, first)
 
 
 def bundle(fields: Column, canonical: Column) -> Column:

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 WS = r"(?U:[\s\x1c-\x1f])"
 
 
+def let(value: Column, f) -> Column:
+    """f of value, which is computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
@@ -29,8 +34,25 @@ def words(c: Column) -> Column:
 
 def shingles(tokens: Column, n: int = 5) -> Column:
     """Distinct runs of n words; the distinct words if there are fewer."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.array_distinct(F.when(F.size(tokens) >= n, runs).otherwise(tokens))
+
+    def runs(t: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.array_distinct(F.when(F.size(t) >= n, each).otherwise(t))
+
+    return let(tokens, runs)
+
+
+def shingle_hashes(tokens: Column, n: int = 5) -> Column:
+    """Sorted distinct 64-bit hashes of the same runs, in time linear in the words."""
+
+    def runs(h: Column) -> Column:
+        size = F.size(h) - (n - 1)
+        out = F.slice(h, F.lit(1), F.greatest(size, F.lit(0)))
+        for i in range(1, n):
+            out = F.zip_with(out, F.slice(h, F.lit(i + 1), F.greatest(size, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+        return F.sort_array(F.array_distinct(F.when(F.size(h) >= n, out).otherwise(h)))
+
+    return let(F.transform(tokens, lambda t: F.xxhash64(t)), runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -53,8 +75,7 @@ def estimated_tokens(c: Column) -> Column:
 
 def luhn_ok(c: Column) -> Column:
     """13 to 19 digits, whatever lies between them, with a valid check digit."""
-    digits = F.regexp_replace(c, r"(?U)\D", "")
-    return F.length(digits).between(13, 19) & F.call_function("luhn_check", digits)
+    return let(F.regexp_replace(c, r"(?U)\D", ""), lambda d: F.length(d).between(13, 19) & F.call_function("luhn_check", d))
 
 
 def occurrences(c: Column, literal: str) -> Column:

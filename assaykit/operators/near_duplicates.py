@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import primary_text
-from ..functions.text import shingles, words
+from ..functions.text import shingle_hashes, words
 from .components import connected_components
 from .shared import ensure_checkpoints
 
@@ -21,8 +21,7 @@ SHINGLE = 5
 
 def with_sets(records: DataFrame, keys: list[str]) -> DataFrame:
     """keys and set: the sorted hashes of the record's shingles. Blank and unreadable rows have empty sets and stay."""
-    tokens = records.select(*keys, words(primary_text(F.col("fields"))).alias("tokens"))
-    return tokens.select(*keys, F.sort_array(F.transform(shingles(F.col("tokens"), SHINGLE), lambda s: F.xxhash64(s))).alias("set"))
+    return records.select(*keys, shingle_hashes(words(primary_text(F.col("fields"))), SHINGLE).alias("set"))
 
 
 def similar_pairs(sets: DataFrame, threshold: float, group: list[str]) -> DataFrame:
@@ -47,8 +46,9 @@ def clusters(records: DataFrame, threshold: float = 0.85, across: bool = False,
     files or across them all."""
     ensure_checkpoints(records.sparkSession)
     number = (F.shiftleft(F.col("file_ord").cast("long"), 40) + F.col("idx")).alias("id")
+    # the sets are used six times; a checkpoint spares the texts as many scans
     group = [] if across else ["file"]
-    sets = with_sets(records.select("file", "file_ord", "idx", "line", "fields", number), ["file", "idx", "line", "id"])
+    sets = with_sets(records.select("file", "file_ord", "idx", "line", "fields", number), ["file", "idx", "line", "id"]).checkpoint()
     alike = sets.groupBy(*group, "set").agg(F.min("id").alias("id"))
     if method == "lsh":
         pairs = lsh_pairs(alike, threshold, group, num_perm)

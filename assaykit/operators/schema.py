@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import CHATS
-from ..functions.text import bounded, is_blank, strip
+from ..functions.text import bounded, is_blank, let, strip
 from .formats import UNUSABLE
 from .shared import exploded, issue
 
@@ -17,8 +17,10 @@ _NONE = "array<struct<severity:string,code:string,message:string,sample:string>>
 
 
 def _field(f: Column, sample: Column, least: int) -> Column:
-    name, value = f["name"], f["value"]
-    said = strip(value)
+    return let(strip(f["value"]), lambda said: _of(f["name"], f["value"], said, sample, least))
+
+
+def _of(name: Column, value: Column, said: Column, sample: Column, least: int) -> Column:
     say = lambda s: F.concat(name, F.lit(s))
     token = F.get(F.filter(F.array(*map(F.lit, _SEARCHED)), lambda t: F.contains(value, t)), F.lit(0))
     return F.array_compact(F.array(
