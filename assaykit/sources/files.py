@@ -122,15 +122,15 @@ def _whole(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
 
 def _parquet(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
     """Files of one schema are one scan; several schemas, a scan each."""
-    out = None
+    out, schema = None, arrow_schema()
     for order, path in files:
         scan = numbered(spark.read.parquet(_same(path)))
         names = [c for c in scan.columns if c not in ("idx", "path")]
 
-        def run(batches, file=path, order=order, names=names):
+        def run(batches, file=path, order=order, names=names, schema=schema):
             for b in batches:
                 rows = b.select(names).to_pylist()
-                yield _batch(records.rows_of((file, order, i, None, *records.describe(r)) for i, r in zip(b.column("idx").to_pylist(), rows)))
+                yield _batch(records.rows_of((file, order, i, None, *records.describe(r)) for i, r in zip(b.column("idx").to_pylist(), rows)), schema)
 
         one = scan.select(*names, "idx").mapInArrow(run, records.RECORD)
         out = one if out is None else out.union(one)
@@ -144,10 +144,9 @@ def arrow_schema():
     return to_arrow_schema(_parse_datatype_string(records.RECORD))
 
 
-def _batch(columns: dict[str, list]):
+def _batch(columns: dict[str, list], schema):
     import pyarrow as pa
 
-    schema = arrow_schema()
     return pa.RecordBatch.from_arrays([pa.array([_named(v, f.type) for v in columns[f.name]], f.type) for f in schema], schema=schema)
 
 
