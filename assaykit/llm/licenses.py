@@ -50,7 +50,7 @@ class Templates:
         self.lengths = [len(r) for r in runs]
         pieces = [(r[i : i + HALF], t) for t, r in enumerate(runs) for i in range(0, max(1, len(r) - HALF // 2), HALF)]
         self.of = np.array([t for _, t in pieces], int)
-        self.least = np.array([[(p * m).min() for p, _ in pieces] for m in _ODD]).reshape(BANDS, -1)
+        self.least = np.array([[(p * m).min() for p, _ in pieces] for m in _ODD], np.uint64).reshape(BANDS, -1)
         self.sieve = np.zeros((BANDS, _SIEVE), bool)
         for b in range(BANDS):
             self.sieve[b, (self.least[b] & np.uint64(_SIEVE - 1)).astype(int)] = True
