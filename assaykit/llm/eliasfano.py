@@ -94,17 +94,20 @@ class EliasFano:
             return out
         x = x.astype(np.uint64)
         high, low = (x >> _U(self.width)).astype(np.int64), x & _U((1 << self.width) - 1)
-        bit = np.zeros(len(x), np.int64)
+        # the elements with this high part; in a dense stretch they are many, so their low bits are halved, not walked
+        first = np.zeros(len(x), np.int64)
         later = np.flatnonzero(high > 0)
-        bit[later] = self._select(high[later] - 1, False) + 1
-        todo = np.arange(len(x))
+        first[later] = self._select(high[later] - 1, False) - high[later] + 1
+        last = self._select(high, False) - high
+        todo = np.flatnonzero(first < last)
+        a, z, low = first[todo], last[todo], low[todo]
         while len(todo):
-            at = bit[todo]
-            todo = todo[(self.high[at >> 6] >> (at & 63).astype(np.uint64)) & _U(1) > 0]
-            i = bit[todo] - high[todo]
-            here = self._low(i)
-            same = here == low[todo]
-            out[todo[same]] = i[same]
-            todo = todo[here < low[todo]]
-            bit[todo] += 1
+            middle = (a + z) >> 1
+            here = self._low(middle)
+            same = here == low
+            out[todo[same]] = middle[same]
+            less = here < low
+            a, z = np.where(less, middle + 1, a), np.where(less, z, middle)
+            go = np.flatnonzero((a < z) & ~same)
+            todo, a, z, low = todo[go], a[go], z[go], low[go]
         return out

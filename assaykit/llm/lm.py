@@ -114,7 +114,7 @@ def write_file(path: str, arrays: list[np.ndarray]) -> None:
 def _read(path: str) -> list[np.ndarray]:
     system, at = fs.FileSystem.from_uri(path)
     if isinstance(system, fs.LocalFileSystem):
-        raw = np.memmap(at, np.uint8, "r")
+        raw = np.asarray(np.memmap(at, np.uint8, "r"))
     else:
         with system.open_input_stream(at) as f:
             raw = np.frombuffer(f.read(), np.uint8)
