@@ -2,7 +2,8 @@
 
 P(grade <= k) = sigmoid(theta_k - w x): the grades share the weights w, and ordered thresholds theta cut the score.
 Features are words and beginnings of words with 1 + log(count), known by 64-bit hashes, so that none share a weight; words that aren't
-significantly more or less frequent in the sample's toxic documents are left out. w is trained with FTRL-proximal (elastic net), theta with AdaGrad
+significantly more frequent in the sample's toxic documents are left out, and having any of them is a feature of its
+own, so that the step from clean to mild needn't be as steep as those between grades. w is trained with FTRL-proximal (elastic net), theta with AdaGrad
 under theta_1 < theta_2 < ..., on at most SAMPLE labelled documents with distinct texts, in one task. A label above 1
 is a grade as it is. Where labels only say yes or no, the toxic documents of the sample are graded 1 to 3 by
 thirds of their evidence, the number of occurrences of words that are telling for the label. The expected severity
@@ -56,8 +57,9 @@ def _each(texts: list[str]) -> Iterator[np.ndarray]:
         yield from (h[a:z] for a, z in zip(first[:-1], first[1:]))
 
 
-def scores(texts: pa.Array, known: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The weighted sum of each text, and whether it has words. known: sorted hashes of the words with a weight."""
+def scores(texts: pa.Array, known: np.ndarray, w: np.ndarray, some_known: float) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted sum of each text, and whether it has words. known: sorted hashes of the words
+    with weights w; some_known: the weight of having any."""
     out, some = np.zeros(len(texts)), np.zeros(len(texts), bool)
     sieve = np.zeros(1 << 16, bool)
     sieve[known >> np.uint64(48)] = True
@@ -68,7 +70,9 @@ def scores(texts: pa.Array, known: np.ndarray, w: np.ndarray) -> tuple[np.ndarra
         fine = np.take(known, at, mode="clip") == h[where] if len(known) else np.zeros(0, bool)
         row = np.searchsorted(first, where[fine], "right") - 1
         keys, times = np.unique(row * len(known) + at[fine], return_counts=True)
-        np.add.at(out, i + keys // max(1, len(known)), w[keys % max(1, len(known))] * (1 + np.log(times)))
+        at = keys // max(1, len(known))
+        np.add.at(out, i + at, w[keys % max(1, len(known))] * (1 + np.log(times)))
+        out[i + np.unique(at)] += some_known
     return out, some
 
 
@@ -86,13 +90,13 @@ def grade(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: i
 
 
 def telling(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int) -> np.ndarray:
-    """Features whose presence differs between toxic documents and others by Z standard errors at least."""
+    """Features that toxic documents have more often than others, by Z standard errors at least."""
     bad, fine = np.zeros(size), np.zeros(size)
     for (at, _), y in zip(rows, labels):
         (bad if y else fine)[at] += 1
     n, m = max(1, int((labels > 0).sum())), max(1, int((labels == 0).sum()))
     p = np.clip((bad + fine) / (n + m), 1e-9, 1 - 1e-9)
-    return np.abs(bad / n - fine / m) >= Z * np.sqrt(p * (1 - p) * (1 / n + 1 / m))
+    return bad / n - fine / m >= Z * np.sqrt(p * (1 - p) * (1 / n + 1 / m))
 
 
 def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, size: int, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
@@ -126,13 +130,13 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, l
     return weights(z, n), theta
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words by hash, their weights, and thresholds, from at most sample labelled documents; docs has doc_id and text, labels doc_id and y."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """Words by hash, their weights, that of having any, and thresholds, from at most sample labelled documents; docs has doc_id and text, labels doc_id and y."""
     labels = labels.where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y"))
     cut = min(1 << 30, int((1 << 30) * sample * 1.1 / max(1, labels.count())) + 1)
     drawn = labels.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 34) < cut).limit(sample)
     # at most sample ids, whatever the input
-    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id").select(F.lower("text").alias("t"), "y").repartition(1)
+    sampled = docs.where(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id").select(F.lower("text").alias("t"), "y").repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, int] = {}
@@ -154,14 +158,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         grades = y if y.max() > 1 else grade(data, y, len(words))
         levels = max(1, int(grades.max()))
         use = telling(data, y, len(words))
-        w, theta = fit_ordinal([(k[use[k]], 1 + np.log(t[use[k]])) for k, t in data], grades, levels, len(words))
-        some = np.flatnonzero(w)
-        yield pa.RecordBatch.from_pydict({"words": [words[some].tobytes()], "w": [w[some].tobytes()], "theta": [theta.tobytes()]})
-
-    got = rows.mapInArrow(run, "words binary, w binary, theta binary").collect()
+        rows = []
+        for k, t in data:
+            k, t = k[use[k]], t[use[k]]
+            rows.append((np.append(k, np.full(min(1, len(k)), len(words))).astype(np.int64), np.append(1 + np.log(t), np.ones(min(1, len(k))))))
+        w, theta = fit_ordinal(rows, grades, levels, len(words) + 1)
+        some = np.flatnonzero(use)
+        yield pa.RecordBatch.from_pydict({"words": [words[some].tobytes()], "w": [w[some].tobytes()], "any": [w[-1]], "theta": [theta.tobytes()]})
+
+    got = sampled.mapInArrow(run, "words binary, w binary, any double, theta binary").collect()
     if not got:
-        return np.zeros(0, np.uint64), np.zeros(0), np.array([np.inf])
-    return np.frombuffer(got[0]["words"], np.uint64), np.frombuffer(got[0]["w"]), np.frombuffer(got[0]["theta"])
+        return np.zeros(0, np.uint64), np.zeros(0), 0.0, np.array([np.inf])
+    return np.frombuffer(got[0]["words"], np.uint64), np.frombuffer(got[0]["w"]), got[0]["any"], np.frombuffer(got[0]["theta"])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
@@ -171,9 +179,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, w, theta = shared.value
+        known, w, some_known, theta = shared.value
         for b in batches:
-            s, some = scores(b.column(1), known, w)
+            s, some = scores(b.column(1), known, w, some_known)
             over = sigmoid(s[:, None] - theta)
             over[~some] = 0
             p = np.concatenate([np.ones((len(s), 1)), over], axis=1) - np.concatenate([over, np.zeros((len(s), 1))], axis=1)
