@@ -190,11 +190,15 @@ class Shard:
     @staticmethod
     def children(pointers: EliasFano, level: EliasFano, context: np.ndarray, word: np.ndarray, vocabulary: int) -> np.ndarray:
         """The place of word among the children of context; -1 if it is none."""
-        begin, end = pointers.access(context), pointers.access(context + 1)
-        out = np.full(len(context), -1, np.int64)
-        some = np.flatnonzero(end > begin)
-        out[some] = level.find(context[some] * vocabulary + word[some])
-        return out
+        # each pair once and in order: contexts' pointers are read once, and the level from front to back
+        pair, back = np.unique(context * vocabulary + word, return_inverse=True)
+        context = pair // vocabulary
+        first = np.diff(context, prepend=-1) != 0
+        alone = context[first]
+        parent = (pointers.access(alone + 1) > pointers.access(alone))[np.cumsum(first) - 1] if len(alone) else first
+        out = np.full(len(pair), -1, np.int64)
+        out[parent] = level.find(pair[parent])
+        return out[back]
 
 
 class Model:
