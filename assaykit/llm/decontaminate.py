@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import filter_rows, fresh, stable, with_row_id
+from .exchange import filter_rows, fresh, small_batches, stable, with_row_id
 
 WINDOW = 13
 SHORTEST = 8
@@ -106,7 +106,7 @@ def _scan(docs: DataFrame, items: list[tuple[int, str]], window: int, shortest:
 
 
 def _passages(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_texts: tuple[str, ...], window: int, shortest: int) -> DataFrame:
-    slim = with_row_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "row").select("row", "doc_id", "text")
+    slim = with_row_id(small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "row").select("row", "doc_id", "text")
     parts = [benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(c).alias("text")) for c in item_texts]
     found, shards, size = None, [[]], 0
     for part in parts:

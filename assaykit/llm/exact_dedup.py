@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import ROW_BITS, file_by_partition, filter_rows, fresh, materialise, read_own, stable, with_row_id
+from .exchange import ROW_BITS, file_by_partition, filter_rows, fresh, materialise, read_own, small_batches, stable, with_row_id
 
 SPARE_BITS = 16
 #: Fingerprints that an owner holds at once, at most, on average.
@@ -132,7 +132,7 @@ def _suspects(docs: DataFrame) -> DataFrame:
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document that another, kept one equals byte for byte: row (its place in the scan), doc_id,
     kept_doc_id and copies (documents with this text). docs must be stable()."""
-    slim = with_row_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "row")
+    slim = with_row_id(small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "row")
     suspects = _suspects(slim)
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))
     groups = (

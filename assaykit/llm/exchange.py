@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 ROW_BITS = 33
 #: Partitions of one folder of the shared tables.
 PER_FOLDER_BITS = 3
+BATCH_BYTES = 4 << 20
 _STABLE = {"Project", "Filter", "Relation", "RelationV2", "LocalRelation", "LogicalRDD", "Union", "SubqueryAlias"}
 
 
@@ -59,6 +60,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after its session was told to hand texts to Python in batches of BATCH_BYTES: cut by rows alone, a batch of
+    long texts would be as large as they are together, in the executor and in each of its workers."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with as many underscores as make it unlike every column of df."""
     taken = {c.lower() for c in df.columns}
@@ -104,6 +112,7 @@ def filter_rows(df: DataFrame, row: str, decided: DataFrame, keep: bool) -> Data
     """The rows of df (a stable scan with row numbers in column row) that decided, a table with a column row, names
     (keep), or all others. The filter runs in the scan's own tasks; the text is not shuffled."""
     path = file_by_partition(decided.select("row"), "decided")
+    small_batches(df)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named = None

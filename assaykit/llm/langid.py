@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import small_batches
 from .text import buffers, chunks
 
 GRAMS = 3
@@ -192,7 +193,7 @@ def classified(docs: DataFrame, text_col: str, columns: list[str], model: tuple[
 
 
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray, float]:
-    n, df = document_frequencies(docs, text_col)
+    n, df = document_frequencies(small_batches(docs), text_col)
     labelled = docs.where(F.col(label_col).isNotNull()).count()
     return train(docs, np.log((1 + n) / (1 + df)) + 1, labelled, text_col, label_col, sample)
 

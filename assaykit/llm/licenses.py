@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import small_batches
 from .license_texts import TEMPLATES
 from .text import buffers, chunks, mix64, shingles, word_hashes, word_spans
 
@@ -133,5 +134,5 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
+    slim = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
     return slim.mapInArrow(run, "doc_id long, license string, start long, end long, containment double")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .eliasfano import EliasFano
-from .exchange import shared_path
+from .exchange import shared_path, small_batches
 from .text import buffers, chunks, word_hashes, word_spans
 
 LEAST = 2
@@ -41,7 +41,7 @@ STEP = 0.1
 SHARD_WORDS = 6_000_000
 HASH_BITS = 48
 UNKNOWN, END = 0, (1 << HASH_BITS) - 1
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
@@ -268,7 +268,7 @@ def _sent(rows: dict[int, bytes]) -> pa.RecordBatch:
 
 def train(docs: DataFrame, text_col: str = "text", shard_words: int = SHARD_WORDS) -> dict:
     """Count all documents and write the model; the result names its files and is small."""
-    slim = docs.select(F.lower(F.col(text_col)).alias("t"))
+    slim = small_batches(docs).select(F.lower(F.col(text_col)).alias("t"))
     folder = shared_path(docs.sparkSession, "lm")
     estimate = docs.select(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     bits = max(0, (int(estimate) // 6 // shard_words).bit_length())

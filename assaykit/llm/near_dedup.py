@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .exchange import filter_rows, fresh, materialise, stable, with_row_id
+from .exchange import filter_rows, fresh, materialise, small_batches, stable, with_row_id
 from .text import buffers, chunks, distinct_shingles, mix64, shingles, word_hashes, word_spans
 
 SHINGLE = 3
@@ -118,7 +118,7 @@ def _pairs_left(members: DataFrame, roots: DataFrame, tried: DataFrame) -> DataF
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """A row for each document of a group but the one that stays: row, doc_id, kept_doc_id, copies. docs must be stable()."""
-    slim = with_row_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "row")
+    slim = with_row_id(small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "row")
     sketched = materialise(_sketched(slim), "sketches")
     alike = materialise(sketched.groupBy("d1", "d2").agg(F.min(F.struct("row", "keys")).alias("least")).select("d1", "d2", F.col("least.row").alias("rep"), F.col("least.keys").alias("keys")), "sets")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import materialise
+from .exchange import materialise, small_batches
 
 KINDS = ("email", "ip", "ssn", "account", "phone")
 CANDIDATE = re.compile(
@@ -164,7 +164,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), schema)], schema=schema)
 
-    some = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.rlike("text", F.lit("[@0-9]")))
+    some = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.rlike("text", F.lit("[@0-9]")))
     return some.mapInArrow(run, "doc_id long, kind string, start long, end long, votes array<int>, features array<int>")
 
 

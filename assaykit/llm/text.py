@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 WORD_RE = re.compile("[0-9a-z\u0080-\U0010ffff]+")
 
 _WORD_BYTE = np.zeros(256, bool)
