@@ -138,7 +138,7 @@ def train(docs: DataFrame, idf: np.ndarray, labelled: int, text_col: str, label_
     """Languages, weights times idf, temperature; from at most sample of so many labelled documents."""
     cut = min(1 << 30, int((1 << 30) * sample * 1.1 / max(1, labelled)) + 1)
     drawn = docs.select(F.lower(F.col(text_col)).alias("t"), F.col(label_col).cast("string").alias("y")).where(F.col("y").isNotNull() & F.col("t").isNotNull())
-    drawn = drawn.where(F.shiftrightunsigned(F.xxhash64("t", F.lit(4)), 34) < cut).limit(sample).repartition(1)
+    drawn = drawn.where(F.shiftrightunsigned(F.xxhash64("t", F.lit(4)), 34) < cut).orderBy(F.xxhash64("t", F.lit(4)), "t", "y").limit(sample).repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted({(t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())})

@@ -176,7 +176,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     total = sum(counts.values())
     cut = min(1 << 30, int((1 << 30) * SAMPLE * 1.1 / max(1, total)) + 1)
-    drawn = found.where(F.shiftrightunsigned(F.xxhash64("doc_id", "start", F.lit(3)), 34) < cut).limit(SAMPLE).select("kind", "votes", "features").repartition(1)
+    drawn = found.where(F.shiftrightunsigned(F.xxhash64("doc_id", "start", F.lit(3)), 34) < cut).orderBy(F.xxhash64("doc_id", "start", F.lit(3)), "doc_id", "start", "features").limit(SAMPLE).select("kind", "votes", "features").repartition(1)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(zip(*(sum((b.column(i).to_pylist() for b in held), []) for i in range(3)))) if (held := list(batches)) else []

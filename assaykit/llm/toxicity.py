@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     """Words by hash, their weights, that of having any, and thresholds, from at most sample labelled documents; docs has doc_id and text, labels doc_id and y."""
     labels = labels.where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y"))
     cut = min(1 << 30, int((1 << 30) * sample * 1.1 / max(1, labels.count())) + 1)
-    drawn = labels.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 34) < cut).limit(sample)
+    drawn = labels.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 34) < cut).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample)
     # at most sample ids, whatever the input
     sampled = docs.where(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id").select(F.lower("text").alias("t"), "y").repartition(1)
 
