@@ -5,18 +5,23 @@ A partition sends each shard, which holds the contexts that begin with its range
 entries with their counts, as compressed planes of bytes. Shards follow the number of words (SHARD_WORDS each), so
 none outgrows a task.
 
-Model. Interpolated Witten-Bell: p(w | h) = c(hw) / (c(h) + t(h)) + b(h) p(w | h'), t(h) the number of words seen
-after h. Words, bigrams and trigrams seen fewer than LEAST times are left out of the trie: such words count as
-unknown, and b(h) is one less what h still gives its own successors, so that probabilities sum to one before
-they are quantised. Probabilities are quantised to a byte in steps of STEP nats.
-
-Trie. A shard has three levels: words by hash, bigrams, trigrams. Each level's entries and each level's pointers into
-the next are Elias-Fano sequences. An entry is stored relative to its context, as context number times the
-vocabulary plus the word's number, which rises through the level; a query looks up its context's range by the
-pointers, and within it the successor of that number. Shards are files in the shared folder, mapped into memory by the
-tasks that score (read into memory where that folder is not a file system).
-
-Defined results. The score of a text is the natural logarithm of the probability of its words and of an end mark.
+Model. Interpolated Witten-Bell: p(w | h) = (c(hw) + t(h) p(w | h')) / (c(h) + t(h)), t(h) the number of words seen
+after h; p(w) = (c(w) + 1) / (all words and ends + vocabulary). Every word, bigram and trigram is in the model, those
+seen once too. A word that the model hasn't seen has a count of 0, and so is neither context nor successor.
+
+Scores of the documents counted. In a model that has counted the text itself, a text of words that occur nowhere else
+is the likeliest of all. So score_documents() takes a text's own counts, exactly, from those of its words, bigrams,
+trigrams and successors: each text has its probability under the model of all other texts, over the vocabulary of all.
+score() leaves the counts as they are, for other texts than those counted.
+
+Trie. A shard has three levels: words by hash, bigrams, trigrams. Each level's entries are an Elias-Fano sequence. An
+entry is stored relative to its context, as context number times the vocabulary plus the word's number, which rises
+through the level; a query looks up the successor of that number. Counts are bytes, and those over 254 a list by
+place. Shards are files in the shared folder, mapped into memory by the tasks that score (read into memory where that
+folder is not a file system).
+
+Defined results. The score of a text is the natural logarithm of the probability of its words and of an end mark;
+unknown tells how many of its words the model (for score_documents(): any other text) doesn't have.
 A null text, or one without words, has 0 words and null scores. Repeated rows count each and get equal scores. An
 empty table gives an empty result. Other columns are ignored, whatever their names.
 """
@@ -36,8 +41,7 @@ from .eliasfano import EliasFano
 from .exchange import shared_path, small_batches
 from .text import buffers, chunks, word_hashes, word_spans
 
-LEAST = 2
-STEP = 0.1
+LEAST = 1  # how often a word or n-gram must be seen to be in the model: all are
 SHARD_WORDS = 6_000_000
 HASH_BITS = 48
 UNKNOWN, END = 0, (1 << HASH_BITS) - 1
@@ -89,11 +93,25 @@ def summed(keys: list[np.ndarray], counts: np.ndarray, sizes: list[int]) -> tupl
     return [k[order[first]] for k in keys], sums
 
 
-def quantise(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-np.log(np.maximum(p, 1e-12)) / STEP), 0, 255).astype(np.uint8)
+class Counts:
+    """Counts as bytes; those over 254 are in a list by place."""
 
+    def __init__(self, small: np.ndarray, places: np.ndarray, large: np.ndarray):
+        self.small, self.places, self.large = small, places, large
 
-_PROBABILITY = np.exp(-STEP * np.arange(256))
+    @classmethod
+    def encode(cls, values: np.ndarray) -> Counts:
+        places = np.flatnonzero(values > 254)
+        return cls(np.minimum(values, 255).astype(np.uint8), places.astype(np.int64), values[places].astype(np.int64))
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.small, self.places, self.large]
+
+    def access(self, i: np.ndarray) -> np.ndarray:
+        out = self.small[i].astype(np.int64)
+        over = np.flatnonzero(out == 255)
+        out[over] = self.large[np.searchsorted(self.places, i[over])]
+        return out
 
 
 def write_file(path: str, arrays: list[np.ndarray]) -> None:
@@ -152,53 +170,45 @@ class Vocabulary:
         return out[back]
 
 
-def build_shard(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, count: np.ndarray, words: int, vocabulary: int, total: int) -> list[np.ndarray]:
+def build_shard(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, count: np.ndarray, words: int, vocabulary: int) -> list[np.ndarray]:
     """A shard's levels from its distinct trigrams in order. w1 counts within the shard; w2 = vocabulary - 1 ends a
-    text, and such rows are bigrams only. total: all words and ends."""
+    text, and such rows are bigrams only."""
     fresh2 = (np.diff(w1, prepend=-1) != 0) | (np.diff(w2, prepend=-1) != 0)
     first2 = np.flatnonzero(fresh2)
     of2 = np.cumsum(fresh2) - 1
     c2 = np.add.reduceat(count, first2) if len(first2) else np.zeros(0, np.int64)
     u1, u2 = w1[first2], w2[first2]
-    c1, t1 = np.bincount(u1, c2, words).astype(np.int64), np.bincount(u1, minlength=words)
+    c1 = np.zeros(words, np.int64)
+    np.add.at(c1, u1, c2)
     event = w2 != vocabulary - 1
-    h2, t2 = np.bincount(of2[event], count[event], len(c2)).astype(np.int64), np.bincount(of2[event], minlength=len(c2))
-
-    keep2 = c2 >= LEAST
-    a2 = c2 / np.maximum(1, (c1 + t1)[u1])
-    b1 = 1 - np.bincount(u1[keep2], a2[keep2], words)
-    number2 = np.cumsum(keep2) - 1
-    keep3 = event & (count >= LEAST)
-    a3 = count / np.maximum(1, (h2 + t2)[of2])
-    b2 = (1 - np.bincount(of2[keep3], a3[keep3], len(c2)))[keep2]
-    n2 = int(keep2.sum())
-    v2 = u1[keep2] * vocabulary + u2[keep2]
-    v3 = number2[of2[keep3]] * vocabulary + w3[keep3]
-    p1 = np.concatenate([[0], np.cumsum(np.bincount(u1[keep2], minlength=words))])
-    p2 = np.concatenate([[0], np.cumsum(np.bincount(number2[of2[keep3]], minlength=n2))])
-    out = [quantise((c1 + 1) / (total + vocabulary)), quantise(b1), quantise(a2[keep2]), quantise(b2), quantise(a3[keep3])]
-    for values, universe in ((v2, words * vocabulary), (v3, max(1, n2) * vocabulary), (p1, n2 + 1), (p2, len(v3) + 1)):
+    of3, c3 = of2[event], count[event]
+    out = []
+    for values in (c1, np.bincount(u1, minlength=words), c2, np.bincount(of3, minlength=len(c2)), c3):
+        out += Counts.encode(values).parts()
+    for values, universe in ((u1 * vocabulary + u2, words * vocabulary), (of3 * vocabulary + w3[event], max(1, len(c2)) * vocabulary)):
         out += EliasFano.encode(values, universe).parts()
     return out
 
 
 class Shard:
+    """Counts and numbers of successors of words and bigrams, counts of trigrams; the entries of the two levels."""
+
     def __init__(self, arrays: list[np.ndarray]):
-        self.p1, self.b1, self.p2, self.b2, self.p3 = arrays[:5]
-        self.level2, self.level3, self.pointers1, self.pointers2 = (EliasFano(*arrays[i : i + 6]) for i in range(5, 29, 6))
+        self.c1, self.t1, self.c2, self.t2, self.c3 = (Counts(*arrays[i : i + 3]) for i in range(0, 15, 3))
+        self.level2, self.level3 = EliasFano(*arrays[15:21]), EliasFano(*arrays[21:27])
 
     @staticmethod
-    def children(pointers: EliasFano, level: EliasFano, context: np.ndarray, word: np.ndarray, vocabulary: int) -> np.ndarray:
+    def children(level: EliasFano, context: np.ndarray, word: np.ndarray, vocabulary: int) -> np.ndarray:
         """The place of word among the children of context; -1 if it is none."""
-        # each pair once and in order: contexts' pointers are read once, and the level from front to back
+        # each pair once and in order, so that the level is read from front to back
         pair, back = np.unique(context * vocabulary + word, return_inverse=True)
-        context = pair // vocabulary
-        first = np.diff(context, prepend=-1) != 0
-        alone = context[first]
-        parent = (pointers.access(alone + 1) > pointers.access(alone))[np.cumsum(first) - 1] if len(alone) else first
-        out = np.full(len(pair), -1, np.int64)
-        out[parent] = level.find(pair[parent])
-        return out[back]
+        return level.find(pair)[back]
+
+
+def _groups(text: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the number of its group, which is one entry in one text; of each group a row, and how many it has."""
+    _, first, group, count = np.unique(text * (int(entry.max(initial=0)) + 1) + entry, return_index=True, return_inverse=True, return_counts=True)
+    return group, first, count
 
 
 class Model:
@@ -207,48 +217,69 @@ class Model:
     def __init__(self, vocabulary: Vocabulary, shards: list[Shard | None], end_count: int, total: int):
         self.vocabulary, self.shards, self.total = vocabulary, shards, total
         self.size = vocabulary.size + 1
-        self.end = (end_count + 1) / (total + self.size)
-
-    def log_probabilities(self, number: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """For each word its log probability given up to two before it; place: how many come before it in its text."""
-        base = self.vocabulary.base
+        self.ends = end_count
+        self.base2, self.base3 = (np.cumsum([0, *(getattr(s, level).n if s else 0 for s in shards)]).astype(np.int64) for level in ("level2", "level3"))
+
+    def log_probabilities(self, number: np.ndarray, place: np.ndarray, text: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each word its log probability given up to two before it, and whether it is in no counted text; place:
+        how many come before it in its text. With text, the number of each one's text, all of which the model has
+        counted, without what that text counts."""
+        n, base = len(number), self.vocabulary.base
+        end = number == self.size - 1
         shard = np.searchsorted(base, number, "right") - 1
-        shard[number == self.size - 1] = -1
+        shard[end] = -1
         local = number - base[shard]
-        p = np.full(len(number), self.end)
-        b1, pair = np.ones(len(number)), np.full(len(number), -1, np.int64)
-        a2, b2, a3 = np.zeros(len(number)), np.ones(len(number)), np.zeros(len(number))
+        # at each place the counts of the word, bigram and trigram that end there, and how many words follow these
+        c1, t1, c2, t2, c3 = np.where(end, self.ends, 0), *(np.zeros(n, np.int64) for _ in range(4))
+        entry2, entry3 = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(len(self.shards) + 1))
         for s, trie in enumerate(self.shards):
             own = order[cuts[s] : cuts[s + 1]]
             if not len(own) or trie is None:
                 continue
-            p[own] = _PROBABILITY[trie.p1[local[own]]]
-            first = own[(own + 1 < len(number))]
+            c1[own], t1[own] = trie.c1.access(local[own]), trie.t1.access(local[own])
+            first = own[(own + 1 < n)]
             first = first[place[first + 1] > 0]
-            b1[first + 1] = _PROBABILITY[trie.b1[local[first]]]
-            at = trie.children(trie.pointers1, trie.level2, local[first], number[first + 1], self.size)
+            at = trie.children(trie.level2, local[first], number[first + 1], self.size)
             hit = at >= 0
             first, at = first[hit], at[hit]
-            a2[first + 1] = _PROBABILITY[trie.p2[at]]
-            fine = first + 2 < len(number)
+            c2[first + 1], t2[first + 1], entry2[first + 1] = trie.c2.access(at), trie.t2.access(at), at + self.base2[s]
+            fine = first + 2 < n
             first, at = first[fine], at[fine]
             fine = place[first + 2] > 1
             first, at = first[fine], at[fine]
-            pair[first + 2] = at
-            b2[first + 2] = _PROBABILITY[trie.b2[at]]
-            third = trie.children(trie.pointers2, trie.level3, at, number[first + 2], self.size)
+            third = trie.children(trie.level3, at, number[first + 2], self.size)
             hit = third >= 0
-            a3[first[hit] + 2] = _PROBABILITY[trie.p3[third[hit]]]
-        p = np.where(place > 0, a2 + b1 * p, p)
-        p = np.where(pair >= 0, a3 + b2 * p, p)
-        return np.log(p)
-
-
-def sequences(raw: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words' numbers with an end mark after each text that has words; the place of each in its text; where each
-    text's begin; and which are unknown."""
+            first, third = first[hit], third[hit]
+            c3[first + 2], entry3[first + 2] = trie.c3.access(third), third + self.base3[s]
+        total = self.total
+        if text is not None:
+            total = total - np.bincount(text)[text]
+            group1, _, n1 = _groups(text, number)
+            two, three = np.flatnonzero(place > 0), np.flatnonzero(place > 1)
+            group2 = np.zeros(n, np.int64)
+            group2[two], first2, n2 = _groups(text[two], entry2[two])
+            group3, first3, n3 = _groups(text[three], entry3[three])
+            first2, first3 = two[first2], three[first3]
+            # a successor that is seen in this text only is none in the others
+            t1 = t1 - np.bincount(group1[first2 - 1], n2 == c2[first2], len(n1)).astype(np.int64)[group1]
+            t2[two] -= np.bincount(group2[first3 - 1], n3 == c3[first3], len(n2)).astype(np.int64)[group2[two]]
+            c1 = c1 - n1[group1]
+            c2[two] -= n2[group2[two]]
+            c3[three] -= n3[group3]
+        p = (c1 + 1) / (total + self.size)
+        for least, above, after, here in ((0, c1, t1, c2), (1, c2, t2, c3)):
+            at = np.flatnonzero(place > least)
+            mass = above[at - 1] + after[at - 1]
+            at, mass = at[mass > 0], mass[mass > 0]
+            p[at] = (here[at] + after[at - 1] * p[at]) / mass
+        return np.log(p), (c1 == 0) & ~end
+
+
+def sequences(raw: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words' numbers with an end mark after each text that has words; the place of each in its text; and where each
+    text's begin."""
     h, first = hashes(raw, offsets)
     counts = np.diff(first)
     sizes = counts + (counts > 0)
@@ -259,7 +290,7 @@ def sequences(raw: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> t
     inner[ends] = False
     number[inner] = vocabulary.numbers(h)
     place = np.arange(len(number)) - np.repeat(begin[:-1], sizes)
-    return number, place, begin, number == UNKNOWN
+    return number, place, begin
 
 
 def _sent(rows: dict[int, bytes]) -> pa.RecordBatch:
@@ -296,8 +327,7 @@ def train(docs: DataFrame, text_col: str = "text", shard_words: int = SHARD_WORD
         k, c = (np.concatenate([x[i] for x in columns]) for i in (0, 1))
         if s < 0:
             return pd.DataFrame({"shard": [s], "size": [int(k.sum())], "ends": [int(c.sum())]})
-        (k,), c = summed([k], c, [1 << shift])
-        k = k[c >= LEAST]
+        (k,), _ = summed([k], c, [1 << shift])
         if s == 0:
             k = np.concatenate([[0], k])
         if len(k):
@@ -321,7 +351,7 @@ def train(docs: DataFrame, text_col: str = "text", shard_words: int = SHARD_WORD
         for b in batches:
             raw, offsets = buffers(b.column(0))
             for i, j in chunks(offsets, CHUNK):
-                number, place, begin, _ = sequences(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], vocabulary)
+                number, place, begin = sequences(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], vocabulary)
                 w = np.concatenate([number, [v - 1, v - 1]])
                 at = np.flatnonzero(number != v - 1)
                 third = np.where(w[at + 1] == v - 1, v - 1, w[at + 2])
@@ -345,7 +375,7 @@ def train(docs: DataFrame, text_col: str = "text", shard_words: int = SHARD_WORD
         del columns
         keys, c = summed(parts[:3], parts[3], [sizes[s], v, v])
         del parts
-        arrays = build_shard(*keys, c, sizes[s], v, total)
+        arrays = build_shard(*keys, c, sizes[s], v)
         write_file(f"{folder}/trie-{s}", arrays)
         return pd.DataFrame({"shard": [s], "bytes": [sum(a.nbytes for a in arrays)]})
 
@@ -363,8 +393,9 @@ def open_model(made: dict) -> Model:
     return Model(open_vocabulary(made["folder"], made["sizes"], made["bits"]), shards, made["ends"], made["total"])
 
 
-def score(docs: DataFrame, made: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, words, unknown, log_probability, perplexity of every document under a model that train() made."""
+def score(docs: DataFrame, made: dict, id_col: str = "doc_id", text_col: str = "text", others: bool = False) -> DataFrame:
+    """doc_id, words, unknown, log_probability, perplexity of every document under a model that train() made; others:
+    it has counted these documents, and each is scored by the counts of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = open_model(made) if made["sizes"] else None
@@ -372,8 +403,10 @@ def score(docs: DataFrame, made: dict, id_col: str = "doc_id", text_col: str = "
             raw, offsets = buffers(b.column(1))
             n, unknown, log = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
             for i, j in chunks(offsets, CHUNK) if model else ():
-                number, place, begin, new = sequences(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model.vocabulary)
-                sums = np.concatenate([[0.0], np.cumsum(model.log_probabilities(number, place))])
+                number, place, begin = sequences(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model.vocabulary)
+                text = np.repeat(np.arange(j - i), np.diff(begin)) if others else None
+                p, new = model.log_probabilities(number, place, text)
+                sums = np.concatenate([[0.0], np.cumsum(p)])
                 news = np.concatenate([[0], np.cumsum(new)])
                 n[i:j] = np.maximum(0, np.diff(begin) - 1)
                 log[i:j], unknown[i:j] = sums[begin[1:]] - sums[begin[:-1]], news[begin[1:]] - news[begin[:-1]]
@@ -387,5 +420,5 @@ def score(docs: DataFrame, made: dict, id_col: str = "doc_id", text_col: str = "
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents' scores under a model of these documents; see the module's text for edge cases."""
-    return score(docs, train(docs, text_col), id_col, text_col)
+    """The documents' scores, each under the model of all the others; see the module's text for edge cases."""
+    return score(docs, train(docs, text_col), id_col, text_col, others=True)

@@ -78,6 +78,41 @@ def test_against_brute_force(spark):
             assert abs(got[i].log_probability - x) <= 0.06 * (got[i].words + 1)
 
 
+def test_words_seen_nowhere_else(spark):
+    """A text of random words must score worse than those of common ones."""
+    rng = np.random.default_rng(8)
+    base = [f"word{i}" for i in range(80)]
+    texts = [" ".join(rng.choice(base, 60)) for _ in range(60)] + [" ".join(f"x{rng.integers(1 << 50)}" for _ in range(60)) for _ in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lm.score_documents(docs).collect()}
+    assert min(got[i].perplexity for i in range(60, 64)) > max(got[i].perplexity for i in range(60))
+    assert [got[i].unknown for i in range(64)] == [0] * 60 + [60] * 4
+
+
+def test_each_text_by_the_others(spark):
+    """Against models that are trained without the text; a word of the text alone stays in the vocabulary."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice("a b c d e f g".split(), rng.integers(1, 30))) for _ in range(12)] + ["a b own own a b own own c", "x", None, "a b c d", "a b c d", " ".join(["a b"] * 400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r for r in lm.score_documents(docs).collect()}
+    size = len({w for t in texts for w in WORD_RE.findall(t or "")}) + 2
+    for i, t in enumerate(texts):
+        if t is None:
+            assert got[i].log_probability is None
+            continue
+        rest = [[*WORD_RE.findall(x), "$"] for j, x in enumerate(texts) if j != i and x]
+        seen = Counter(tuple(d[k : k + n]) for d in rest for n in (1, 2, 3) for k in range(len(d) - n + 1))
+        d, want = [*WORD_RE.findall(t), "$"], 0.0
+        for k in range(len(d)):
+            p = (seen[(d[k],)] + 1) / (sum(map(len, rest)) + size)
+            for n in (1, 2)[:k]:
+                h = tuple(d[k - n : k])
+                after = sum(x[:-1] == h and len(x) == n + 1 for x in seen)
+                p = (seen[(*h, d[k])] + after * p) / (seen[h] + after) if seen[h] else p
+            want += math.log(p)
+        assert abs(got[i].log_probability - want) < 1e-6 * len(d)
+
+
 def texts_long(rng, base):
     return " ".join(rng.choice(base, 5000))
 
