@@ -113,6 +113,14 @@ def test_each_text_by_the_others(spark):
         assert abs(got[i].log_probability - want) < 1e-6 * len(d)
 
 
+def test_every_ngram_is_kept(spark):
+    texts = ["once only here and once only there", "nothing is left out", "once only here", None]
+    model = lm.open_model(lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), shard_words=1))
+    docs = [[*WORD_RE.findall(t), "$"] for t in texts if t]
+    for n, level in ((2, "level2"), (3, "level3")):
+        assert sum(getattr(s, level).n for s in model.shards if s) == len({tuple(d[k : k + n]) for d in docs for k in range(len(d) - n + 1)})
+
+
 def texts_long(rng, base):
     return " ".join(rng.choice(base, 5000))
 
