@@ -1,7 +1,8 @@
 """Personal data by weak supervision.
 
-1. Candidates: spans that look like an e-mail address, IP address, social-security number, card or account number, or
-   phone number. Texts without a digit or an at sign are passed over in the JVM.
+1. Candidates: spans that look like an e-mail address, IP address (version 4 or 6), social-security number, IBAN, card
+   or account number, phone number (7 to 15 digits, with or without separators), or street address. Texts without a
+   digit, an at sign or a colon as in an address are passed over in the JVM.
 2. Labelers vote on each span yes, no or not at all: the strict expression of its kind, a gazetteer (mail domains,
    number ranges, reserved addresses), a checksum or structure test, and the words around it.
 3. Expectation-maximisation estimates each labeler's hit and false-alarm rate and each kind's share of true spans,
@@ -16,6 +17,7 @@ surroundings give equal scores. An empty table gives an empty result. Other colu
 
 from __future__ import annotations
 
+import ipaddress
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,15 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import PATTERNS
 from .exchange import materialise, small_batches
 
-KINDS = ("email", "ip", "ssn", "account", "phone")
+KINDS = ("email", "ip", "ipv6", "ssn", "iban", "account", "phone", "street")
+_H = "[0-9A-Fa-f]{1,4}"
 CANDIDATE = re.compile(
     r"(?P<email>[^\s@<>()\[\],;:\"']{1,64}@[^\s@<>()\[\],;:\"']+\.[^\W\d_]{2,})"
     r"|(?<![\w.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\.?\w)"
     r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
-    r"|(?<![\w.])(?P<account>\d(?:[ -]?\d){12,18})(?![\w]|\.\d)"
-    r"|(?<![\w.])(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4})(?![\w]|\.\d)"
+    rf"|(?<![\w:.])(?P<ipv6>::(?:{_H}:){{0,5}}\d{{1,3}}(?:\.\d{{1,3}}){{3}}|(?:{_H}:){{2,7}}{_H}|(?:{_H}:){{1,7}}:(?:{_H}(?::{_H}){{0,6}})?|::{_H}(?::{_H}){{0,6}})(?![\w:])"
+    r"|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
+    r"|(?<![\w.])(?P<account>\d(?:[ -]*\d){12,18})(?![\w]|\.\d)"
+    r"|(?<!\w)(?<!\d\.)(?P<phone>(?=(?:[\s.()+-]{0,3}\d){7})(?:\+?\d{1,3}[\s.-]?(?:\(0\)[\s.-]?)?(?:\d[\s.-])?)?(?:\(?\d{2,4}\)?[\s.-]?){2,4}\d{2,4})(?!\w|\.\d)"
+    rf"|(?P<street>(?i:{PATTERNS['street_address'][1]}))"
 )
 SAMPLE = 50_000
 FEATURES = 1 << 12
@@ -45,19 +52,26 @@ _STRICT = {
     "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"),
     "ip": re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"),
     "ssn": re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"),
-    "account": re.compile(r"\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}"),
-    "phone": re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){2,4}|(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}"),
+    "ipv6": re.compile(rf"(?:{_H}:){{7}}{_H}|(?=.*\d)(?:{_H}:){{2,6}}(?::{_H}){{1,5}}|(?=.*\d)(?:{_H}:){{1,6}}(?::{_H}){{2,5}}|::(?:{_H}:){{0,5}}\d{{1,3}}(?:\.\d{{1,3}}){{3}}"),
+    "iban": re.compile(r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)"),
+    "account": re.compile(r"\d{13,19}|\d{4}(?:(?:[ -]| - )\d{4}){2,3}(?:[ -]| - )\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}"),
+    "phone": re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){2,4}|(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\+\d{1,3}[\s.-]?(?:\(0\)[\s.-]?)?\(?\d{1,4}\)?(?:[\s.-]?\d{2,4}){1,4}|\(\d{2,4}\)[\s.-]?\d{5,8}|0\d{1,4}[\s.-]\d{5,8}|(?:\+?1[\s.-]?)?[2-9]\d{2}[\s.-]?\d{3}[\s.-]?\d{4}"),
+    "street": re.compile(r"[1-9]\d{0,5}(?:\s+(?:[NSEW]\.?|[A-Z][A-Za-z.'-]*|\d{1,3}(?:st|nd|rd|th))){1,5}"),
 }
 _DOMAINS = {"gmail", "yahoo", "hotmail", "outlook", "icloud", "aol", "gmx", "web", "mail", "proton", "protonmail", "live", "msn", "orange", "yandex"}
 _NO_TLD = {"png", "jpg", "jpeg", "gif", "svg", "webp", "js", "css", "html", "php"}
 _FOR = {
     "email": {"email", "mail", "contact", "write", "reply", "correo", "courriel", "kontakt"},
     "ip": {"ip", "address", "host", "client", "login", "from", "logged"},
+    "ipv6": {"ip", "ipv6", "address", "host", "client", "login", "from", "logged"},
+    "iban": {"iban", "account", "bank", "bic", "swift", "transfer", "konto", "compte", "cuenta"},
+    "street": {"address", "live", "lives", "living", "at", "home", "street", "ship", "mail", "deliver", "visit", "resides"},
     "ssn": {"ssn", "social", "security"},
     "account": {"card", "visa", "mastercard", "amex", "account", "iban", "credit", "debit", "karte", "carte", "tarjeta", "konto"},
     "phone": {"phone", "tel", "telephone", "call", "fax", "mobile", "cell", "dial", "telefon", "téléphone", "teléfono"},
 }
 _AGAINST = {"version", "v", "release", "isbn", "issn", "doi", "page", "pages", "pp", "vol", "rfc", "iso", "section", "figure", "table", "order", "sku", "build", "commit", "sha", "token", "hash", "id", "uuid", "between", "years"}
+_COMMON = {"a", "an", "and", "are", "as", "at", "by", "for", "from", "he", "in", "is", "it", "no", "not", "of", "on", "or", "out", "she", "that", "the", "they", "this", "to", "was", "we", "were", "with", "you"}
 _WORD = re.compile(r"\w+")
 
 
@@ -69,6 +83,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_ok(span: str) -> bool:
+    """The remainder by 97 of the number that an IBAN stands for is 1."""
+    code = span.replace(" ", "")
+    return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+
+
 def surroundings(text: str, start: int, end: int) -> tuple[list[str], list[str]]:
     """The last three words before, the first two after, within 40 characters, in lower case."""
     return _WORD.findall(text[max(0, start - 40) : start].lower())[-3:], _WORD.findall(text[end : end + 40].lower())[:2]
@@ -87,6 +107,18 @@ def votes(kind: str, span: str, before: list[str], after: list[str]) -> tuple[in
         parts = [int(p) for p in span.split(".")]
         known = 0 if parts[0] in (0, 127) or parts == [255] * 4 or parts[:2] == [192, 0] else -1
         built = int(max(parts) <= 255 and not (parts[0] < 4 and max(parts) < 20))
+    elif kind == "ipv6":
+        try:
+            address = ipaddress.IPv6Address(span)
+            known = 0 if address.is_loopback or address.is_unspecified or span.lower().startswith("2001:db8:") else 1 if address.is_global else -1
+            built = int(any(c.isdigit() for c in span) or span.count(":") == 7)
+        except ValueError:
+            built = 0
+    elif kind == "iban":
+        built = int(iban_ok(span))
+    elif kind == "street":
+        known = 0 if set(_WORD.findall(span.lower())) & _COMMON else -1
+        built = int(all(w[:1].isupper() or w[:1].isdigit() for w in span.split()))
     elif kind == "ssn":
         known = 0 if digits in ("078051120", "219099999", "123456789") else -1
         built = int(len(set(digits)) > 2)
@@ -94,7 +126,7 @@ def votes(kind: str, span: str, before: list[str], after: list[str]) -> tuple[in
         known = 1 if digits[0] in "3456" else -1
         built = 0 if len(set(digits)) < 3 else 1 if luhn(digits) else -1
     else:
-        known = 1 if span.startswith("+") or re.match(r"\(\d{3}\)", span) else 0 if re.fullmatch(r"(?:1[5-9]|20)\d\d[ .-](?:1[5-9]|20)?\d\d|\d{4}-\d\d-\d\d|\d\d[.-]\d\d[.-]\d{4}", span) else -1
+        known = 1 if span.startswith("+") or re.match(r"\(\d{3}\)", span) else 0 if re.fullmatch(r"(?:1[5-9]|20)\d\d[ .-](?:1[5-9]|20)?\d\d|\d{4}-\d\d-\d\d|\d\d[.-]\d\d[.-]\d{4}|\d+\.\d+|(?:19|20)\d{6}(?:\d{6})?", span) else -1
         built = int(7 <= len(digits) <= 15)
     near = set(before) | set(after)
     context = 1 if near & _FOR[kind] else 0 if near & _AGAINST else -1
@@ -111,6 +143,8 @@ def features(kind: str, span: str, before: list[str], after: list[str]) -> list[
 
 def spans(text: str) -> Iterator[tuple[str, int, int]]:
     for m in CANDIDATE.finditer(text):
+        if m.lastgroup == "phone" and not 7 <= sum(c.isdigit() for c in m[0]) <= 15:
+            continue
         yield m.lastgroup, m.start(), m.end()
 
 
@@ -164,7 +198,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), schema)], schema=schema)
 
-    some = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.rlike("text", F.lit("[@0-9]")))
+    some = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.rlike("text", F.lit(r"(?U)[@\d]|[A-Fa-f]:|::")))
     return some.mapInArrow(run, "doc_id long, kind string, start long, end long, votes array<int>, features array<int>")
 
 

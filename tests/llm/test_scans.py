@@ -115,6 +115,39 @@ def test_pii(table):
     assert pii.find_personal_data(table([])).count() == 0 and pii.find_personal_data(table([None, "x"])).count() == 0
 
 
+FORMATS = {
+    "phone": ["+15551234567", "5551234567", "+33612345678", "+33 6 12 34 56 78", "030 1234567", "(555) 1234567", "+49 170 1234567", "+49 (0)170 1234567", "+1 (999) 999-9999", "555.123.4567", "06 12 34 56 78"],
+    "ipv6": ["2a02:26f0:41:1a3:0:0:0:7e", "2a02:26f0::7e", "dead:beef:cafe:babe:dead:beef:cafe:babe", "fe80::1ff:fe23:4567:890a", "::ffff:83.12.25.12"],
+    "iban": ["DE89370400440532013000", "GB29NWBK60161331926819", "FR14 2004 1010 0505 0001 3M02 606"],
+    "street": ["12 Main Street", "1600 Pennsylvania Ave", "221 North 5th St", "77 Old Mill Rd"],
+    "account": ["4111111111111111", "4111 1111 1111 1111", "4111 - 1111 - 1111 - 1111"],
+    "email": ["jane.doe@example.org"],
+    "ip": ["83.12.25.12"],
+    "ssn": ["219-09-9998"],
+}
+
+
+def test_pii_formats():
+    for kind, spans in FORMATS.items():
+        for span in spans:
+            text = f"é see {span}, and so on"
+            assert [(k, text[a:z]) for k, a, z in pii.spans(text)] == [(kind, span)]
+    assert not list(pii.spans("3141592653589793238462643 and 12 345 or a::: b"))
+
+
+def test_pii_formats_are_scored(table):
+    """Each format is told among plain texts with numbers that mean nothing."""
+    told = [(k, s) for k, spans in FORMATS.items() for s in spans]
+    texts = [f"note {i}: see {s}, thanks" for i in range(12) for _, s in told]
+    plain = [f"at 12:{i:02}:56 in version 3.14159{i:03}, 7 ways to find a way, 20240{1 + i % 9}17" for i in range(60)]
+    found = pii.find_personal_data(table([*texts, *plain])).collect()
+    got = {(r.kind, texts[r.doc_id][r.start : r.end]) for r in found if r.doc_id < len(texts)}
+    assert got >= set(told)
+    assert not [r for r in found if r.doc_id >= len(texts)]
+    letters = "dead:beef:cafe:babe:dead:beef:cafe:babe"
+    assert {r.kind for r in pii.candidates(table([letters]), "doc_id", "text").collect()} == {"ipv6"}
+
+
 def test_reliabilities():
     rng = random.Random(6)
     counts = {}
