@@ -2,8 +2,9 @@
 
 Features are hashed n-grams of 1 to 3 code points of the lower-case text, all but letters turned into single spaces;
 their weight is the share of the text's n-grams times the inverse document frequency, which is counted over all
-documents. The model is trained with FTRL-proximal (per-coordinate steps, elastic net) on at most SAMPLE labelled
-documents, drawn by a hash of their text, in one task; a fifth of the sample is held out to fit the temperature
+documents. The model is trained with FTRL-proximal (per-coordinate steps, elastic net) on at most SAMPLE distinct
+labelled texts, in one task; they are drawn by a hash, for each label by its share of the distinct texts, but all or at
+least SAMPLE / 4 / labels (once there are more than SAMPLE labels, one of each of the largest). A fifth of the sample is held out to fit the temperature
 that calibrates the probabilities. The weights, a constant 1 MB, then go to all tasks.
 
 Defined results. A null text, or one without letters, has no language, confidence 0, and is rejected. Rows without a
@@ -15,11 +16,12 @@ empty result. Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .exchange import small_batches
@@ -134,11 +136,31 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def train(docs: DataFrame, idf: np.ndarray, labelled: int, text_col: str, label_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, float]:
-    """Languages, weights times idf, temperature; from at most sample of so many labelled documents."""
-    cut = min(1 << 30, int((1 << 30) * sample * 1.1 / max(1, labelled)) + 1)
-    drawn = docs.select(F.lower(F.col(text_col)).alias("t"), F.col(label_col).cast("string").alias("y")).where(F.col("y").isNotNull() & F.col("t").isNotNull())
-    drawn = drawn.where(F.shiftrightunsigned(F.xxhash64("t", F.lit(4)), 34) < cut).orderBy(F.xxhash64("t", F.lit(4)), "t", "y").limit(sample).repartition(1)
+def quotas(sizes: dict[str, int], sample: int) -> dict[str, int]:
+    """How many of each label's texts are drawn, sample at most in all."""
+    sizes = dict(sorted(sizes.items(), key=lambda x: (-x[1], x[0]))[:sample])
+    floor = max(1, sample // (4 * max(1, len(sizes))))
+    least = {y: min(n, floor) for y, n in sizes.items()}
+    free, more = sample - sum(least.values()), sum(sizes.values()) - sum(least.values())
+    return {y: least[y] + min(n - least[y], free * (n - least[y]) // max(1, more)) for y, n in sizes.items()}
+
+
+def draw(docs: DataFrame, text_col: str, label_col: str, sample: int) -> DataFrame:
+    """t, y: distinct lower-case texts with their labels, as many of each label as quotas() says."""
+    named = docs.select(F.lower(F.col(text_col)).alias("t"), F.col(label_col).cast("string").alias("y")).where(F.col("y").isNotNull() & F.col("t").isNotNull())
+    named = named.withColumn("h", F.xxhash64("t", F.lit(4)))
+    largest = named.select("y", "h").distinct().groupBy("y").count().orderBy(F.desc("count"), "y").limit(sample)
+    sizes = {r["y"]: r["count"] for r in largest.collect()}
+    # the hashes below cut are some more than wanted, so that few texts are shuffled
+    wanted = [(y, k, min(1 << 30, int((1 << 30) * (1.1 * k + 4 * math.sqrt(k) + 10) / sizes[y]) + 1)) for y, k in quotas(sizes, sample).items()]
+    some = named.join(F.broadcast(docs.sparkSession.createDataFrame(wanted, "y string, wanted int, cut long")), "y").where(F.shiftrightunsigned("h", 34) < F.col("cut"))
+    first = F.row_number().over(Window.partitionBy("y").orderBy("h", "t"))
+    return some.groupBy("y", "h", "t").agg(F.first("wanted").alias("wanted")).withColumn("place", first).where("place <= wanted").select("t", "y")
+
+
+def train(docs: DataFrame, idf: np.ndarray, text_col: str, label_col: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, float]:
+    """Languages, weights times idf, temperature; from at most sample distinct labelled texts."""
+    drawn = draw(docs, text_col, label_col, sample).repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted({(t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())})
@@ -194,8 +216,7 @@ def classified(docs: DataFrame, text_col: str, columns: list[str], model: tuple[
 
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray, float]:
     n, df = document_frequencies(small_batches(docs), text_col)
-    labelled = docs.where(F.col(label_col).isNotNull()).count()
-    return train(docs, np.log((1 + n) / (1 + df)) + 1, labelled, text_col, label_col, sample)
+    return train(docs, np.log((1 + n) / (1 + df)) + 1, text_col, label_col, sample)
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:

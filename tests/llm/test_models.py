@@ -36,6 +36,19 @@ def test_language_by_held_out_rows(table):
     assert left.columns == docs.columns and left.count() == sum(r.accepted for r in got.values())
 
 
+def test_language_sample_is_of_distinct_texts_by_label(table):
+    """Copies take no second place in the sample, and a rare language has some."""
+    rng = random.Random(4)
+    rows = [(i, text(rng, "en", 12), "en", "s") for i in range(400)] + [(1000 + i, text(rng, "de", 12), "de", "s") for i in range(12)]
+    rows += [(2000 + i, rows[k][1], "en", "s") for k in range(0, 400, 40) for i in range(150)]
+    drawn = [(r.t, r.y) for r in langid.draw(table(rows), "text", "lang", 80).collect()]
+    assert len(set(drawn)) == len(drawn) and 76 <= len(drawn) <= 80 and sum(y == "de" for _, y in drawn) >= 10
+    assert {y for _, y in drawn} == {"en", "de"}
+    assert langid.quotas({"a": 5, "b": 7}, 12) == {"a": 5, "b": 7} and sum(langid.quotas({str(i): i for i in range(1, 40)}, 10).values()) == 10
+    names, w, t = langid.fit(table(rows), sample=80)
+    assert names == ["de", "en"]
+
+
 def test_no_labels(table):
     assert langid.identify_languages(table([(1, "words", None, "s")])).collect()[0].accepted is False
     assert langid.identify_languages(table([])).count() == 0
