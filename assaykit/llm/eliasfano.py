@@ -2,7 +2,8 @@
 
 A value's low bits are stored as they are; its high part in unary: per high value a one for each element and then a
 zero. Element i's high bit is thus at high + i. Every RATE-th one and zero has its word noted, and each word the ones
-before it, so that selecting is a short walk and a search within one word.
+before it, so that selecting is a short walk and a search within one word. Once a share of 1 / OFTEN of a sequence has
+been asked for, it is decoded as a whole, which costs less than selecting each.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 RATE = 64
+OFTEN = 8
 _U = np.uint64
 _HALVES = [(_U(h), _U((1 << h) - 1)) for h in (32, 16, 8, 4, 2, 1)]
 
@@ -34,6 +36,7 @@ class EliasFano:
         self.header, self.low, self.high, self.before, self.ones, self.zeros = header, low, high, before, ones, zeros
         self.n, self.width = int(header[0]), int(header[1])
         self.top = int(header[2])
+        self.asked, self.plain = 0, None
 
     @classmethod
     def encode(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -82,9 +85,23 @@ class EliasFano:
         bits = self.high[word] if one else ~self.high[word]
         return (word << 6) + _nth_bit(bits, k - base)
 
+    def decoded(self) -> np.ndarray:
+        """All elements."""
+        at = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))[: self.n]
+        place = np.arange(self.n)
+        return (((at - place).astype(np.uint64) << _U(self.width)) | self._low(place)).astype(np.int64)
+
+    def _often(self, n: int) -> bool:
+        self.asked += n
+        if self.plain is None and self.asked * OFTEN >= self.n:
+            self.plain = self.decoded()
+        return self.plain is not None
+
     def access(self, i: np.ndarray) -> np.ndarray:
         """The elements at i."""
         i = i.astype(np.int64)
+        if self._often(len(i)):
+            return self.plain[i]
         return (((self._select(i, True) - i).astype(np.uint64) << _U(self.width)) | self._low(i)).astype(np.int64)
 
     def find(self, x: np.ndarray) -> np.ndarray:
@@ -92,6 +109,9 @@ class EliasFano:
         out = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
             return out
+        if self._often(len(x)):
+            at = np.searchsorted(self.plain, x)
+            return np.where(np.take(self.plain, at, mode="clip") == x, at, -1)
         x = x.astype(np.uint64)
         high, low = (x >> _U(self.width)).astype(np.int64), x & _U((1 << self.width) - 1)
         # the elements with this high part; in a dense stretch they are many, so their low bits are halved, not walked

@@ -90,18 +90,19 @@ def partition_of(row: str):
     return F.shiftright(F.col(row), ROW_BITS)
 
 
-def file_by_partition(df: DataFrame, name: str, row: str = "row", local: bool = False) -> str:
+def file_by_partition(df: DataFrame, name: str, row: str = "row", local: bool = False, shared: int = PER_FOLDER_BITS) -> str:
     """Write df to the shared folder, filed by the partition that its column of row numbers tells. local: df's
-    partitions are still those of the scan, so no shuffle is needed to have few files."""
+    partitions are still those of the scan, so no shuffle is needed to have few files. shared: 2 ** shared partitions
+    share a folder, 0 where much is filed for each."""
     path = shared_path(df.sparkSession, name)
-    df = df.withColumn("folder", F.shiftright(F.col(row), ROW_BITS + PER_FOLDER_BITS))
+    df = df.withColumn("folder", F.shiftright(F.col(row), ROW_BITS + shared))
     (df if local else df.repartition("folder")).write.partitionBy("folder").parquet(path)
     return path
 
 
-def read_own(path: str, partition: int, columns: list[str], row: str = "row") -> pa.Table:
+def read_own(path: str, partition: int, columns: list[str], row: str = "row", shared: int = PER_FOLDER_BITS) -> pa.Table:
     """On an executor: what was filed for one partition. Empty if nothing was."""
-    system, at = fs.FileSystem.from_uri(f"{path}/folder={partition >> PER_FOLDER_BITS}")
+    system, at = fs.FileSystem.from_uri(f"{path}/folder={partition >> shared}")
     if system.get_file_info(at).type != fs.FileType.Directory:
         return pa.table({c: [] for c in columns})
     low, high = partition << ROW_BITS, (partition + 1) << ROW_BITS

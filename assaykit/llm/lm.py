@@ -1,9 +1,16 @@
 """A trigram language model over words in sharded Elias-Fano tries, and its scores.
 
-Counting. All documents are counted, in two passes: words by a 48-bit hash, then trigrams by the words' numbers.
-A partition sends each shard, which holds the contexts that begin with its range of word hashes, the sorted distinct
-entries with their counts, as compressed planes of bytes. Shards follow the number of words (SHARD_WORDS each), so
-none outgrows a task.
+Exchange. A partition's texts are handled in blocks of BLOCK_BYTES. Nothing is looked up from within a task that scans
+texts: each block sends its distinct entries, sorted and with their counts, to the shards that own them, and each
+shard returns what it knows of them in the same order, filed by the partition that asked. So a task opens one shard
+or one block, whatever the size of the model.
+
+1. Words, known by 62 bits of a hash, go to shards by ranges of the hash. A shard counts and numbers its words and
+   returns number, count, and which trie shard the word's contexts are in.
+2. Trigrams go to trie shards, as small tries themselves: words, the words after each, and the words after those.
+   Trie shards are cut by the words' counts, SHARD_TOKENS each; a word that has more is cut by the word after it, so
+   that a shard is a range or a part of contexts (first, second word) and the commonest word is no task of its own.
+3. Each block is read again and scored from what came back.
 
 Model. Interpolated Witten-Bell: p(w | h) = (c(hw) + t(h) p(w | h')) / (c(h) + t(h)), t(h) the number of words seen
 after h; p(w) = (c(w) + 1) / (all words and ends + vocabulary). Every word, bigram and trigram is in the model, those
@@ -12,13 +19,14 @@ seen once too. A word that the model hasn't seen has a count of 0, and so is nei
 Scores of the documents counted. In a model that has counted the text itself, a text of words that occur nowhere else
 is the likeliest of all. So score_documents() takes a text's own counts, exactly, from those of its words, bigrams,
 trigrams and successors: each text has its probability under the model of all other texts, over the vocabulary of all.
-score() leaves the counts as they are, for other texts than those counted.
+score() leaves the counts as they are, for other texts than those counted. A quantised probability can't be relieved of
+a text's share; so the levels hold counts, from which the smoothed probability is made when it is asked for.
 
-Trie. A shard has three levels: words by hash, bigrams, trigrams. Each level's entries are an Elias-Fano sequence. An
-entry is stored relative to its context, as context number times the vocabulary plus the word's number, which rises
-through the level; a query looks up the successor of that number. Counts are bytes, and those over 254 a list by
-place. Shards are files in the shared folder, mapped into memory by the tasks that score (read into memory where that
-folder is not a file system).
+Trie. A shard has three levels, words, bigrams and trigrams. Each level's entries and each level's pointers into the
+next are Elias-Fano sequences. An entry is stored relative to its context, as context number times the vocabulary plus
+the word's number, which rises through the level; a query looks up the successor of that number, and t(h) is the
+distance of two pointers. Counts are bytes, and those over 254 a list by place. Shards are files in the shared folder,
+mapped into memory by the task that asks them (read into memory where that folder is not a file system).
 
 Defined results. The score of a text is the natural logarithm of the probability of its words and of an end mark;
 unknown tells how many of its words the model (for score_documents(): any other text) doesn't have.
@@ -38,59 +46,84 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .eliasfano import EliasFano
-from .exchange import shared_path, small_batches
-from .text import buffers, chunks, word_hashes, word_spans
+from .exchange import ROW_BITS, file_by_partition, read_own, shared_path, small_batches, stable, with_row_id
+from .text import buffers, mix64, word_hashes, word_spans
 
-LEAST = 1  # how often a word or n-gram must be seen to be in the model: all are
+#: Text that a task holds at once, unless one text is longer; words of a word shard at most, by the texts' size;
+#: positions of a trie shard, on average. They change no result: raise them with the executors' memory, for the
+#: number of messages is blocks times shards.
+BLOCK_BYTES = 8 << 20
 SHARD_WORDS = 6_000_000
-HASH_BITS = 48
-UNKNOWN, END = 0, (1 << HASH_BITS) - 1
-CHUNK = 2 << 20
+SHARD_TOKENS = 2_500_000
+HASH_BITS = 62
+UNKNOWN = 0
+#: Shard numbers of one word shard's tries.
+_LOCAL_BITS = 40
+_PIECE = 1 << 20
 _ZSTD = pa.Codec("zstd", compression_level=1)
+_SENT = "row long, block long, shard long, data binary"
 
 
 def pack(columns: list[np.ndarray]) -> bytes:
-    """Equally long columns of numbers under 2 ** 63, as the compressed planes of the bytes of each."""
-    out = [np.array([len(columns[0])], np.int64).tobytes()]
+    """Columns of numbers from 0 to 2 ** 63, as the compressed planes of the bytes of each."""
+    out = []
     for c in columns:
         width = max(1, (int(c.max(initial=0)).bit_length() + 7) // 8)
         planes = np.ascontiguousarray(np.ascontiguousarray(c.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
         code = _ZSTD.compress(planes, asbytes=True)
-        out += [np.array([width, len(code)], np.int64).tobytes(), code]
+        out += [np.array([len(c), width, len(code)], np.int64).tobytes(), code]
     return b"".join(out)
 
 
-def unpack(data: bytes, columns: int) -> list[np.ndarray]:
-    n, at, out = int(np.frombuffer(data, np.int64, 1)[0]), 8, []
-    for _ in range(columns):
-        width, size = np.frombuffer(data, np.int64, 2, at).tolist()
-        planes = np.frombuffer(_ZSTD.decompress(data[at + 16 : at + 16 + size], n * width, asbytes=True), np.uint8).reshape(width, n)
+def unpack(data: bytes) -> list[np.ndarray]:
+    at, out = 0, []
+    while at < len(data):
+        n, width, size = np.frombuffer(data, np.int64, 3, at).tolist()
+        planes = np.frombuffer(_ZSTD.decompress(data[at + 24 : at + 24 + size], n * width, asbytes=True), np.uint8).reshape(width, n)
         full = np.zeros((n, 8), np.uint8)
         full[:, :width] = planes.T
         out.append(full.view("<u8").ravel().astype(np.int64))
-        at += 16 + size
+        at += 24 + size
     return out
 
 
-def summed(keys: list[np.ndarray], counts: np.ndarray, sizes: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct keys in order with summed counts; key i is under sizes[i]."""
-    total = 1
-    for s in sizes:
-        total *= s
-    if total < 1 << 63:
-        one = keys[0]
-        for k, s in zip(keys[1:], sizes[1:]):
-            one = one * s + k
-        order = np.argsort(one, kind="stable")
-        fresh = np.diff(one[order], prepend=-1) != 0
-    else:
-        order = np.lexsort(keys[::-1])
-        fresh = np.zeros(len(order), bool)
-        for k in keys:
-            fresh |= np.diff(k[order], prepend=-1) != 0
-    first = np.flatnonzero(fresh)
-    sums = np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
-    return [k[order[first]] for k in keys], sums
+def in_order(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of keys of so many bits, and the keys in it. With the place in the bits that a key leaves,
+    plain sorting does, which is several times faster than sorting places by key."""
+    room = max(1, (len(key) - 1).bit_length())
+    if bits + room > 64:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    both = (key.astype(np.uint64) << np.uint64(room)) | np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << room) - 1)).astype(np.int64), (both >> np.uint64(room)).astype(np.int64)
+
+
+def grouped(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of keys: their order, where in it each distinct one begins, how many there are of it, and for each key the
+    number of its group."""
+    order, ordered = in_order(key, bits)
+    new = np.ones(len(key), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = np.flatnonzero(new)
+    group = np.empty(len(key), np.int64)
+    group[order] = np.cumsum(new) - 1
+    return order, first, np.diff(first, append=len(key)), group
+
+
+def ranked(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of hashes of HASH_BITS, and for each hash its place among them."""
+    room = max(1, (len(h) - 1).bit_length())
+    cut = max(0, HASH_BITS + room - 64)
+    order, first, _, group = grouped(h >> cut, HASH_BITS - cut)
+    known = h[order[first]]
+    if cut and not np.array_equal(known[group], h):  # two that differ in the last bits only
+        return np.unique(h, return_inverse=True)
+    return known, group
+
+
+def sums_of(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, first) if len(first) else np.zeros(0, np.int64)
 
 
 class Counts:
@@ -108,7 +141,10 @@ class Counts:
         return [self.small, self.places, self.large]
 
     def access(self, i: np.ndarray) -> np.ndarray:
-        out = self.small[i].astype(np.int64)
+        """The counts at i; of -1 it is 0."""
+        if not len(self.small):
+            return np.zeros(len(i), np.int64)
+        out = np.where(i >= 0, self.small[i], 0).astype(np.int64)
         over = np.flatnonzero(out == 255)
         out[over] = self.large[np.searchsorted(self.places, i[over])]
         return out
@@ -129,8 +165,11 @@ def write_file(path: str, arrays: list[np.ndarray]) -> None:
     system.move(draft, at)
 
 
-def _read(path: str) -> list[np.ndarray]:
+def read_file(path: str) -> list[np.ndarray] | None:
+    """The arrays of a file, mapped into memory; None if there is no such file."""
     system, at = fs.FileSystem.from_uri(path)
+    if system.get_file_info(at).type != fs.FileType.File:
+        return None
     if isinstance(system, fs.LocalFileSystem):
         raw = np.asarray(np.memmap(at, np.uint8, "r"))
     else:
@@ -143,282 +182,360 @@ def _read(path: str) -> list[np.ndarray]:
 
 
 def hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and where each text's begin; hashed in pieces, as that takes 32 bytes for each of text."""
     s, e, first = word_spans(raw, offsets)
-    h = (word_hashes(raw, s, e) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-    return np.clip(h, 1, END - 1), first
-
-
-class Vocabulary:
-    """Words' numbers by hash, over all shards' files."""
-
-    def __init__(self, paths: list[str], sizes: list[int], bits: int):
-        self.shift = HASH_BITS - bits
-        self.base = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.words = [EliasFano(*_read(p)) if n else None for p, n in zip(paths, sizes)]
-        self.size = int(self.base[-1])
-
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        """The words' numbers; the unknown word's for those left out."""
-        known, back = np.unique(h, return_inverse=True)
-        out = np.zeros(len(known), np.int64)
-        cuts = np.searchsorted(known >> self.shift, np.arange(len(self.words) + 1))
-        for s, words in enumerate(self.words):
-            a, z = cuts[s], cuts[s + 1]
-            if z > a and words is not None:
-                at = words.find(known[a:z] & ((1 << self.shift) - 1))
-                out[a:z] = np.where(at >= 0, at + self.base[s], UNKNOWN)
-        return out[back]
-
-
-def build_shard(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, count: np.ndarray, words: int, vocabulary: int) -> list[np.ndarray]:
-    """A shard's levels from its distinct trigrams in order. w1 counts within the shard; w2 = vocabulary - 1 ends a
-    text, and such rows are bigrams only."""
-    fresh2 = (np.diff(w1, prepend=-1) != 0) | (np.diff(w2, prepend=-1) != 0)
-    first2 = np.flatnonzero(fresh2)
-    of2 = np.cumsum(fresh2) - 1
-    c2 = np.add.reduceat(count, first2) if len(first2) else np.zeros(0, np.int64)
-    u1, u2 = w1[first2], w2[first2]
-    c1 = np.zeros(words, np.int64)
-    np.add.at(c1, u1, c2)
-    event = w2 != vocabulary - 1
-    of3, c3 = of2[event], count[event]
-    out = []
-    for values in (c1, np.bincount(u1, minlength=words), c2, np.bincount(of3, minlength=len(c2)), c3):
-        out += Counts.encode(values).parts()
-    for values, universe in ((u1 * vocabulary + u2, words * vocabulary), (of3 * vocabulary + w3[event], max(1, len(c2)) * vocabulary)):
-        out += EliasFano.encode(values, universe).parts()
-    return out
+    h, i = np.zeros(len(s), np.int64), 0
+    while i < len(s):
+        j = max(i + 1, int(np.searchsorted(s, s[i] + _PIECE)))
+        a, z = s[i], e[j - 1]
+        h[i:j] = (word_hashes(raw[a:z], s[i:j] - a, e[i:j] - a) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+        i = j
+    return h, first
 
 
 class Shard:
-    """Counts and numbers of successors of words and bigrams, counts of trigrams; the entries of the two levels."""
+    """A trie over the contexts of a shard."""
 
     def __init__(self, arrays: list[np.ndarray]):
-        self.c1, self.t1, self.c2, self.t2, self.c3 = (Counts(*arrays[i : i + 3]) for i in range(0, 15, 3))
-        self.level2, self.level3 = EliasFano(*arrays[15:21]), EliasFano(*arrays[21:27])
+        self.words, self.pointers1, self.level2, self.pointers2, self.level3 = (EliasFano(*arrays[i : i + 6]) for i in range(0, 30, 6))
+        self.c2, self.c3 = Counts(*arrays[30:33]), Counts(*arrays[33:36])
 
     @staticmethod
-    def children(level: EliasFano, context: np.ndarray, word: np.ndarray, vocabulary: int) -> np.ndarray:
-        """The place of word among the children of context; -1 if it is none."""
-        # each pair once and in order, so that the level is read from front to back
-        pair, back = np.unique(context * vocabulary + word, return_inverse=True)
-        return level.find(pair)[back]
-
-
-def _groups(text: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row the number of its group, which is one entry in one text; of each group a row, and how many it has."""
-    _, first, group, count = np.unique(text * (int(entry.max(initial=0)) + 1) + entry, return_index=True, return_inverse=True, return_counts=True)
-    return group, first, count
-
-
-class Model:
-    """Vocabulary and shards. Words' numbers run over all shards; the end mark's is the last."""
-
-    def __init__(self, vocabulary: Vocabulary, shards: list[Shard | None], end_count: int, total: int):
-        self.vocabulary, self.shards, self.total = vocabulary, shards, total
-        self.size = vocabulary.size + 1
-        self.ends = end_count
-        self.base2, self.base3 = (np.cumsum([0, *(getattr(s, level).n if s else 0 for s in shards)]).astype(np.int64) for level in ("level2", "level3"))
-
-    def log_probabilities(self, number: np.ndarray, place: np.ndarray, text: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """For each word its log probability given up to two before it, and whether it is in no counted text; place:
-        how many come before it in its text. With text, the number of each one's text, all of which the model has
-        counted, without what that text counts."""
-        n, base = len(number), self.vocabulary.base
-        end = number == self.size - 1
-        shard = np.searchsorted(base, number, "right") - 1
-        shard[end] = -1
-        local = number - base[shard]
-        # at each place the counts of the word, bigram and trigram that end there, and how many words follow these
-        c1, t1, c2, t2, c3 = np.where(end, self.ends, 0), *(np.zeros(n, np.int64) for _ in range(4))
-        entry2, entry3 = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.searchsorted(shard[order], np.arange(len(self.shards) + 1))
-        for s, trie in enumerate(self.shards):
-            own = order[cuts[s] : cuts[s + 1]]
-            if not len(own) or trie is None:
-                continue
-            c1[own], t1[own] = trie.c1.access(local[own]), trie.t1.access(local[own])
-            first = own[(own + 1 < n)]
-            first = first[place[first + 1] > 0]
-            at = trie.children(trie.level2, local[first], number[first + 1], self.size)
-            hit = at >= 0
-            first, at = first[hit], at[hit]
-            c2[first + 1], t2[first + 1], entry2[first + 1] = trie.c2.access(at), trie.t2.access(at), at + self.base2[s]
-            fine = first + 2 < n
-            first, at = first[fine], at[fine]
-            fine = place[first + 2] > 1
-            first, at = first[fine], at[fine]
-            third = trie.children(trie.level3, at, number[first + 2], self.size)
-            hit = third >= 0
-            first, third = first[hit], third[hit]
-            c3[first + 2], entry3[first + 2] = trie.c3.access(third), third + self.base3[s]
-        total = self.total
-        if text is not None:
-            total = total - np.bincount(text)[text]
-            group1, _, n1 = _groups(text, number)
-            two, three = np.flatnonzero(place > 0), np.flatnonzero(place > 1)
-            group2 = np.zeros(n, np.int64)
-            group2[two], first2, n2 = _groups(text[two], entry2[two])
-            group3, first3, n3 = _groups(text[three], entry3[three])
-            first2, first3 = two[first2], three[first3]
-            # a successor that is seen in this text only is none in the others
-            t1 = t1 - np.bincount(group1[first2 - 1], n2 == c2[first2], len(n1)).astype(np.int64)[group1]
-            t2[two] -= np.bincount(group2[first3 - 1], n3 == c3[first3], len(n2)).astype(np.int64)[group2[two]]
-            c1 = c1 - n1[group1]
-            c2[two] -= n2[group2[two]]
-            c3[three] -= n3[group3]
-        p = (c1 + 1) / (total + self.size)
-        for least, above, after, here in ((0, c1, t1, c2), (1, c2, t2, c3)):
-            at = np.flatnonzero(place > least)
-            mass = above[at - 1] + after[at - 1]
-            at, mass = at[mass > 0], mass[mass > 0]
-            p[at] = (here[at] + after[at - 1] * p[at]) / mass
-        return np.log(p), (c1 == 0) & ~end
-
-
-def sequences(raw: np.ndarray, offsets: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words' numbers with an end mark after each text that has words; the place of each in its text; and where each
-    text's begin."""
-    h, first = hashes(raw, offsets)
-    counts = np.diff(first)
-    sizes = counts + (counts > 0)
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    number = np.full(begin[-1], vocabulary.size, np.int64)
-    ends = begin[1:][counts > 0] - 1
-    inner = np.ones(len(number), bool)
-    inner[ends] = False
-    number[inner] = vocabulary.numbers(h)
-    place = np.arange(len(number)) - np.repeat(begin[:-1], sizes)
-    return number, place, begin
-
-
-def _sent(rows: dict[int, bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.binary())], ["shard", "data"])
-
-
-def train(docs: DataFrame, text_col: str = "text", shard_words: int = SHARD_WORDS) -> dict:
-    """Count all documents and write the model; the result names its files and is small."""
-    slim = small_batches(docs).select(F.lower(F.col(text_col)).alias("t"))
-    folder = shared_path(docs.sparkSession, "lm")
-    estimate = docs.select(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    bits = max(0, (int(estimate) // 6 // shard_words).bit_length())
-    shards, shift = 1 << bits, HASH_BITS - bits
-
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, times, n, ends = [], [], 0, 0
-        for b in batches:
-            raw, offsets = buffers(b.column(0))
-            for i, j in chunks(offsets, CHUNK):
-                h, first = hashes(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                k, c = np.unique(h, return_counts=True)
-                keys.append(k)
-                times.append(c)
-                n, ends = n + len(h), ends + int((np.diff(first) > 0).sum())
-        if not n:
-            return
-        (k,), c = summed([np.concatenate(keys)], np.concatenate(times), [1 << HASH_BITS])
-        cuts = np.searchsorted(k >> shift, np.arange(shards + 1))
-        yield _sent({s: pack([k[a:z] & ((1 << shift) - 1), c[a:z]]) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])) if z > a} | {-1: pack([np.array([n]), np.array([ends])])})
+    def build(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, count: np.ndarray, size: int) -> list[np.ndarray]:
+        """The arrays of a shard from trigrams in any order, repeated or not. w2 = size - 1 ends a text, and such rows
+        are bigrams only."""
+        least = int(w1.min(initial=size))
+        bits = lambda n: int(n).bit_length()
+        order, first2, _, pair = grouped((w1 - least) * size + w2, bits((int(w1.max(initial=least)) - least + 1) * size))
+        p1, p2 = w1[order[first2]], w2[order[first2]]
+        if bits(len(p1)) + bits(size) < 63:
+            order, first3, _, _ = grouped(pair * size + w3, bits(len(p1) * size))
+        else:
+            order = np.lexsort((w3, pair))
+            first3 = np.flatnonzero((np.diff(pair[order], prepend=-1) != 0) | (np.diff(w3[order], prepend=-1) != 0))
+        c, t, last = sums_of(count[order], first3), pair[order[first3]], w3[order[first3]]
+        c2 = np.bincount(t, c, len(p1)).astype(np.int64)
+        event = p2[t] != size - 1
+        c, t, last = c[event], t[event], last[event]
+        words, first = np.unique(p1, return_index=True)
+        of = np.repeat(np.arange(len(words)), np.diff(first, append=len(p1)))
+        pointers2 = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=len(p1)))])
+        out = []
+        for values, universe in (
+            (words, size), (np.append(first, len(p1)), len(p1) + 1), (of * size + p2, max(1, len(words)) * size),
+            (pointers2, len(c) + 1), (t * size + last, max(1, len(p1)) * size),
+        ):
+            out += EliasFano.encode(values, universe).parts()
+        return out + Counts.encode(c2).parts() + Counts.encode(c).parts()
 
-    def vocabulary_shard(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        s = int(key[0])
-        columns = [unpack(d, 2) for d in group["data"]]
-        k, c = (np.concatenate([x[i] for x in columns]) for i in (0, 1))
-        if s < 0:
-            return pd.DataFrame({"shard": [s], "size": [int(k.sum())], "ends": [int(c.sum())]})
-        (k,), _ = summed([k], c, [1 << shift])
-        if s == 0:
-            k = np.concatenate([[0], k])
-        if len(k):
-            write_file(f"{folder}/words-{s}", EliasFano.encode(k, 1 << shift).parts())
-        return pd.DataFrame({"shard": [s], "size": [len(k)], "ends": [0]})
-
-    got = {r["shard"]: r for r in slim.mapInArrow(count_words, "shard long, data binary").groupBy("shard").applyInPandas(vocabulary_shard, "shard long, size long, ends long").collect()}
-    if -1 not in got:
-        return {"folder": folder, "sizes": [], "bits": bits, "ends": 0, "total": 0, "built": []}
-    total, ends = got[-1]["size"] + got[-1]["ends"], got[-1]["ends"]
-    sizes = [got[s]["size"] if s in got else 0 for s in range(shards)]
-    if not sizes[0]:
-        write_file(f"{folder}/words-0", EliasFano.encode(np.zeros(1, np.int64), 1 << shift).parts())
-        sizes[0] = 1
-    shared = docs.sparkSession.sparkContext.broadcast((folder, sizes, bits))
-
-    def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = open_vocabulary(*shared.value)
-        v = vocabulary.size + 1
-        held: list[list[np.ndarray]] = []
-        for b in batches:
-            raw, offsets = buffers(b.column(0))
-            for i, j in chunks(offsets, CHUNK):
-                number, place, begin = sequences(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], vocabulary)
-                w = np.concatenate([number, [v - 1, v - 1]])
-                at = np.flatnonzero(number != v - 1)
-                third = np.where(w[at + 1] == v - 1, v - 1, w[at + 2])
-                keys, c = summed([number[at], w[at + 1], third], np.ones(len(at), np.int64), [v, v, v])
-                held.append([k.astype(np.int32) for k in (*keys, c)])
-        if not held:
+    @staticmethod
+    def children(pointers: EliasFano, at: np.ndarray) -> np.ndarray:
+        """How many children each entry has; -1 has none."""
+        out, known = np.zeros(len(at), np.int64), np.flatnonzero(at >= 0)
+        out[known] = pointers.access(at[known] + 1) - pointers.access(at[known])
+        return out
+
+    @staticmethod
+    def below(level: EliasFano, context: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
+        """The place of each word among the children of its context; -1 if it is none of them."""
+        out = np.full(len(word), -1, np.int64)
+        known = np.flatnonzero(context >= 0)
+        out[known] = level.find(context[known] * size + word[known])
+        return out
+
+    def answer(self, a1: np.ndarray, n2: np.ndarray, a2: np.ndarray, n3: np.ndarray, a3: np.ndarray, size: int) -> list[np.ndarray]:
+        """t of words; c and t of bigrams, n2 for each word; c of trigrams, n3 for each bigram."""
+        one = self.words.find(a1)
+        two = self.below(self.level2, np.repeat(one, n2), a2, size)
+        three = self.below(self.level3, np.repeat(two, n3), a3, size)
+        return [self.children(self.pointers1, one), self.c2.access(two), self.children(self.pointers2, two), self.c3.access(three)]
+
+
+def planned(c1: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the words of a word shard with these counts, the first of the trie shards that a word's contexts are in, and
+    how many these are."""
+    parts = np.maximum(1, -(-c1 // tokens))
+    cut = parts > 1
+    shard = np.maximum(np.cumsum(np.where(cut, 0, c1)) - 1, 0) // tokens
+    shard[cut] = int(shard[~cut].max(initial=-1)) + 1 + np.cumsum(parts[cut]) - parts[cut]
+    return shard, parts
+
+
+class Block:
+    """Texts of a partition: the words of all, an end mark after each text that has words, and their distinct bigrams and
+    trigrams in order."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, trigrams: bool = True):
+        h, first = hashes(raw, offsets)
+        self.words, rank = ranked(h)
+        self.lengths = np.diff(first)
+        self.end = len(self.words)
+        if not trigrams:
+            self.word_counts = np.bincount(rank, minlength=self.end)
             return
-        keys = [np.concatenate([x[i] for x in held]).astype(np.int64) for i in range(4)]
-        del held
-        keys, c = summed(keys[:3], keys[3], [v, v, v])
-        cuts = np.searchsorted(keys[0], vocabulary.base)
-        for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:])):
+        sizes = self.lengths + (self.lengths > 0)
+        self.begin = np.concatenate([[0], np.cumsum(sizes)])
+        self.rank = np.full(int(self.begin[-1]) + 2, self.end, np.int64)
+        self.at = np.arange(len(h)) + np.repeat(np.cumsum(self.lengths > 0) - (self.lengths > 0), self.lengths)
+        self.rank[self.at] = rank
+        # a start is a word's place: with the one after it a bigram, with the one after that a trigram
+        second = self.rank[self.at + 1]
+        third = np.where(second == self.end, self.end, self.rank[self.at + 2])
+        wide = self.end + 1
+        order, first2, _, self.pair = grouped(rank * wide + second, 2 * wide.bit_length())
+        self.p1, self.p2 = rank[order[first2]], second[order[first2]]
+        order, first3, self.counts, self.trigram = grouped(self.pair * wide + third, wide.bit_length() + len(self.p1).bit_length())
+        self.pair_of, self.third = self.pair[order[first3]], third[order[first3]]
+
+    def route(self, number: np.ndarray, shard: np.ndarray, parts: np.ndarray, size: int) -> None:
+        """Put words, bigrams and trigrams into the order in which they go to the shards. A word in no shard isn't sent,
+        nor is what begins with it."""
+        asker = np.repeat(np.arange(self.end), parts)
+        part = np.arange(len(asker)) - np.repeat(np.cumsum(parts) - parts, parts)
+        self.by_shard = np.argsort(shard[asker] + part, kind="stable")
+        self.asker, self.shard = asker[self.by_shard], (shard[asker] + part)[self.by_shard]
+        where = np.empty(len(asker), np.int64)
+        where[self.by_shard] = np.arange(len(asker))
+        number = np.append(number, size - 1)
+        sent = np.flatnonzero(parts[self.p1] > 0)
+        p1, p2 = self.p1[sent], number[self.p2[sent]]
+        mine = (mix64(p2.astype(np.uint64)) % parts[p1].astype(np.uint64)).astype(np.int64)
+        ask = where[(np.cumsum(parts) - parts)[p1] + mine]
+        order, _ = in_order(ask, len(asker).bit_length())
+        self.pairs_sent, self.n2 = sent[order], np.bincount(ask, minlength=len(asker))
+        place = np.full(len(self.p1), len(self.p1))
+        place[self.pairs_sent] = np.arange(len(sent))
+        order, ordered = in_order(place[self.pair_of], (len(self.p1) + 1).bit_length())
+        self.trigrams_sent = order[: int(np.searchsorted(ordered, len(self.p1)))]
+        self.n3 = np.bincount(self.pair_of, minlength=len(self.p1))[self.pairs_sent]
+        self.asked = number[self.asker], number[self.p2[self.pairs_sent]], number[self.third[self.trigrams_sent]]
+
+    def messages(self, counted: bool) -> Iterator[tuple[int, bytes]]:
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(self.shard)) + 1, [len(self.shard)]])
+        ends2 = np.concatenate([[0], np.cumsum(self.n2)])
+        ends3 = np.concatenate([[0], np.cumsum(self.n3)])
+        counts = self.counts[self.trigrams_sent] if counted else np.zeros(len(self.trigrams_sent), np.int64)
+        a1, a2, a3 = self.asked
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             if z > a:
-                yield _sent({s: pack([keys[0][a:z] - vocabulary.base[s], keys[1][a:z], keys[2][a:z], c[a:z]])})
+                p, q = int(ends2[a]), int(ends2[z])
+                i, j = int(ends3[p]), int(ends3[q])
+                yield int(self.shard[a]), pack([np.diff(a1[a:z], prepend=0), self.n2[a:z], a2[p:q], self.n3[p:q], a3[i:j], counts[i:j]])
+
+    def scores(self, c1: np.ndarray, answers: list[list[np.ndarray]], ends: int, total: int, size: int, others: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability and number of unknown words of each text. others: without what the text itself counts."""
+        t1, c2, t2, c3 = np.zeros(self.end, np.int64), *(np.zeros(len(self.p1), np.int64) for _ in range(2)), np.zeros(len(self.third), np.int64)
+        if answers:
+            got = [np.concatenate(x) for x in zip(*answers)]
+            t1 = np.bincount(self.asker, got[0], self.end).astype(np.int64)
+            c2[self.pairs_sent], t2[self.pairs_sent], c3[self.trigrams_sent] = got[1:]
+        sizes = np.diff(self.begin)
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        n, at = len(text), self.at
+        total = total - sizes[text] if others else total
+        if others:
+            # entries of one text, which are also in the order of its bigrams and words
+            wide = max(1, len(self.third))
+            order, first3, n3, of3 = grouped(text[at] * wide + self.trigram, (len(sizes) * wide).bit_length())
+            some = order[first3]
+            pair, owner = self.pair[some], text[at][some]
+            first2 = np.flatnonzero((np.diff(pair, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
+            of2 = np.repeat(np.arange(len(first2)), np.diff(first2, append=len(some)))
+            n2, pair, owner = sums_of(n3, first2), pair[first2], owner[first2]
+            word = self.p1[pair]
+            first1 = np.flatnonzero((np.diff(word, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
+            of1 = np.repeat(np.arange(len(first1)), np.diff(first1, append=len(first2)))
+            # a successor that is seen in this text only is none in the others
+            alone3, alone2 = sums_of((n3 == c3[self.trigram[some]]).astype(np.int64), first2), sums_of((n2 == c2[pair]).astype(np.int64), first1)
+            here3 = (c3[self.trigram[some]] - n3)[of3]
+            above2, after2 = (c2[pair] - n2)[of2[of3]], (t2[pair] - alone3)[of2[of3]]
+            at1 = of1[of2[of3]]
+            above1, after1 = (c1[word[first1]] - sums_of(n2, first1))[at1], (t1[word[first1]] - alone2)[at1]
+        else:
+            here3, above2, after2 = c3[self.trigram], c2[self.pair], t2[self.pair]
+            above1, after1 = c1[self.rank[at]], t1[self.rank[at]]
+        p = np.full(n, float(ends - others))
+        p[at] = above1
+        p = (p + 1) / (total + size)
+        # at + 1 is in the same text always, at + 2 unless at + 1 is its end
+        mass = above1 + after1
+        fine = mass > 0
+        i = at[fine] + 1
+        p[i] = (above2[fine] + after1[fine] * p[i]) / mass[fine]
+        mass = above2 + after2
+        fine = (mass > 0) & (self.p2[self.pair] != self.end)
+        i = at[fine] + 2
+        p[i] = (here3[fine] + after2[fine] * p[i]) / mass[fine]
+        unknown = np.bincount(text[at], above1 == 0, len(sizes)).astype(np.int64)
+        return np.bincount(text, np.log(p), len(sizes)), unknown
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[pa.Array]]]:
+    """The partition's first row number, the block's number, its texts and their ids. Blocks are cut by the texts alone,
+    so they are the same for each scan. Columns: row, t, and an id where it is wanted."""
+    held, size, number, row = [], 0, 0, None
+
+    def joined() -> tuple[int, int, np.ndarray, np.ndarray, list[pa.Array]]:
+        lengths = np.concatenate([np.diff(o) for _, o, _ in held])
+        return row, number, np.concatenate([r for r, _, _ in held]), np.concatenate([[0], np.cumsum(lengths)]), [x for *_, ids in held for x in ids]
+
+    for b in batches:
+        if b.num_rows and row is None:
+            row = b.column(0)[0].as_py() >> ROW_BITS << ROW_BITS
+        raw, offsets = buffers(b.column(1))
+        i = 0
+        while i < b.num_rows:
+            j = min(b.num_rows, int(np.searchsorted(offsets, offsets[i] + most - size)))
+            held.append((raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], [c.slice(i, j - i) for c in b.columns[2:]]))
+            size += int(offsets[j] - offsets[i])
+            i = j
+            if size >= most:
+                yield joined()
+                held, size, number = [], 0, number + 1
+    if held:
+        yield joined()
+
+
+def _record(row: int, block: int, shards: list[int], data: list[bytes]) -> pa.RecordBatch:
+    n = len(shards)
+    return pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array([block] * n, pa.int64()), pa.array(shards, pa.int64()), pa.array(data, pa.binary())], ["row", "block", "shard", "data"])
+
+
+def _returned(path: str, row: int) -> dict[int, list[list[np.ndarray]]]:
+    """What came back to a partition, by block, in the order of the shards."""
+    out: dict[int, list[list[np.ndarray]]] = {}
+    found = read_own(path, row >> ROW_BITS, ["block", "shard", "data"], shared=0).sort_by([("block", "ascending"), ("shard", "ascending")])
+    for block, data in zip(found.column("block").to_pylist(), found.column("data")):
+        out.setdefault(block, []).append(data.as_py())
+    return out
 
-    def trie_shard(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        s = int(key[0])
-        columns = [[x.astype(np.int32) for x in unpack(d, 4)] for d in group["data"]]
-        v = sum(sizes) + 1
-        parts = [np.concatenate([c[i] for c in columns]).astype(np.int64) for i in range(4)]
-        del columns
-        keys, c = summed(parts[:3], parts[3], [sizes[s], v, v])
-        del parts
-        arrays = build_shard(*keys, c, sizes[s], v)
-        write_file(f"{folder}/trie-{s}", arrays)
-        return pd.DataFrame({"shard": [s], "bytes": [sum(a.nbytes for a in arrays)]})
 
-    built = slim.mapInArrow(count_trigrams, "shard long, data binary").groupBy("shard").applyInPandas(trie_shard, "shard long, bytes long").collect()
-    return {"folder": folder, "sizes": sizes, "bits": bits, "ends": ends, "total": total, "built": sorted(r["shard"] for r in built), "bytes": sum(r["bytes"] for r in built)}
+def _words_back(held: dict[int, list[bytes]], block: int, base: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Number, count, first trie shard and number of trie shards of each word of a block."""
+    parts = []
+    for data in held.get(block, []):
+        (shard,), rank, c1, first, many = unpack(data)
+        parts.append((np.where(c1 > 0, 1 + base[shard] + np.cumsum(rank), UNKNOWN), c1, (shard << _LOCAL_BITS) + first, many))
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else tuple(np.zeros(0, np.int64) for _ in range(4))
+
+
+def _exchange(docs: DataFrame, text_col: str, made: dict | None, reply: bool, most: int, tokens: int = 0, words: int = 0) -> tuple[dict, str, str]:
+    """Count docs and write the model, or ask one that is made; the model, and where the answers about words and about
+    trigrams are filed."""
+    spark, build = docs.sparkSession, made is None
+    slim = small_batches(docs).select("row", F.lower(F.col(text_col)).alias("t"))
+    if build:
+        estimate = docs.select(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+        made = {"folder": shared_path(spark, "lm"), "bits": max(0, (int(estimate) // 6 // words).bit_length()), "tokens": tokens}
+    folder, shift, tokens = made["folder"], HASH_BITS - made["bits"], made["tokens"]
+
+    def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, number, raw, offsets, _ in _blocks(batches, most):
+            block = Block(raw, offsets, trigrams=False)
+            shard = block.words >> shift
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)] if len(shard) else [0]
+            sent = [pack([np.diff(block.words[a:z] & ((1 << shift) - 1), prepend=0), block.word_counts[a:z]]) for a, z in zip(cuts[:-1], cuts[1:])]
+            totals = pack([np.array([block.lengths.sum()]), np.array([(block.lengths > 0).sum()])])
+            yield _record(row, number, [*(int(shard[a]) for a in cuts[:-1]), -1], [*sent, totals])
+
+    def own_words(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        s = int(key[0])
+        held = [unpack(d) for d in group["data"]]
+        if s < 0:
+            return pd.DataFrame({"row": [-1], "block": [0], "shard": [-1], "data": [pack([np.array([int(sum(x[i][0] for x in held))]) for i in (0, 1)])]})
+        asked = [np.cumsum(gaps) for gaps, _ in held]
+        path = f"{folder}/words-{s}"
+        if build:
+            h, times = np.concatenate(asked), np.concatenate([c for _, c in held])
+            order, first, _, _ = grouped(h, shift)
+            write_file(path, EliasFano.encode(h[order[first]], 1 << shift).parts() + Counts.encode(sums_of(times[order], first)).parts())
+        arrays = read_file(path)
+        known, counts = (EliasFano(*arrays[:6]), Counts(*arrays[6:])) if arrays else (EliasFano.encode(np.zeros(0, np.int64), 1), Counts.encode(np.zeros(0, np.int64)))
+        first, many = planned(counts.access(np.arange(known.n)), tokens)
+        out = []
+        for x in asked:
+            at = known.find(x)
+            rank = np.maximum.accumulate(np.maximum(at, 0))  # of those unknown it doesn't matter
+            out.append(pack([np.array([s]), np.diff(rank, prepend=0), counts.access(at), *(np.where(at >= 0, np.append(c, 0)[at], 0) for c in (first, many))]))
+        back = pd.DataFrame({"row": group["row"], "block": group["block"], "shard": group["shard"], "data": out})
+        return pd.concat([back, pd.DataFrame({"row": [-1], "block": [0], "shard": [s], "data": [pack([np.array([known.n])])]})])
+
+    returned = slim.mapInArrow(send_words, _SENT).groupBy("shard").applyInPandas(own_words, _SENT)
+    word_path = file_by_partition(returned, "words-back", shared=0)
+    if build:
+        told = {r["shard"]: [int(x[0]) for x in unpack(bytes(r["data"]))] for r in spark.read.schema(f"{_SENT}, folder long").parquet(word_path).where("folder = -1").collect()}
+        n, ends = told.pop(-1, (0, 0))
+        base = np.concatenate([[0], np.cumsum([told.get(s, [0])[0] for s in range(1 << made["bits"])])]).astype(np.int64)
+        made |= {"base": base, "ends": ends, "total": n + ends, "size": int(base[-1]) + 2}
+    base, size = made["base"], made["size"]
+
+    def send_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        back = None
+        for row, number, raw, offsets, _ in _blocks(batches, most):
+            back = _returned(word_path, row) if back is None else back
+            block = Block(raw, offsets)
+            numbers, _, first, many = _words_back(back, number, base)
+            block.route(numbers, first, many, size)
+            shards, data = zip(*m) if (m := list(block.messages(build))) else ((), ())
+            yield _record(row, number, list(shards), list(data))
+
+    def own_trigrams(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        path = f"{folder}/trie-{int(key[0])}"
+        held = [unpack(d) for d in group["data"]]
+        if build:
+            columns = []
+            for a1, n2, a2, n3, a3, c in held:
+                columns.append((np.repeat(np.repeat(np.cumsum(a1), n2), n3), np.repeat(a2, n3), a3, c))
+            write_file(path, Shard.build(*(np.concatenate(x) for x in zip(*columns)), size))
+            del columns
+        trie, out = Shard(read_file(path)), []
+        for a1, n2, a2, n3, a3, _ in held if reply else ():
+            out.append(pack(trie.answer(np.cumsum(a1), n2, a2, n3, a3, size)))
+        some = group.iloc[: len(out)]
+        return pd.DataFrame({"row": some["row"], "block": some["block"], "shard": some["shard"], "data": pd.Series(out, some.index, object)})
+
+    returned = slim.mapInArrow(send_trigrams, _SENT).groupBy("shard").applyInPandas(own_trigrams, _SENT)
+    return made, word_path, file_by_partition(returned, "trigrams-back", shared=0)
+
+
+def _scored(docs: DataFrame, made: dict, word_path: str, trigram_path: str, others: bool, most: int) -> DataFrame:
+    base, size, ends, total = made["base"], made["size"], made["ends"], made["total"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = trigrams = None
+        for row, number, raw, offsets, ids in _blocks(batches, most):
+            if words is None:
+                words, trigrams = _returned(word_path, row), _returned(trigram_path, row)
+            block = Block(raw, offsets)
+            numbers, c1, first, many = _words_back(words, number, base)
+            block.route(numbers, first, many, size)
+            log, unknown = block.scores(c1, [unpack(d) for d in trigrams.pop(number, [])], ends, total, size, others)
+            n = block.lengths
+            none = n == 0
+            yield pa.RecordBatch.from_arrays(
+                [pa.concat_arrays(ids), pa.array(n), pa.array(unknown), pa.array(log, mask=none), pa.array(np.exp(-log / (n + 1)), mask=none)], ["doc_id", "words", "unknown", "log_probability", "perplexity"]
+            )
 
-def open_vocabulary(folder: str, sizes: list[int], bits: int) -> Vocabulary:
-    return Vocabulary([f"{folder}/words-{s}" for s in range(len(sizes))], sizes, bits)
+    return docs.mapInArrow(run, "doc_id long, words long, unknown long, log_probability double, perplexity double")
 
 
-def open_model(made: dict) -> Model:
-    built = set(made["built"])
-    shards = [Shard(_read(f"{made['folder']}/trie-{s}")) if s in built else None for s in range(len(made["sizes"]))]
-    return Model(open_vocabulary(made["folder"], made["sizes"], made["bits"]), shards, made["ends"], made["total"])
+def _slim(docs: DataFrame, id_col: str | None, text_col: str) -> DataFrame:
+    doc_id = F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")
+    return with_row_id(stable(docs.select(doc_id.alias("doc_id"), F.col(text_col).alias("text"))), "row")
 
 
-def score(docs: DataFrame, made: dict, id_col: str = "doc_id", text_col: str = "text", others: bool = False) -> DataFrame:
-    """doc_id, words, unknown, log_probability, perplexity of every document under a model that train() made; others:
-    it has counted these documents, and each is scored by the counts of the others."""
+def train(docs: DataFrame, text_col: str = "text", shard_tokens: int = SHARD_TOKENS, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> dict:
+    """Count all documents and write the model; the result names its files and is small."""
+    return _exchange(_slim(docs, None, text_col), "text", None, False, block_bytes, shard_tokens, shard_words)[0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = open_model(made) if made["sizes"] else None
-        for b in batches:
-            raw, offsets = buffers(b.column(1))
-            n, unknown, log = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for i, j in chunks(offsets, CHUNK) if model else ():
-                number, place, begin = sequences(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model.vocabulary)
-                text = np.repeat(np.arange(j - i), np.diff(begin)) if others else None
-                p, new = model.log_probabilities(number, place, text)
-                sums = np.concatenate([[0.0], np.cumsum(p)])
-                news = np.concatenate([[0], np.cumsum(new)])
-                n[i:j] = np.maximum(0, np.diff(begin) - 1)
-                log[i:j], unknown[i:j] = sums[begin[1:]] - sums[begin[:-1]], news[begin[1:]] - news[begin[:-1]]
-            none = n == 0
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n), pa.array(unknown), pa.array(log, mask=none), pa.array(np.exp(-log / (n + 1)), mask=none)], ["doc_id", "words", "unknown", "log_probability", "perplexity"]
-            )
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("t"))
-    return slim.mapInArrow(run, "doc_id long, words long, unknown long, log_probability double, perplexity double")
+def score(docs: DataFrame, made: dict, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, words, unknown, log_probability, perplexity of every document under a model that train() made."""
+    slim = _slim(docs, id_col, text_col)
+    return _scored(slim.select("row", F.lower("text").alias("t"), "doc_id"), *_exchange(slim, "text", made, True, block_bytes), False, block_bytes)
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents' scores, each under the model of all the others; see the module's text for edge cases."""
-    return score(docs, train(docs, text_col), id_col, text_col, others=True)
+    slim = _slim(docs, id_col, text_col)
+    return _scored(slim.select("row", F.lower("text").alias("t"), "doc_id"), *_exchange(slim, "text", None, True, block_bytes, shard_tokens, shard_words), True, block_bytes)

@@ -3,8 +3,10 @@
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -27,37 +29,29 @@ def test_elias_fano(values, other):
 @given(st.lists(st.tuples(st.integers(0, 1 << 50), st.integers(0, 3)), max_size=100))
 def test_pack(rows):
     columns = [np.array([r[i] for r in rows], np.int64) for i in (0, 1)]
-    assert [c.tolist() for c in lm.unpack(lm.pack(columns), 2)] == [c.tolist() for c in columns]
+    assert [c.tolist() for c in lm.unpack(lm.pack(columns))] == [c.tolist() for c in columns]
 
 
 def brute_force(texts):
-    """Log probabilities by the module's formula, without hashes, shards or quantising."""
+    """Log probabilities by the module's formula, without hashes or shards."""
     docs = [WORD_RE.findall((t or "").lower()) for t in texts]
-    seen = Counter(w for d in docs for w in d)
-    docs = [[w if seen[w] >= lm.LEAST else "?" for w in d] + ["$"] if d else [] for d in docs]
-    one = Counter(w for d in docs for w in d)
-    two = Counter(p for d in docs for p in zip(d, d[1:]))
-    three = Counter(p for d in docs for p in zip(d, d[1:], d[2:]))
-    total = sum(one.values())
-    size = len({w for w, n in seen.items() if n >= lm.LEAST}) + 2
-
-    def share(counts, h):
-        own = {k: n for k, n in counts.items() if k[:-1] == h}
-        mass = sum(own.values()) + len(own)
-        kept = {k: n / mass for k, n in own.items() if n >= lm.LEAST}
-        return kept, 1 - sum(kept.values())
+    size = len({w for d in docs for w in d}) + 2
+    docs = [[*d, "$"] if d else [] for d in docs]
+    seen = Counter(tuple(d[k : k + n]) for d in docs for n in (1, 2, 3) for k in range(len(d) - n + 1))
+    after = Counter(h[:-1] for h in seen)
 
     def p(d, i):
-        out = (one[d[i]] + 1) / (total + size)
-        if i > 0:
-            kept, back = share(two, (d[i - 1],))
-            out = kept.get((d[i - 1], d[i]), 0) + back * out
-        if i > 1 and two[(d[i - 2], d[i - 1])] >= lm.LEAST:
-            kept, back = share(three, (d[i - 2], d[i - 1]))
-            out = kept.get((d[i - 2], d[i - 1], d[i]), 0) + back * out
+        out = (seen[(d[i],)] + 1) / (sum(map(len, docs)) + size)
+        for n in (1, 2)[:i]:
+            h = tuple(d[i - n : i])
+            out = (seen[(*h, d[i])] + after[h] * out) / (seen[h] + after[h]) if seen[h] else out
         return out
 
-    return [sum(math.log(p(d, i)) for i in range(len(d))) if d else None for d in docs], [d.count("?") for d in docs]
+    def scored(text):
+        d = WORD_RE.findall((text or "").lower())
+        return sum(math.log(p([*d, "$"], i)) for i in range(len(d) + 1)) if d else None, sum(not seen[(w,)] for w in d)
+
+    return scored
 
 
 def test_against_brute_force(spark):
@@ -66,16 +60,19 @@ def test_against_brute_force(spark):
     texts = [" ".join(rng.choice(base, rng.integers(1, 40))) + (f" rare{i}" if i % 3 == 0 else "") for i in range(60)] + [None, "", "...", "É é É", texts_long(rng, base)]
     rows = [(i, t, "x") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, words string").repartition(3)
-    made = lm.train(docs, shard_words=200)
-    assert len(made["sizes"]) > 1
-    got = {r.doc_id: r for r in lm.score(docs, made).collect()}
-    want, unknown = brute_force(texts)
-    for i, x in enumerate(want):
-        assert got[i].unknown == unknown[i]
-        if x is None:
-            assert got[i].log_probability is None and got[i].words == 0
-        else:
-            assert abs(got[i].log_probability - x) <= 0.06 * (got[i].words + 1)
+    others = [*texts, "cat dog cat", "the new cat on a new mat", "new", "x " * 3000, None]
+    want = brute_force(texts)
+    for shard_tokens, shard_words in ((10**9, 10**9), (100, 200)):
+        made = lm.train(docs, shard_tokens=shard_tokens, shard_words=shard_words)
+        asked = spark.createDataFrame([(i, t, "x") for i, t in enumerate(others)], "doc_id long, text string, row string").repartition(2)
+        got = {r.doc_id: r for r in lm.score(asked, made).collect()}
+        for i, t in enumerate(others):
+            x, unknown = want(t)
+            assert got[i].unknown == unknown
+            if x is None:
+                assert got[i].log_probability is None and got[i].perplexity is None and got[i].words == 0
+            else:
+                assert got[i].log_probability == pytest.approx(x, abs=1e-6 * (got[i].words + 1))
 
 
 def test_words_seen_nowhere_else(spark):
@@ -89,12 +86,15 @@ def test_words_seen_nowhere_else(spark):
     assert [got[i].unknown for i in range(64)] == [0] * 60 + [60] * 4
 
 
-def test_each_text_by_the_others(spark):
+@pytest.mark.parametrize("block, shard_tokens, shard_words", [(8 << 20, 300, 50), (50, 100, 10), (1, 10**6, 10**9)])
+def test_each_text_by_the_others(spark, block, shard_tokens, shard_words):
     """Against models that are trained without the text; a word of the text alone stays in the vocabulary."""
     rng = np.random.default_rng(9)
     texts = [" ".join(rng.choice("a b c d e f g".split(), rng.integers(1, 30))) for _ in range(12)] + ["a b own own a b own own c", "x", None, "a b c d", "a b c d", " ".join(["a b"] * 400)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     got = {r.doc_id: r for r in lm.score_documents(docs).collect()}
+    again = {r.doc_id: r for r in lm.score_documents(docs, shard_tokens=shard_tokens, shard_words=shard_words, block_bytes=block).collect()}
+    assert all(again[i].log_probability == pytest.approx(got[i].log_probability, abs=1e-9) for i in got if got[i].words)
     size = len({w for t in texts for w in WORD_RE.findall(t or "")}) + 2
     for i, t in enumerate(texts):
         if t is None:
@@ -115,10 +115,21 @@ def test_each_text_by_the_others(spark):
 
 def test_every_ngram_is_kept(spark):
     texts = ["once only here and once only there", "nothing is left out", "once only here", None]
-    model = lm.open_model(lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), shard_words=1))
+    made = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), shard_tokens=2, shard_words=1)
+    folder = Path(made["folder"].removeprefix("file:"))
+    tries = [lm.Shard(lm.read_file(f"{folder}/{f.name}")) for f in folder.glob("trie-*")]
+    assert len(tries) > 3
     docs = [[*WORD_RE.findall(t), "$"] for t in texts if t]
     for n, level in ((2, "level2"), (3, "level3")):
-        assert sum(getattr(s, level).n for s in model.shards if s) == len({tuple(d[k : k + n]) for d in docs for k in range(len(d) - n + 1)})
+        assert sum(getattr(s, level).n for s in tries) == len({tuple(d[k : k + n]) for d in docs for k in range(len(d) - n + 1)})
+
+
+def test_contexts_are_cut_evenly():
+    """A word of half of all positions is in as many shards as its count takes."""
+    c1 = np.array([5, 1000, 3, 7, 90, 2])
+    shard, parts = lm.planned(c1, 100)
+    assert parts.tolist() == [1, 10, 1, 1, 1, 1] and shard[1] == max(shard[[0, 2, 3, 4, 5]]) + 1
+    assert max(np.bincount(shard[[0, 2, 3, 4, 5]], c1[[0, 2, 3, 4, 5]])) <= 200
 
 
 def texts_long(rng, base):
