@@ -367,7 +367,7 @@ class Block:
         i = at[fine] + 2
         p[i] = (here3[fine] + after2[fine] * p[i]) / mass[fine]
         unknown = np.bincount(text[at], above1 == 0, len(sizes)).astype(np.int64)
-        return np.bincount(text, np.log(p), len(sizes)), unknown
+        return np.bincount(text, np.log(p), len(sizes)).astype(float), unknown
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[pa.Array]]]:
