@@ -52,16 +52,14 @@ from .text import buffers, mix64, word_hashes, word_spans
 #: Text that a task holds at once, unless one text is longer; words of a word shard at most, by the texts' size;
 #: positions of a trie shard, on average. They change no result: raise them with the executors' memory, for the
 #: number of messages is blocks times shards.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 SHARD_WORDS = 6_000_000
-SHARD_TOKENS = 2_500_000
+SHARD_TOKENS = 1_500_000
 HASH_BITS = 62
 UNKNOWN = 0
-#: Shard numbers of one word shard's tries.
-_LOCAL_BITS = 40
 _PIECE = 1 << 20
 _ZSTD = pa.Codec("zstd", compression_level=1)
-_SENT = "row long, block long, shard long, data binary"
+_SENT = "row long, block long, shard int, data binary"
 
 
 def pack(columns: list[np.ndarray]) -> bytes:
@@ -255,7 +253,7 @@ def planned(c1: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray]:
     """For the words of a word shard with these counts, the first of the trie shards that a word's contexts are in, and
     how many these are."""
     parts = np.maximum(1, -(-c1 // tokens))
-    cut = parts > 1
+    cut = c1 > tokens // 2  # so that no range goes far beyond tokens
     shard = np.maximum(np.cumsum(np.where(cut, 0, c1)) - 1, 0) // tokens
     shard[cut] = int(shard[~cut].max(initial=-1)) + 1 + np.cumsum(parts[cut]) - parts[cut]
     return shard, parts
@@ -398,7 +396,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int,
 
 def _record(row: int, block: int, shards: list[int], data: list[bytes]) -> pa.RecordBatch:
     n = len(shards)
-    return pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array([block] * n, pa.int64()), pa.array(shards, pa.int64()), pa.array(data, pa.binary())], ["row", "block", "shard", "data"])
+    return pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array([block] * n, pa.int64()), pa.array(shards, pa.int32()), pa.array(data, pa.binary())], ["row", "block", "shard", "data"])
 
 
 def _returned(path: str, row: int) -> dict[int, list[list[np.ndarray]]]:
@@ -410,12 +408,13 @@ def _returned(path: str, row: int) -> dict[int, list[list[np.ndarray]]]:
     return out
 
 
-def _words_back(held: dict[int, list[bytes]], block: int, base: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Number, count, first trie shard and number of trie shards of each word of a block."""
+def _words_back(held: dict[int, list[bytes]], block: int, base: np.ndarray, tries: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Number, count, first trie shard and number of trie shards of each word of a block; base and tries: where each word
+    shard's words and trie shards begin."""
     parts = []
     for data in held.get(block, []):
         (shard,), rank, c1, first, many = unpack(data)
-        parts.append((np.where(c1 > 0, 1 + base[shard] + np.cumsum(rank), UNKNOWN), c1, (shard << _LOCAL_BITS) + first, many))
+        parts.append((np.where(c1 > 0, 1 + base[shard] + np.cumsum(rank), UNKNOWN), c1, tries[shard] + first, many))
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else tuple(np.zeros(0, np.int64) for _ in range(4))
 
 
@@ -436,10 +435,10 @@ def _exchange(docs: DataFrame, text_col: str, made: dict | None, reply: bool, mo
             cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)] if len(shard) else [0]
             sent = [pack([np.diff(block.words[a:z] & ((1 << shift) - 1), prepend=0), block.word_counts[a:z]]) for a, z in zip(cuts[:-1], cuts[1:])]
             totals = pack([np.array([block.lengths.sum()]), np.array([(block.lengths > 0).sum()])])
-            yield _record(row, number, [*(int(shard[a]) for a in cuts[:-1]), -1], [*sent, totals])
+            yield _record(row, number, [0, *(int(shard[a]) + 1 for a in cuts[:-1])], [totals, *sent])
 
     def own_words(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        s = int(key[0])
+        s = int(key[0]) - 1
         held = [unpack(d) for d in group["data"]]
         if s < 0:
             return pd.DataFrame({"row": [-1], "block": [0], "shard": [-1], "data": [pack([np.array([int(sum(x[i][0] for x in held))]) for i in (0, 1)])]})
@@ -458,23 +457,24 @@ def _exchange(docs: DataFrame, text_col: str, made: dict | None, reply: bool, mo
             rank = np.maximum.accumulate(np.maximum(at, 0))  # of those unknown it doesn't matter
             out.append(pack([np.array([s]), np.diff(rank, prepend=0), counts.access(at), *(np.where(at >= 0, np.append(c, 0)[at], 0) for c in (first, many))]))
         back = pd.DataFrame({"row": group["row"], "block": group["block"], "shard": group["shard"], "data": out})
-        return pd.concat([back, pd.DataFrame({"row": [-1], "block": [0], "shard": [s], "data": [pack([np.array([known.n])])]})])
+        return pd.concat([back, pd.DataFrame({"row": [-1], "block": [0], "shard": [s], "data": [pack([np.array([known.n]), np.array([int((first + many).max(initial=0))])])]})])
 
-    returned = slim.mapInArrow(send_words, _SENT).groupBy("shard").applyInPandas(own_words, _SENT)
+    sent = slim.mapInArrow(send_words, _SENT).repartitionById((1 << made["bits"]) + 1, "shard")
+    returned = sent.groupBy("shard").applyInPandas(own_words, _SENT)
     word_path = file_by_partition(returned, "words-back", shared=0)
     if build:
         told = {r["shard"]: [int(x[0]) for x in unpack(bytes(r["data"]))] for r in spark.read.schema(f"{_SENT}, folder long").parquet(word_path).where("folder = -1").collect()}
         n, ends = told.pop(-1, (0, 0))
-        base = np.concatenate([[0], np.cumsum([told.get(s, [0])[0] for s in range(1 << made["bits"])])]).astype(np.int64)
-        made |= {"base": base, "ends": ends, "total": n + ends, "size": int(base[-1]) + 2}
-    base, size = made["base"], made["size"]
+        base, tries = (np.concatenate([[0], np.cumsum([told.get(s, (0, 0))[i] for s in range(1 << made["bits"])])]).astype(np.int64) for i in (0, 1))
+        made |= {"base": base, "tries": tries, "ends": ends, "total": n + ends, "size": int(base[-1]) + 2}
+    base, tries, size = made["base"], made["tries"], made["size"]
 
     def send_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         back = None
         for row, number, raw, offsets, _ in _blocks(batches, most):
             back = _returned(word_path, row) if back is None else back
             block = Block(raw, offsets)
-            numbers, _, first, many = _words_back(back, number, base)
+            numbers, _, first, many = _words_back(back, number, base, tries)
             block.route(numbers, first, many, size)
             shards, data = zip(*m) if (m := list(block.messages(build))) else ((), ())
             yield _record(row, number, list(shards), list(data))
@@ -494,12 +494,14 @@ def _exchange(docs: DataFrame, text_col: str, made: dict | None, reply: bool, mo
         some = group.iloc[: len(out)]
         return pd.DataFrame({"row": some["row"], "block": some["block"], "shard": some["shard"], "data": pd.Series(out, some.index, object)})
 
-    returned = slim.mapInArrow(send_trigrams, _SENT).groupBy("shard").applyInPandas(own_trigrams, _SENT)
+    # a task for each shard, by its number: where a hash puts several into one task, the largest is several times as large
+    sent = slim.mapInArrow(send_trigrams, _SENT).repartitionById(max(1, int(tries[-1])), "shard")
+    returned = sent.groupBy("shard").applyInPandas(own_trigrams, _SENT)
     return made, word_path, file_by_partition(returned, "trigrams-back", shared=0)
 
 
 def _scored(docs: DataFrame, made: dict, word_path: str, trigram_path: str, others: bool, most: int) -> DataFrame:
-    base, size, ends, total = made["base"], made["size"], made["ends"], made["total"]
+    base, tries, size, ends, total = (made[k] for k in ("base", "tries", "size", "ends", "total"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = trigrams = None
@@ -507,7 +509,7 @@ def _scored(docs: DataFrame, made: dict, word_path: str, trigram_path: str, othe
             if words is None:
                 words, trigrams = _returned(word_path, row), _returned(trigram_path, row)
             block = Block(raw, offsets)
-            numbers, c1, first, many = _words_back(words, number, base)
+            numbers, c1, first, many = _words_back(words, number, base, tries)
             block.route(numbers, first, many, size)
             log, unknown = block.scores(c1, [unpack(d) for d in trigrams.pop(number, [])], ends, total, size, others)
             n = block.lengths
