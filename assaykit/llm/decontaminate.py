@@ -1,17 +1,22 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-Patterns are the runs of WINDOW words of every normalised question and answer, or the whole item if it is shorter
-(but at least SHORTEST words). Normalised means: lower case, words (runs of Unicode letters, digits and underscores)
-joined by single spaces. Every document is normalised and scanned once; a hit's place is mapped back to the
-original through the words' ordinal numbers, and hits of one item that overlap or touch are one passage.
+A passage is a run of WINDOW words or more of a normalised question or answer, or the whole item if it is shorter, however
+short. Normalised means: lower case, words (runs of Unicode letters, digits and underscores) joined by single spaces.
 
-The patterns are as large as the benchmark, not the corpus. They are broadcast if they are under BROADCAST_BYTES;
-beyond that they are cut into shards of that size, and each shard scans the documents in tasks of its own.
+The automaton holds each item's words in pieces of half a window, so it is as large as the benchmark and not WINDOW times
+that: a run of WINDOW words has a whole piece in it. Every document is normalised and scanned once; a piece that is met is
+extended to both sides word by word, and what reaches the length is a passage. Its place is mapped back to the original
+through the words' ordinal numbers; passages of one item that overlap or touch are one.
+
+The benchmark is written to the shared folder once; each Python worker reads it there and builds the one automaton, some
+60 bytes a character, for all its tasks. Nothing of it passes through the driver.
+
+drop_contaminated() drops a document for a passage of at least DROP words: a short answer is found in clean texts too, so
+it is reported, and the reader decides.
 
 Defined results. A null or wordless text has no passage, nor has a null or wordless item; items with equal words are
-reported each. Repeated rows are each reported. Items of fewer than SHORTEST words are not looked for, for they would
-hit clean text. Empty tables give empty results. Other columns are ignored, whatever their names. Places count
-Unicode code points.
+reported each, an item with a null id under that. Repeated rows are each reported. Empty tables give empty results.
+Other columns are ignored, whatever their names. Places count Unicode code points.
 """
 
 from __future__ import annotations
@@ -21,14 +26,15 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import filter_rows, fresh, small_batches, stable, with_row_id
+from .exchange import filter_rows, mark, shared_path, small_batches, stable, with_row_id
 
 WINDOW = 13
-SHORTEST = 8
-BROADCAST_BYTES = 64 << 20
+DROP = 8
 _GAP = re.compile(r"\W+")
 _WORD = re.compile(r"\w+")
 
@@ -44,92 +50,105 @@ def normalise(text: str) -> str:
     return f" {_GAP.sub(' ', lower(text)).strip()} "
 
 
-def patterns(items: list[tuple[int, str]], window: int, shortest: int) -> dict[str, list[tuple[int, int]]]:
-    """Pattern -> (item, words) for all runs of window words."""
-    out: dict[str, list[tuple[int, int]]] = {}
-    for item, text in items:
-        words = normalise(text or "").split()
-        k = min(window, len(words))
-        if k >= min(shortest, window):
-            for run in {" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}:
-                out.setdefault(f" {run} ", []).append((item, k))
-    return out
-
-
-def automaton(found: dict[str, list[tuple[int, int]]]) -> ahocorasick.Automaton:
-    out = ahocorasick.Automaton()
-    for pattern, whose in found.items():
-        out.add_word(pattern, (len(pattern), whose))
-    if found:
-        out.make_automaton()
-    return out
-
-
-def passages(text: str, machine: ahocorasick.Automaton) -> list[tuple[int, int, int, int]]:
-    """(item, start, end, words) of each passage of text."""
-    plain = normalise(text)
-    hits: dict[int, list[tuple[int, int]]] = {}
-    done, ordinal = 0, 0
-    for end, (length, whose) in machine.iter(plain):
-        ordinal += plain.count(" ", done, end)
-        done = end
-        for item, k in whose:
-            hits.setdefault(item, []).append((ordinal - k, ordinal))
-    if not hits:
-        return []
-    places = [m.span() for m in _WORD.finditer(lower(text))]
-    out = []
-    for item, runs in hits.items():
-        merged: list[list[int]] = []
-        for a, z in sorted(runs):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], z)
-            else:
-                merged.append([a, z])
-        out += [(item, places[a][0], places[z - 1][1], z - a) for a, z in merged]
-    return sorted(out)
-
-
-def _scan(docs: DataFrame, items: list[tuple[int, str]], window: int, shortest: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())])
+class Machine:
+    """The automaton over the items' pieces."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]], window: int):
+        self.ids = [item for item, _ in items]
+        self.words = [normalise(text or "").split() for _, text in items]
+        self.needed = [min(window, len(w)) for w in self.words]
+        self.pieces = ahocorasick.Automaton()
+        held: dict[str, list[tuple[int, int]]] = {}
+        for k, (words, needed) in enumerate(zip(self.words, self.needed)):
+            size = (needed + 1) // 2 if len(words) > needed else needed
+            for i in range(0, len(words) - size + 1, size) if size else ():
+                held.setdefault(f" {' '.join(words[i : i + size])} ", []).append((k, i))
+        for piece, whose in held.items():
+            self.pieces.add_word(piece, (piece.count(" ") - 1, whose))
+        if held:
+            self.pieces.make_automaton()
+
+    def passages(self, text: str) -> list[tuple[int | None, int, int, int]]:
+        """(item, start, end, words) of each passage of text."""
+        if not len(self.pieces):
+            return []
+        plain = normalise(text)
+        runs: dict[int, list[tuple[int, int]]] = {}
+        reached: dict[tuple[int, int], int] = {}
+        done = ordinal = 0
+        there: list[str] | None = None
+        for end, (size, whose) in self.pieces.iter(plain):
+            ordinal += plain.count(" ", done, end)
+            done = end
+            at = ordinal - size
+            there = plain.split() if there is None else there
+            for k, i in whose:
+                if reached.get((k, at - i), -1) >= ordinal:  # within a run that is known
+                    continue
+                words, a, z = self.words[k], at, ordinal
+                while a > 0 and i > 0 and there[a - 1] == words[i - 1]:
+                    a, i = a - 1, i - 1
+                while z < len(there) and i + z - a < len(words) and there[z] == words[i + z - a]:
+                    z += 1
+                reached[k, a - i] = z
+                if z - a >= self.needed[k]:
+                    runs.setdefault(k, []).append((a, z))
+        if not runs:
+            return []
+        places = [m.span() for m in _WORD.finditer(lower(text))]
+        out = []
+        for k, found in runs.items():
+            merged: list[list[int]] = []
+            for a, z in sorted(found):
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], z)
+                else:
+                    merged.append([a, z])
+            out += [(self.ids[k], places[a][0], places[z - 1][1], z - a) for a, z in merged]
+        return sorted(out, key=lambda p: (p[1:], p[0] is None, p[0] or 0))
+
+
+_built: tuple[str, Machine] | None = None
+
+
+def _machine(path: str, window: int) -> Machine:
+    """The machine of the benchmark at path, built once in a worker."""
+    global _built
+    if _built is None or _built[0] != f"{path} {window}":
+        _built = None
+        system, at = fs.FileSystem.from_uri(path)
+        table = ds.dataset(at, filesystem=system, format="parquet").to_table(["item", "text"])
+        _built = f"{path} {window}", Machine(list(zip(table.column("item").to_pylist(), table.column("text").to_pylist())), window)
+    return _built[1]
+
+
+def _passages(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_texts: tuple[str, ...], window: int) -> DataFrame:
+    """row, mark, doc_id, item_id, start, end, words."""
+    slim = with_row_id(small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "row").select("row", mark("text"), "doc_id", "text")
+    path = shared_path(docs.sparkSession, "benchmark")
+    items = F.explode(F.array(*(F.col(c).cast("string") for c in item_texts)))
+    benchmark.select(F.col(item_col).cast("long").alias("item"), items.alias("text")).where("text is not null").write.parquet(path)
+    schema = pa.schema([("row", pa.int64()), ("mark", pa.int64()), ("doc_id", pa.int64()), *((c, pa.int64()) for c in ("item_id", "start", "end", "words"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(patterns(shared.value, window, shortest))
-        for b in batches if len(machine) else ():
-            rows = [(i, *p) for i, text in enumerate(b.column(2).to_pylist()) if text for p in passages(text, machine)]
+        machine = _machine(path, window)
+        for b in batches:
+            rows = [(i, *p) for i, text in enumerate(b.column(3).to_pylist()) if text for p in machine.passages(text)]
             if rows:
                 at, *rest = zip(*rows)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), *(pa.array(x, pa.int64()) for x in rest)], schema=schema)
-
-    return docs.mapInArrow(run, "row long, doc_id long, item_id long, start long, end long, words long")
-
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in range(3)), *(pa.array(x, pa.int64()) for x in rest)], schema=schema)
 
-def _passages(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_texts: tuple[str, ...], window: int, shortest: int) -> DataFrame:
-    slim = with_row_id(small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "row").select("row", "doc_id", "text")
-    parts = [benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(c).alias("text")) for c in item_texts]
-    found, shards, size = None, [[]], 0
-    for part in parts:
-        for item, text in part.where("text is not null and item is not null").toLocalIterator():
-            if size + len(text) * window > BROADCAST_BYTES and shards[-1]:
-                shards.append([])
-                size = 0
-            shards[-1].append((item, text))
-            size += len(text) * window
-    for shard in shards:
-        one = _scan(slim, shard, window, shortest)
-        found = one if found is None else found.union(one)
-    return found.distinct() if len(parts) > 1 else found
+    found = slim.mapInArrow(run, "row long, mark long, doc_id long, item_id long, start long, end long, words long")
+    return found.distinct() if len(item_texts) > 1 else found
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_texts: tuple[str, ...] = ("text",), window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_texts: tuple[str, ...] = ("text",), window: int = WINDOW) -> DataFrame:
     """doc_id, item_id, start, end (places in the original text), words: a row for each passage of an item."""
-    return _passages(docs, benchmark, id_col, text_col, item_col, item_texts, window, shortest).drop("row")
+    return _passages(docs, benchmark, id_col, text_col, item_col, item_texts, window).drop("row", "mark")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_texts: tuple[str, ...] = ("text",), window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
-    """docs without those that hold a passage, with all columns as they were."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_texts: tuple[str, ...] = ("text",), window: int = WINDOW, least: int = DROP) -> DataFrame:
+    """docs without those that hold a passage of at least so many words, with all columns as they were."""
     docs = stable(docs)
-    row = fresh(docs, "row")
-    dirty = _passages(docs, benchmark, id_col, text_col, item_col, item_texts, window, shortest).select("row").distinct()
-    return filter_rows(with_row_id(docs, row), row, dirty, keep=False).drop(row)
+    dirty = _passages(docs, benchmark, id_col, text_col, item_col, item_texts, window).where(F.col("words") >= least).select("row", "mark").distinct()
+    return filter_rows(docs, dirty, False, text_col)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import ROW_BITS, file_by_partition, filter_rows, fresh, materialise, read_own, small_batches, stable, with_row_id
+from .exchange import ROW_BITS, file_by_partition, filter_rows, materialise, read_own, small_batches, stable, with_row_id
 
 SPARE_BITS = 16
 #: Fingerprints that an owner holds at once, at most, on average.
@@ -130,7 +130,7 @@ def _suspects(docs: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document that another, kept one equals byte for byte: row (its place in the scan), doc_id,
+    """A row for each document that another, kept one equals byte for byte: row (its place in the scan), mark, doc_id,
     kept_doc_id and copies (documents with this text). docs must be stable()."""
     slim = with_row_id(small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "row")
     suspects = _suspects(slim)
@@ -140,16 +140,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .select("print", F.sha2("text", 256).alias("sha"), F.col("kept.row").alias("kept_row"), F.col("kept.doc_id").alias("kept_doc_id"), "copies")
     )
     member = suspects.select("row", "doc_id", "print", F.sha2("text", 256).alias("sha"))
-    return member.join(groups, ["print", "sha"]).where("row != kept_row").select("row", "doc_id", "kept_doc_id", "copies")
+    return member.join(groups, ["print", "sha"]).where("row != kept_row").select("row", F.col("print").alias("mark"), "doc_id", "kept_doc_id", "copies")
 
 
 def find_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, kept_doc_id, copies for each document that is dropped; see the module's text for edge cases."""
-    return exact_duplicates(stable(docs), id_col, text_col).drop("row")
+    return exact_duplicates(stable(docs), id_col, text_col).drop("row", "mark")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows of find_exact_duplicates, with all columns as they were."""
     docs = stable(docs)
-    row = fresh(docs, "row")
-    return filter_rows(with_row_id(docs, row), row, exact_duplicates(docs, id_col, text_col), keep=False).drop(row)
+    return filter_rows(docs, exact_duplicates(docs, id_col, text_col), False, text_col)

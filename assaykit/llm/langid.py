@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .exchange import small_batches
+from .exchange import fresh, small_batches
 from .text import buffers, chunks
 
 GRAMS = 3
@@ -211,7 +211,7 @@ def classified(docs: DataFrame, text_col: str, columns: list[str], model: tuple[
             yield pa.RecordBatch.from_arrays([*b.columns[1:], said, pa.array(sure)], [*b.schema.names[1:], *names_of])
 
     schema = docs.select(*columns).schema.add(names_of[0], "string").add(names_of[1], "double")
-    return docs.select(F.lower(F.col(text_col)).alias("__text"), *columns).mapInArrow(run, schema)
+    return docs.select(F.lower(F.col(text_col)).alias(fresh(docs, "text")), *columns).mapInArrow(run, schema)
 
 
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray, float]:
@@ -228,7 +228,6 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_identified(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> DataFrame:
     """The documents whose language is identified with enough confidence, with all columns as they were."""
-    taken = {c.lower() for c in docs.columns}
-    names = tuple(n + "_" * sum(c.startswith(n) for c in taken) for n in ("language", "confidence"))
+    names = fresh(docs, "language"), fresh(docs, "confidence")
     out = classified(docs, text_col, docs.columns, fit(docs, text_col, label_col), names)
     return out.where(F.col(names[1]) >= CONFIDENCE).drop(*names)

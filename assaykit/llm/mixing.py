@@ -15,7 +15,7 @@ Defined results. A null source is a source of its own. A null or empty text has
 gives its documents with chance SHARE. Sources that targets doesn't name get nothing; without targets all get the
 same weight. Repeated rows are drawn each for itself. Ties in tokens move two documents against each other. An empty
 table gives an empty result. Other columns are ignored, whatever their names. The draw depends on SEED and on the
-rows' places only.
+rows' ids and texts only, not on how they lie in files.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import filter_rows, fresh, materialise, stable, with_row_id
+from .exchange import filter_rows, mark, materialise, stable, with_row_id
 
 SHARE = 0.5
 SEED = 20240607
@@ -93,21 +93,21 @@ def landing(pi: list[float], rng: random.Random) -> list[float]:
 
 def _fly(units: DataFrame, keys: list[str], seed: int, land: bool = False) -> DataFrame:
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["place", "row"])
+        group = group.sort_values(["place", "doc_id", "row"])
         rng = random.Random(f"{seed} {key}")
         pi = flight(group["pi"].tolist(), group["tokens"].astype(float).tolist(), rng)
         group["pi"] = landing(pi, rng) if land else pi
-        return group.loc[group["pi"] > 0, ["row", "doc_id", "source", "tokens", "place", "pi"]]
+        return group.loc[group["pi"] > 0, ["row", "mark", "doc_id", "source", "tokens", "place", "pi"]]
 
-    return units.groupBy(*keys).applyInPandas(run, "row long, doc_id long, source string, tokens long, place long, pi double")
+    return units.groupBy(*keys).applyInPandas(run, "row long, mark long, doc_id long, source string, tokens long, place long, pi double")
 
 
 def mixture(docs: DataFrame, targets: dict[str | None, float] | None = None, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, chunk: int = CHUNK) -> DataFrame:
-    """row, doc_id, source, tokens of the documents drawn. docs must be stable()."""
+    """row, mark, doc_id, source, tokens of the documents drawn. docs must be stable()."""
     spark = docs.sparkSession
     slim = with_row_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")), "row")
     tokens = F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0)).cast("long")
-    units = materialise(slim.select("row", "doc_id", "source", tokens.alias("tokens"), F.xxhash64("row", F.lit(seed)).alias("place")), "units")
+    units = materialise(slim.select("row", mark("text"), "doc_id", "source", tokens.alias("tokens"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("place")), "units")
     totals = {s: (n, t) for s, n, t in units.groupBy("source").agg(F.count("*"), F.sum("tokens")).collect()}
     pi = chances({s: t for s, (_, t) in totals.items()}, targets, share)
     by_source = spark.createDataFrame([(s, pi[s], -(-n // chunk)) for s, (n, _) in totals.items()], "s string, pi double, chunks long")
@@ -126,16 +126,15 @@ def mixture(docs: DataFrame, targets: dict[str | None, float] | None = None, sha
     out = drawn[0]
     for x in drawn[1:]:
         out = out.union(x)
-    return out.select("row", "doc_id", "source", "tokens")
+    return out.select("row", "mark", "doc_id", "source", "tokens")
 
 
 def draw_mixture(docs: DataFrame, targets: dict[str | None, float] | None = None, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, tokens of the documents drawn; see the module's text for edge cases."""
-    return mixture(stable(docs), targets, share, id_col, text_col, source_col).drop("row")
+    return mixture(stable(docs), targets, share, id_col, text_col, source_col).drop("row", "mark")
 
 
 def keep_mixture(docs: DataFrame, targets: dict[str | None, float] | None = None, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents drawn, with all columns as they were."""
     docs = stable(docs)
-    row = fresh(docs, "row")
-    return filter_rows(with_row_id(docs, row), row, mixture(docs, targets, share, id_col, text_col, source_col), keep=True).drop(row)
+    return filter_rows(docs, mixture(docs, targets, share, id_col, text_col, source_col), True, text_col)

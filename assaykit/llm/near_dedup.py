@@ -6,12 +6,17 @@ coordinate is filled after 2 T rounds at the latest, mostly after one or two; th
 sketches is concentrated about their Jaccard similarity as with T independent hash functions, at a cost of
 O(n + T log T) instead of O(n T).
 
-Banding. BANDS keys of WIDTH coordinates each; rows with equal shingle sets are one candidate. Candidates: in each
-bucket the row with the least number is the pivot, and all others are paired with it, so pairs grow with the rows
-of a bucket, not with their square. Pairs are verified by the exact Jaccard similarity of the shingle sets, and
-verified pairs are joined into components. What the pivots don't connect is not given up: in every bucket that still
-holds several components, the rows outside its largest component are paired with all of another component and
-verified too. Thus each candidate pair either is verified or lies within one component already.
+Banding. BANDS keys of WIDTH coordinates each; rows with equal shingle sets are one candidate. In each bucket the row
+with the least number is the pivot, and all others are paired with it, so these pairs grow with the rows of a bucket,
+not with their square. Pairs are verified by the exact Jaccard similarity of the shingle sets, and verified pairs are
+joined into components.
+
+What the pivots don't connect. In a bucket that still holds several components, any two rows of different ones may be
+similar; where many documents share a passage they mostly aren't, and pairing them all would grow with their square. The
+rows of such buckets are joined by prefixes instead, which is exact: with a set's shingles in one order, rarest first,
+two sets of n >= m shingles and similarity t at least share one of the first n - ceil(t n) + 1 of the larger and
+m - ceil(2 t m / (1 + t)) + 1 of the smaller, and what lies behind it must suffice. A shared passage is frequent and
+last in the order, so it pairs nobody. Rarity is counted over these rows in COUNTERS counters; any one order is right.
 
 Defined results. A group is a connected component of pairs with similarity >= threshold; the document with the least
 id stays, a null id after all others, among equal ids the first in the scan. Texts of fewer than SHINGLE words are
@@ -28,14 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .exchange import filter_rows, fresh, materialise, small_batches, stable, with_row_id
+from ..operators.components import connected_components
+from .exchange import filter_rows, mark, materialise, small_batches, stable, with_row_id
 from .text import buffers, chunks, distinct_shingles, mix64, shingles, word_hashes, word_spans
 
 SHINGLE = 3
 THRESHOLD = 0.6
 BANDS = 32
 WIDTH = 4
+COUNTERS = 1 << 18
 _SEEDS = mix64(np.arange(1, 2 * BANDS * WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOW = np.uint64((1 << 40) - 1)
 
@@ -64,12 +70,12 @@ def _bands(sketches: np.ndarray) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """row, doc_id, two halves of a digest of the set, keys: for each row with words."""
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """row, mark, doc_id, two halves of a digest of the set, keys: for each row with words."""
+    schema = pa.schema([("row", pa.int64()), ("mark", pa.int64()), ("doc_id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, offsets = buffers(b.column(2))
+            raw, offsets = buffers(b.column(3))
             for i, j in chunks(offsets):
                 part, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 s, e, first = word_spans(part, at)
@@ -84,9 +90,9 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 digest = [np.add.reduceat(mix64(values ^ np.uint64(x)), begin[:-1]).view(np.int64) for x in (0x51ED270B, 0xA0761D64)]
                 where = pa.array(some + i)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(where), b.column(1).take(where), pa.array(digest[0]), pa.array(digest[1]), flat], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(where) for c in range(3)), pa.array(digest[0]), pa.array(digest[1]), flat], schema=schema)
 
-    return docs.select("row", "doc_id", F.lower("text").alias("text")).mapInArrow(run, "row long, doc_id long, d1 long, d2 long, keys array<long>")
+    return docs.select("row", mark("text"), "doc_id", F.lower("text").alias("text")).mapInArrow(run, "row long, mark long, doc_id long, d1 long, d2 long, keys array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -105,19 +111,67 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return joined.mapInArrow(run, "u long, v long")
 
 
-def _pairs_left(members: DataFrame, roots: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs that share a bucket, lie in different components, and weren't tried."""
+def _mixed(at: DataFrame, key: str) -> DataFrame:
+    """The rows of at (key, rep, root) whose key has several roots, with main, the root that most of them have."""
+    of = at.groupBy(key, "root").count().groupBy(key).agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("n"))
+    return at.join(of.where("n > 1").drop("n"), key)
+
+
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """rep, root, n, key, place, leads: a row for each shingle of a set's prefix; leads: also of the prefix that the set
+    has towards larger ones. sets has rep, root and text."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for x in distinct_shingles(b.column(0), SHINGLE):
+                np.add.at(seen, (x % np.uint64(COUNTERS)).astype(np.int64), 1)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["counter", "n"])
+
+    counted = sets.select("text").mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(COUNTERS, np.int64)
+    often[counted["counter"]] = counted["n"]
+    shared = sets.sparkSession.sparkContext.broadcast(often)
+    schema = pa.schema([("rep", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("place", pa.int64()), ("leads", pa.bool_())])
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for b in batches:
+            parts, rows = [], []
+            for i, x in enumerate(distinct_shingles(b.column(2), SHINGLE)):
+                n = len(x)
+                long, short = n - int(np.ceil(threshold * n - 1e-9)) + 1, n - int(np.ceil(2 * threshold / (1 + threshold) * n - 1e-9)) + 1
+                x = x[np.lexsort((x, often[(x % np.uint64(COUNTERS)).astype(np.int64)]))][: min(n, long)]
+                parts.append((x.view(np.int64), np.full(len(x), n), np.arange(len(x)), np.arange(len(x)) < short))
+                rows.append(np.full(len(x), i))
+            if rows:
+                key, n, place, leads = (np.concatenate(c) for c in zip(*parts))
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(n), pa.array(key), pa.array(place), pa.array(leads)], schema=schema)
+
+    return sets.select("rep", "root", "text").mapInArrow(order, "rep long, root long, n long, key long, place long, leads boolean")
+
+
+def _pairs_left(members: DataFrame, roots: DataFrame, texts: DataFrame, tried: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different components among the rows of buckets that hold several, that may be similar and weren't tried."""
     at = members.join(roots, members.rep == roots.node, "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = at.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("n")).where("n > 1")
-    held = at.join(mixed.select("key", "main"), "key")
-    apart = held.where("root != main").select("key", F.col("rep").alias("x"), F.col("root").alias("xr"))
-    other = held.select("key", F.col("rep").alias("y"), F.col("root").alias("yr"), "main")
-    pairs = apart.join(other, "key").where("xr != yr and (yr = main or x < y)")
-    return pairs.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
+    open_ = _mixed(at, "key").select("rep", "root").distinct()
+    sets = materialise(open_.join(texts.withColumnRenamed("row", "rep"), "rep"), "sets-left")
+    held = materialise(_mixed(_prefixes(sets, threshold), "key"), "prefixes")
+    x, y = (held.select("key", "main", *(F.col(c).alias(c + s) for c in ("rep", "root", "n", "place", "leads"))) for s in "xy")
+    # of two sets the smaller has the shorter prefix; only what the most of a shingle's rows aren't in is paired with all
+    apart = x.where("rootx != main").drop("main")
+    smaller = "(ny < nx or ny = nx and repy < repx)"
+    pairs = apart.join(y.where("leadsy"), "key").where(smaller).union(apart.where("leadsx").join(y, "key").where(f"not {smaller}"))
+    least = threshold / (1 + threshold)
+    close = (F.least("nx", "ny") >= threshold * F.greatest("nx", "ny") - 1e-9) & (F.least(F.col("nx") - F.col("placex"), F.col("ny") - F.col("placey")) >= least * (F.col("nx") + F.col("ny")) - 1e-9)
+    found = pairs.where((F.col("rootx") != F.col("rooty")) & close).select(F.greatest("repx", "repy").alias("u"), F.least("repx", "repy").alias("v"))
+    return found.distinct().join(tried, ["u", "v"], "left_anti")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each document of a group but the one that stays: row, doc_id, kept_doc_id, copies. docs must be stable()."""
+    """A row for each document of a group but the one that stays: row, mark, doc_id, kept_doc_id, copies. docs must be stable()."""
     slim = with_row_id(small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "row")
     sketched = materialise(_sketched(slim), "sketches")
     alike = materialise(sketched.groupBy("d1", "d2").agg(F.min(F.struct("row", "keys")).alias("least")).select("d1", "d2", F.col("least.row").alias("rep"), F.col("least.keys").alias("keys")), "sets")
@@ -127,28 +181,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialise(placed.join(pivots, "key"), "buckets")
     star = members.where("rep != pivot").select(F.col("rep").alias("u"), F.col("pivot").alias("v")).distinct()
 
-    candidates = members.select(F.col("rep").alias("row")).distinct()
-    texts = materialise(filter_rows(slim.select("row", F.lower("text").alias("text")), "row", candidates, keep=True), "candidates")
+    candidates = members.select(F.col("rep").alias("row")).distinct().join(sketched.select("row", "mark"), "row")
+    texts = materialise(filter_rows(slim.select("row", "text"), candidates, True).select("row", F.lower("text").alias("text")), "candidates")
     first = materialise(_verified(star, texts, threshold), "pairs")
-    left = materialise(_pairs_left(members.select("key", "rep"), connected_components(first), star), "pairs-left")
+    left = materialise(_pairs_left(members.select("key", "rep"), connected_components(first), texts, star, threshold), "pairs-left")
     second = _verified(left, texts, threshold)
     roots = connected_components(first.union(second))
 
     group = sketched.join(alike.select("d1", "d2", "rep"), ["d1", "d2"]).join(roots, F.col("rep") == roots.node, "left")
-    group = group.select("row", "doc_id", F.coalesce("root", "rep").alias("root"))
+    group = group.select("row", "mark", "doc_id", F.coalesce("root", "rep").alias("root"))
     kept = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))
     groups = group.groupBy("root").agg(kept.alias("kept"), F.count("*").alias("copies")).where("copies > 1")
     out = group.join(groups, "root").where("row != kept.row")
-    return out.select("row", "doc_id", F.col("kept.doc_id").alias("kept_doc_id"), "copies")
+    return out.select("row", "mark", "doc_id", F.col("kept.doc_id").alias("kept_doc_id"), "copies")
 
 
 def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, kept_doc_id, copies for each document that is dropped; see the module's text for edge cases."""
-    return near_duplicates(stable(docs), id_col, text_col, threshold).drop("row")
+    return near_duplicates(stable(docs), id_col, text_col, threshold).drop("row", "mark")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows of find_near_duplicates, with all columns as they were."""
     docs = stable(docs)
-    row = fresh(docs, "row")
-    return filter_rows(with_row_id(docs, row), row, near_duplicates(docs, id_col, text_col, threshold), keep=False).drop(row)
+    return filter_rows(docs, near_duplicates(docs, id_col, text_col, threshold), False, text_col)

@@ -5,8 +5,8 @@ Each candidate is known by its SHA-256 only. Over all documents it is counted in
 many owners it occurs: what MANY_OWNERS owners have is a copied example, what fewer have and looks random is live.
 The repository is the source; its owner is the source up to the first slash.
 
-Defined results. Null and empty texts hold nothing. A null source is a repository and an owner of its own. A
-candidate that occurs several times in a document is one row with its occurrences; repeated rows of one id and source
+Defined results. Null and empty texts hold nothing. A null source is a repository and an owner of its own, apart from
+the empty one; rows without an id are one document. A candidate that occurs several times in a document is one row with its occurrences; repeated rows of one id and source
 add up. Kinds are judged apart: a string found as two kinds gives two rows. An empty table gives an empty result.
 Other columns are ignored, whatever their names. verdict is placeholder (an example by its look), shared_example,
 live or weak (fewer than DIVERSE distinct characters).
@@ -46,8 +46,7 @@ def _candidates(kind: str) -> Column:
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, kind, secret_sha256, occurrences (in the document), documents, repositories, owners, verdict."""
-    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), source.alias("repository"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).cast("string").alias("repository"))
     every = F.flatten(F.array_compact(F.array(*(_candidates(k) for k in KINDS))))
     found = slim.where(F.col("text").isNotNull()).select("doc_id", "repository", F.explode(every).alias("c"))
     found = materialise(
@@ -59,7 +58,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     places = found.groupBy("kind", "secret_sha256", "repository", "owner").agg(F.first("placeholder").alias("placeholder"), F.first("distinct_chars").alias("distinct_chars"))
     owned = places.groupBy("kind", "secret_sha256").agg(
-        F.count("*").alias("repositories"), F.countDistinct("owner").alias("owners"), F.first("placeholder").alias("placeholder"), F.first("distinct_chars").alias("distinct_chars")
+        F.count("*").alias("repositories"), (F.countDistinct("owner") + F.max(F.col("owner").isNull().cast("int"))).alias("owners"), F.first("placeholder").alias("placeholder"), F.first("distinct_chars").alias("distinct_chars")
     )
     per_doc = found.groupBy("kind", "secret_sha256", "doc_id").agg(F.count("*").alias("occurrences"))
     documents = per_doc.groupBy("kind", "secret_sha256").agg(F.count("*").alias("documents"))
@@ -71,10 +70,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def oracle_sql() -> str:
     """The same in DuckDB."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    each = " UNION ALL ".join(f"SELECT doc_id, coalesce(source, '') AS repository, '{k}' AS kind, unnest(regexp_extract_all(text, {quote(p)}, 1)) AS secret FROM documents" for k, (_, p) in KINDS.items())
+    each = " UNION ALL ".join(f"SELECT doc_id, source AS repository, '{k}' AS kind, unnest(regexp_extract_all(text, {quote(p)}, 1)) AS secret FROM documents" for k, (_, p) in KINDS.items())
     return f"""
         WITH found AS (SELECT *, sha256(secret) AS secret_sha256, split_part(repository, '/', 1) AS owner FROM ({each})),
-        owned AS (SELECT kind, secret_sha256, count(DISTINCT doc_id) AS documents, count(DISTINCT repository) AS repositories, count(DISTINCT owner) AS owners,
+        owned AS (SELECT kind, secret_sha256, count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) AS documents,
+                         count(DISTINCT repository) + max((repository IS NULL)::INT) AS repositories, count(DISTINCT owner) + max((owner IS NULL)::INT) AS owners,
                          bool_or(regexp_matches(secret, {quote(PLACEHOLDER)})) AS placeholder, max(len(list_distinct(string_split(secret, '')))) AS distinct_chars
                   FROM found GROUP BY ALL)
         SELECT doc_id, kind, secret_sha256, count(*) AS occurrences, documents, repositories, owners,

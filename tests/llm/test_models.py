@@ -36,6 +36,13 @@ def test_language_by_held_out_rows(table):
     assert left.columns == docs.columns and left.count() == sum(r.accepted for r in got.values())
 
 
+@pytest.mark.parametrize("name", ["__text", "text_", "language_", "Confidence", "row_", "mark"])
+def test_language_with_clashing_names(spark, name):
+    docs = spark.createDataFrame([(1, "der und sch", "de", "q"), (2, "the of and", "en", "q")], f"doc_id long, text string, lang string, {name} string")
+    left = langid.keep_identified(docs)
+    assert left.columns == docs.columns and {r[3] for r in left.collect()} <= {"q"}
+
+
 def test_language_sample_is_of_distinct_texts_by_label(table):
     """Copies take no second place in the sample, and a rare language has some."""
     rng = random.Random(4)

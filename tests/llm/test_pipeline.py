@@ -7,6 +7,7 @@ import corpus_pipeline
 from assaykit.llm import decontaminate, langid, mixing, near_dedup
 from assaykit.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.test_dedup import brute_groups
+from tests.llm.test_scans import brute_passages
 
 
 def test_stages(spark, sf, tmp_path):
@@ -32,8 +33,7 @@ def test_stages(spark, sf, tmp_path):
             groups = brute_groups([(r.doc_id, r.text) for r in before], near_dedup.THRESHOLD)
             assert kept == {r.doc_id for r in before} - {d for g in groups for d in g[1:]}
         elif name == "decontaminate":
-            runs = decontaminate.patterns(bench, decontaminate.WINDOW, decontaminate.SHORTEST)
-            assert kept == {r.doc_id for r in before if not any(p in decontaminate.normalise(r.text) for p in runs)}
+            assert kept == {r.doc_id for r in before if not any(z - a >= decontaminate.DROP for _, t in bench for a, z in brute_passages(r.text, t, decontaminate.WINDOW))}
         else:
             have, got = {}, {}
             for into, some in ((have, before), (got, rows)):
