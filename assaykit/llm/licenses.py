@@ -5,13 +5,15 @@ half and every run of HALF shingles lies within one. Templates are cut into piec
 BANDS hash functions is a band of one row: a window retrieves a template if for one function its least value is a
 piece's. A piece of m shingles in a window of at most 2 HALF is missed by all with probability (1 - m / (2 HALF)) **
 BANDS at most: under 0.3 % for three shingles, 2 % for two, 1e-19 for a full piece, and a long template has many
-pieces. A retrieved template is then looked for around the window: the share of its distinct shingles that occur
+pieces. A retrieved template is then looked for around its windows: the share of its distinct shingles that occur
 within a stretch of 1.5 times its length must be CONTAINED at least.
 
+Templates: the full texts in license_files, and the grants, notices, statements and SPDX tags of license_texts.
+
 Defined results. Null texts and texts of fewer than 3 words hold no license. Passages of one template that overlap
 are one row, with the best containment; two templates may claim one passage. Repeated rows are each reported. An
-empty table or no templates give an empty result. Other columns are ignored, whatever their names. Places count
-Unicode code points of the lower-case text.
+empty table or no templates give an empty result. Other columns are ignored, whatever their names. The letters A to Z
+count as the small ones. Places count Unicode code points of the text as it is.
 """
 
 from __future__ import annotations
@@ -24,19 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import small_batches
-from .license_texts import TEMPLATES
-from .text import buffers, chunks, mix64, shingles, word_hashes, word_spans
+from .license_texts import templates as known_templates
+from .text import ascii_lower, buffers, chunks, mix64, shingles, word_hashes, word_spans
 
 SHINGLE = 3
 HALF = 16
 BANDS = 64
 CONTAINED = 0.8
 _ODD = mix64(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_SIEVE = 1 << 14
+_SIEVE = 1 << 16
 
 
 def template_shingles(text: str) -> np.ndarray:
-    raw, offsets = buffers(pa.array([text.lower()]))
+    raw, offsets = buffers(pa.array([text]))
+    raw = ascii_lower(raw)
     s, e, first = word_spans(raw, offsets)
     return shingles(word_hashes(raw, s, e), first, SHINGLE)[0]
 
@@ -50,8 +53,9 @@ class Templates:
         self.sets = [np.unique(r) for r in runs]
         self.lengths = [len(r) for r in runs]
         pieces = [(r[i : i + HALF], t) for t, r in enumerate(runs) for i in range(0, max(1, len(r) - HALF // 2), HALF)]
-        self.of = np.array([t for _, t in pieces], int)
-        self.least = np.array([[(p * m).min() for p, _ in pieces] for m in _ODD], np.uint64).reshape(BANDS, -1)
+        of, least = np.array([t for _, t in pieces], int), np.array([[(p * m).min() for p, _ in pieces] for m in _ODD], np.uint64).reshape(BANDS, -1)
+        order = np.argsort(least, axis=1, kind="stable")
+        self.least, self.of = np.take_along_axis(least, order, 1), of[order]
         self.sieve = np.zeros((BANDS, _SIEVE), bool)
         for b in range(BANDS):
             self.sieve[b, (self.least[b] & np.uint64(_SIEVE - 1)).astype(int)] = True
@@ -71,52 +75,57 @@ class Templates:
             least = np.minimum.reduceat(values * _ODD[b], starts)
             window = least.copy()
             window[joined] = np.minimum(least[joined], least[joined + 1])
-            for w in np.flatnonzero(self.sieve[b][(window & np.uint64(_SIEVE - 1)).astype(np.int64)]):
-                for t in self.of[self.least[b] == window[w]]:
-                    found.add((int(row[w]), int(ordinal[w]) * HALF, int(t)))
+            some = np.flatnonzero(self.sieve[b][(window & np.uint64(_SIEVE - 1)).astype(np.int64)])
+            low, high = (np.searchsorted(self.least[b], window[some], side) for side in ("left", "right"))
+            for k in np.flatnonzero(low < high):
+                at = int(row[some[k]]), int(ordinal[some[k]]) * HALF
+                found.update((*at, int(t)) for t in self.of[b, low[k] : high[k]])
         return found
 
-    def best(self, run: np.ndarray, t: int, at: int) -> tuple[float, int, int]:
-        """Containment of template t around shingle at of a row's shingles, its first and last shingle."""
+    def passages(self, run: np.ndarray, t: int, first: int, last: int) -> list[tuple[int, int, float]]:
+        """First and last shingle and containment of the passages of template t about the shingles first to last of a
+        row's; of those that overlap the best."""
         size, reach = len(self.sets[t]), self.lengths[t] * 3 // 2 + SHINGLE
-        low = max(0, at - reach)
-        part = run[low : at + 2 * HALF + reach]
+        low = max(0, first - reach)
+        part = run[low : last + 2 * HALF + reach]
         hits = np.flatnonzero(np.isin(part, self.sets[t]))
-        best, i = (0.0, 0, 0), 0
+        values, i, out = part[hits].tolist(), 0, []
         inside: dict[int, int] = {}
-        for j, h in enumerate(hits):
-            inside[int(part[h])] = inside.get(int(part[h]), 0) + 1
+        for j, (h, v) in enumerate(zip(hits.tolist(), values)):
+            inside[v] = inside.get(v, 0) + 1
             while hits[i] + reach < h:
-                v = int(part[hits[i]])
-                inside[v] -= 1
-                if not inside[v]:
-                    del inside[v]
+                inside[values[i]] -= 1
+                if not inside[values[i]]:
+                    del inside[values[i]]
                 i += 1
-            if len(inside) / size > best[0]:
-                best = (len(inside) / size, low + int(hits[i]), low + int(h))
-        return best
+            share = len(inside) / size
+            if share >= CONTAINED:
+                a = low + int(hits[i])
+                if out and a <= out[-1][1]:
+                    if share > out[-1][2]:
+                        out[-1] = (a, low + h, share)
+                else:
+                    out.append((a, low + h, share))
+        return out
 
 
 def scan(row_values: np.ndarray, begin: np.ndarray, templates: Templates) -> list[tuple[int, int, int, int, float]]:
-    """(row, template, first shingle, last shingle, containment), overlapping passages of a template merged."""
-    out: dict[tuple[int, int], list[list]] = {}
-    for row, at, t in sorted(templates.retrieve(row_values, begin)):
-        share, a, z = templates.best(row_values[begin[row] : begin[row + 1]], t, at)
-        if share >= CONTAINED:
-            held = out.setdefault((row, t), [])
-            for h in held:
-                if a <= h[1] and z >= h[0]:
-                    if share > h[2]:
-                        h[:] = [a, z, share]
-                    break
-            else:
-                held.append([a, z, share])
-    return [(row, t, a, z, share) for (row, t), held in out.items() for a, z, share in held]
+    """(row, template, first shingle, last shingle, containment)."""
+    at: dict[tuple[int, int], list[int]] = {}
+    for row, place, t in sorted(templates.retrieve(row_values, begin)):
+        at.setdefault((row, t), []).append(place)
+    out = []
+    for (row, t), places in at.items():
+        run, reach = row_values[begin[row] : begin[row + 1]], 3 * templates.lengths[t] + 2 * (SHINGLE + HALF)
+        cuts = [0, *(np.flatnonzero(np.diff(places) > reach) + 1).tolist(), len(places)]
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            out += [(row, t, *p) for p in templates.passages(run, t, places[i], places[j - 1])]
+    return out
 
 
 def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: dict[str, str] | None = None) -> DataFrame:
     """doc_id, license, start, end, containment: a row for each passage of a template."""
-    templates = Templates(TEMPLATES if texts is None else texts)
+    templates = Templates(known_templates() if texts is None else texts)
     schema = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("containment", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +133,7 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             raw, offsets = buffers(b.column(1))
             out = []
             for i, j in chunks(offsets):
-                part, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                part, at = ascii_lower(raw[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]
                 s, e, first = word_spans(part, at)
                 values, begin = shingles(word_hashes(part, s, e), first, SHINGLE)
                 for row, t, a, z, share in scan(values, begin, templates):
@@ -134,5 +143,5 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
-    slim = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
+    slim = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return slim.mapInArrow(run, "doc_id long, license string, start long, end long, containment double")

@@ -20,6 +20,9 @@ for _c in b"0123456789abcdefghijklmnopqrstuvwxyz":
     _WORD_BYTE[_c] = True
 _WORD_BYTE[128:] = True
 
+_SMALL = np.arange(256, dtype=np.uint8)
+_SMALL[65:91] += 32
+
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -57,6 +60,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def ascii_lower(raw: np.ndarray) -> np.ndarray:
+    """The bytes with A to Z as small letters, each in its place."""
+    return _SMALL[raw]
+
+
 def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold at most so many bytes, or one longer row."""
     n, i = len(offsets) - 1, 0

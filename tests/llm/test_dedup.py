@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from assaykit.llm import exact_dedup, near_dedup
-from assaykit.llm.components import connected_components
+from assaykit.operators.components import connected_components
 from assaykit.llm.text import WORD_RE
 
 

@@ -2,11 +2,16 @@
 
 import random
 import re
+from collections import Counter
+
+import duckdb
 
 from assaykit.llm import decontaminate, licenses, pii, secrets
-from assaykit.llm.license_texts import TEMPLATES
+from assaykit.llm.license_texts import templates
 from assaykit.llm.text import WORD_RE
 
+TEMPLATES = templates()
+SOME = {n: t for i, (n, t) in enumerate(sorted(TEMPLATES.items())) if len(t) < 3000 and (i % 4 == 0 or "statement" not in n)}
 W = [f"word{i}" for i in range(500)]
 
 
@@ -21,12 +26,51 @@ def test_contamination(table, spark):
     found = decontaminate.find_contamination(docs, bench).collect()
     texts = [*clean, *dirty]
     got = {(r.doc_id - len(clean), r.item_id) for r in found}
-    assert got == {(0, 0), (0, 7), (1, 1), (2, 2), (3, 6)}
+    assert got == {(0, 0), (0, 7), (1, 1), (2, 2), (3, 6), (4, 3)}
     for r in found:
         told = decontaminate.normalise(texts[r.doc_id][r.start : r.end]).strip()
         assert told in decontaminate.normalise(items[r.item_id]) and len(told.split()) == r.words
     left = decontaminate.drop_contaminated(docs, bench)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [*range(30), 34, 35, 36, 37]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, bench, least=3).collect()) == [*range(30), 35, 36, 37]
+
+
+def test_short_answers_and_odd_rows(table, spark):
+    """Answers of one and two words are found, whatever stands around them; null ids, repeated rows and a very long text."""
+    bench = spark.createDataFrame([(1, "deep blue", "Who won?"), (None, "Göteborg", None), (3, "", " . ")], "item_id long, text string, answer string")
+    long = "x " * 400_000 + "DEEP\n\tBlue " + "y " * 300_000
+    rows = [(7, "It was Deep-Blue; deep blues not", "en", "s")] * 2 + [(None, "in göteborg, GÖTEBORG", "en", "s"), (9, long, "en", "s"), (10, "Who Won, deep", "en", "s"), (11, None, "en", "s")]
+    found = decontaminate.find_contamination(table(rows), bench, item_texts=("text", "answer")).collect()
+    got = sorted((r.doc_id or 0, r.item_id or 0, r.start, r.end, r.words) for r in found)
+    # two passages that touch are one
+    assert got == [(0, 0, 3, 21, 2), (7, 1, 7, 16, 2), (7, 1, 7, 16, 2), (9, 1, 800_000, 800_010, 2), (10, 1, 0, 7, 2)]
+
+
+def brute_passages(text, item, window):
+    d, w = decontaminate.normalise(text).split(), decontaminate.normalise(item).split()
+    k, marked = min(window, len(w)), set()
+    runs = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+    for i in range(len(d) - k + 1):
+        if tuple(d[i : i + k]) in runs:
+            marked.add(i)
+    out = []
+    for i in sorted(marked):
+        if out and i <= out[-1][1]:
+            out[-1][1] = i + k
+        else:
+            out.append([i, i + k])
+    return [(a, z) for a, z in out]
+
+
+def test_passages_by_brute_force():
+    rng = random.Random(9)
+    for window in (1, 2, 5, 13):
+        items = [" ".join(rng.choice("abc") for _ in range(rng.randrange(0, 30))) for _ in range(12)]
+        machine = decontaminate.Machine(list(enumerate(items)), window)
+        for _ in range(30):
+            text = " ".join(rng.choice("abc") for _ in range(rng.randrange(0, 60)))
+            want = {(k, 2 * a, 2 * z - 1, z - a) for k, item in enumerate(items) for a, z in brute_passages(text, item, window)}
+            assert set(machine.passages(text)) == want
 
 
 def test_contamination_by_brute_force(table, spark):
@@ -47,10 +91,28 @@ def test_no_benchmark(table, spark):
     assert decontaminate.find_contamination(table([]), none).count() == 0
 
 
+def test_license_places_in_the_original(table):
+    text = "İİİİ " + "x " * 200_000 + "Released under the MIT License."
+    rows = [(None, text, "en", "s"), (1, "Released under the MIT License. " * 2, "en", "s"), (1, "Released under the MIT License. " * 2, "en", "s")]
+    found = licenses.find_licenses(table(rows)).collect()
+    assert {text[r.start : r.end] for r in found if r.doc_id is None} == {"Released under the MIT License"}
+    assert Counter((r.doc_id, r.license) for r in found)[1, "MIT line"] in (2, 4)
+    same = licenses.find_licenses(table(["Released under the MIT License."]), texts={"a": "released under the mit license", "b": "Released under the MIT license"}).collect()
+    assert sorted(r.license for r in same) == ["a", "b"]
+
+
+def test_each_template_is_found_in_itself(table):
+    names = list(TEMPLATES)
+    found = {(r.doc_id, r.license) for r in licenses.find_licenses(table([TEMPLATES[n] for n in names])).collect()}
+    assert {(i, n) for i, n in enumerate(names)} <= found
+    said = ["Distributed under the MIT License", "SPDX-License-Identifier: GPL-2.0-only", "licensed under the GNU General Public License, version 2", "Available under the Eclipse Public License 2.0."]
+    assert {r.doc_id for r in licenses.find_licenses(table(said)).collect()} == {0, 1, 2, 3}
+
+
 def brute_licenses(text):
     w = WORD_RE.findall(text.lower())
     out = set()
-    for name, t in TEMPLATES.items():
+    for name, t in SOME.items():
         x = WORD_RE.findall(t.lower())
         want = {tuple(x[i : i + 3]) for i in range(len(x) - 2)}
         reach = (len(x) - 2) * 3 // 2 + 3
@@ -64,7 +126,7 @@ def brute_licenses(text):
 def test_licenses(table):
     rng = random.Random(3)
     texts = [None, "", "MIT", "the mit license is fine"]
-    for name, t in TEMPLATES.items():
+    for name, t in SOME.items():
         filler = [rng.choice(W) for _ in range(rng.randrange(0, 200))]
         words = t.split()
         if len(words) > 40:
@@ -73,7 +135,7 @@ def test_licenses(table):
         texts.append(" ".join(filler[:at] + words + filler[at:]))
         texts.append(" ".join(filler))
         texts.append(" ".join(words[: len(words) // 2]))
-    found = licenses.find_licenses(table(texts)).collect()
+    found = licenses.find_licenses(table(texts), texts=SOME).collect()
     got = {}
     for r in found:
         got.setdefault(r.doc_id, set()).add(r.license)
@@ -100,6 +162,21 @@ def test_secrets(table):
     assert not any(live in str(r) for r in found) and secrets.find_secrets(table([])).count() == 0
 
 
+def test_secrets_of_null_sources_and_ids(table):
+    """A null source is an owner of its own, apart from the empty one; rows without an id are one document."""
+    secret = "Qx81LmZ0vY27RkWp33Tn"
+    long = "w " * 500_000 + f"token={secret}"
+    rows = [(1, f"token={secret}", "en", None), (2, f"token={secret}", "en", ""), (3, long, "en", "b"), (None, f"token={secret}", "en", "b"), (None, f"token={secret}", "en", "b")]
+    found = secrets.find_secrets(table(rows)).collect()
+    assert {(r.owners, r.repositories, r.documents, r.verdict) for r in found} == {(3, 3, 4, "shared_example")}
+    assert sorted((r.doc_id or 0, r.occurrences) for r in found) == [(0, 2), (1, 1), (2, 1), (3, 1)]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(d, t, s) for d, t, _, s in rows])
+    names = ["doc_id", "kind", "secret_sha256", "occurrences", "documents", "repositories", "owners", "verdict"]
+    assert Counter(db.execute(f"SELECT {', '.join(names)} FROM ({secrets.oracle_sql()})").fetchall()) == Counter(tuple(r[n] for n in names) for r in found)
+
+
 def test_pii(table):
     rng = random.Random(5)
     card = lambda: "".join(rng.choice("0123456789") for _ in range(16))
