@@ -107,6 +107,63 @@ def test_near(table):
     assert left.columns == docs.columns and left.count() == len(rows) - len(found)
 
 
+def tried(monkeypatch, docs):
+    """How many pairs are verified with pivots, how many beyond these, and what is found."""
+    counts, verify = {}, near_dedup._verified
+
+    def counted(pairs, texts, threshold):
+        counts[len(counts)] = pairs.count()
+        return verify(pairs, texts, threshold)
+
+    monkeypatch.setattr(near_dedup, "_verified", counted)
+    found = near_dedup.find_near_duplicates(docs).collect()
+    monkeypatch.setattr(near_dedup, "_verified", verify)
+    return counts[0], counts[1], found
+
+
+@pytest.mark.parametrize("shared, own", [(120, 100), (150, 70), (100, 100)])
+def test_a_shared_passage_pairs_nobody(table, monkeypatch, shared, own):
+    """Documents that share most of their words, none a duplicate: pairs grow with the rows, not with their square."""
+    passage = [f"p{i}" for i in range(shared)]
+    for n in (200, 800):
+        rng = random.Random(n)
+        rows = [" ".join(passage + [f"o{rng.randrange(10**9)}" for _ in range(own)]) for _ in range(n)]
+        first, second, found = tried(monkeypatch, table(rows))
+        assert not found and first <= near_dedup.BANDS * n and second <= n
+
+
+def test_duplicates_within_a_shared_passage(table):
+    """Near copies among documents that share a passage are found, all of them."""
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(100)]
+    rows = []
+    for i in range(60):
+        own = [f"o{rng.randrange(10**9)}" for _ in range(90)]
+        rows += [" ".join(passage + edited(rng, own, 0.03)) for _ in range(1 + i % 3)]
+    rows = [(i, t, "en", "s") for i, t in enumerate(rows)]
+    got = {}
+    for r in near_dedup.find_near_duplicates(table(rows)).collect():
+        got.setdefault(r.kept_doc_id, {r.kept_doc_id}).add(r.doc_id)
+    assert {tuple(sorted(g)) for g in got.values()} == brute_groups(rows, near_dedup.THRESHOLD)
+
+
+def test_prefixes_lose_no_pair(spark):
+    """All pairs at the threshold among sets in components of their own, against brute force."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(120):
+        base = rng.choice(rows)[1].split() if rows and rng.random() < 0.6 else [rng.choice(VOCABULARY[:200]) for _ in range(rng.randrange(1, 40))]
+        rows.append((i, " ".join(edited(rng, base, 0.1)[: rng.randrange(1, 60)])))
+    texts = spark.createDataFrame(rows, "row long, text string")
+    members = spark.createDataFrame([(1, i) for i, _ in rows], "key long, rep long")
+    none = spark.createDataFrame([], "node long, root long")
+    for threshold in (0.3, 0.6, 0.9):
+        left = near_dedup._pairs_left(members, none, texts, spark.createDataFrame([], "u long, v long"), threshold)
+        found = {(r.u, r.v) for r in near_dedup._verified(left, texts, threshold).collect()}
+        sets = [shingle_set(t) for _, t in rows]
+        assert found == {(i, j) for i in range(120) for j in range(i) if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])}
+
+
 def test_sketch_is_full_and_close():
     rng = np.random.default_rng(3)
     for n in (1, 3, 50, 2000):
