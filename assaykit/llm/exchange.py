@@ -105,13 +105,18 @@ def partition_of(row: str):
     return F.shiftright(F.col(row), ROW_BITS)
 
 
-def file_by_partition(df: DataFrame, name: str, row: str = "row", local: bool = False, shared: int = PER_FOLDER_BITS) -> str:
+def file_by_partition(df: DataFrame, name: str, row: str = "row", local: bool = False, shared: int = PER_FOLDER_BITS, scan: DataFrame | None = None) -> str:
     """Write df to the shared folder, filed by the partition that its column of row numbers tells. local: df's
     partitions are still those of the scan, so no shuffle is needed to have few files. shared: 2 ** shared partitions
-    share a folder, 0 where much is filed for each."""
+    share a folder, 0 where much is filed for each; then scan, whose partitions these are, gives each folder a task."""
     path = shared_path(df.sparkSession, name)
     df = df.withColumn("folder", F.shiftright(F.col(row), ROW_BITS + shared))
-    (df if local else df.repartition("folder")).write.partitionBy("folder").parquet(path)
+    if scan is not None:
+        n = (max(1, scan._jdf.queryExecution().toRdd().getNumPartitions()) - 1 >> shared) + 1
+        df = df.repartitionById(n, F.pmod("folder", F.lit(n)).cast("int"))
+    elif not local:
+        df = df.repartition("folder")
+    df.write.partitionBy("folder").parquet(path)
     return path
 
 

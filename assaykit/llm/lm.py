@@ -461,7 +461,7 @@ def _exchange(docs: DataFrame, text_col: str, made: dict | None, reply: bool, mo
 
     sent = slim.mapInArrow(send_words, _SENT).repartitionById((1 << made["bits"]) + 1, "shard")
     returned = sent.groupBy("shard").applyInPandas(own_words, _SENT)
-    word_path = file_by_partition(returned, "words-back", shared=0)
+    word_path = file_by_partition(returned, "words-back", shared=0, scan=docs)
     if build:
         told = {r["shard"]: [int(x[0]) for x in unpack(bytes(r["data"]))] for r in spark.read.schema(f"{_SENT}, folder long").parquet(word_path).where("folder = -1").collect()}
         n, ends = told.pop(-1, (0, 0))
@@ -497,7 +497,7 @@ def _exchange(docs: DataFrame, text_col: str, made: dict | None, reply: bool, mo
     # a task for each shard, by its number: where a hash puts several into one task, the largest is several times as large
     sent = slim.mapInArrow(send_trigrams, _SENT).repartitionById(max(1, int(tries[-1])), "shard")
     returned = sent.groupBy("shard").applyInPandas(own_trigrams, _SENT)
-    return made, word_path, file_by_partition(returned, "trigrams-back", shared=0)
+    return made, word_path, file_by_partition(returned, "trigrams-back", shared=0, scan=docs)
 
 
 def _scored(docs: DataFrame, made: dict, word_path: str, trigram_path: str, others: bool, most: int) -> DataFrame:
