@@ -1,13 +1,17 @@
 """Groups of records whose leading texts share most word 5-grams.
 
-The exact join: records with equal shingle sets are one; sets are sorted by the shingles' hashes, and two sets that
-are similar enough must share one of the first |s| - ceil(t |s|) + 1, so only these are joined, under the bound on
-sizes; each pair is then verified. Hash order serves as well as rarity for correctness and needs no count of all
-shingles. Pairs become groups as connected components.
+The exact join: records with equal shingle sets are one. With the shingles of all sets in one order, rarest first, two
+sets of n >= m shingles and similarity t must share one of the first n - ceil(t n) + 1 of the larger and of the first
+m - ceil(2 t m / (1 + t)) + 1 of the smaller, and what lies behind the first that they share must suffice; so only these
+are joined, and each pair is verified. Rarity keeps apart what only has boilerplate in common: it comes last in the order,
+and nobody's prefix reaches it. It is counted in COUNTERS counters, whatever the input; any order gives the same pairs.
+Pairs become groups as connected components.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +21,8 @@ from .components import connected_components
 from .shared import ensure_checkpoints
 
 SHINGLE = 5
+COUNTERS = 1 << 16
+_SLACK = 1e-9
 
 
 def with_sets(records: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,18 +30,37 @@ def with_sets(records: DataFrame, keys: list[str]) -> DataFrame:
     return records.select(*keys, shingle_hashes(words(primary_text(F.col("fields"))), SHINGLE).alias("set"))
 
 
+def _rarest_first(sets: DataFrame) -> DataFrame:
+    """sets with column ordered: each set's shingles, rarest first, by a byte a counter that tells in eighths of powers of
+    two how often its shingles occur."""
+    counter = F.pmod(F.col("shingle"), F.lit(COUNTERS)).cast("int").alias("counter")
+    often = bytearray(COUNTERS)
+    for r in sets.select(F.explode("set").alias("shingle")).groupBy(counter).agg(F.count("*").alias("n")).collect():
+        often[r["counter"]] = min(255, int(8 * math.log2(1 + r["n"])))
+    rank = F.lit(bytes(often))
+    keyed = F.transform("set", lambda x: F.struct(F.substring(rank, F.pmod(x, F.lit(COUNTERS)).cast("int") + 1, F.lit(1)).alias("n"), x.alias("x")))
+    return sets.withColumn("ordered", F.transform(F.array_sort(keyed), lambda k: k["x"]))
+
+
+def candidate_pairs(sets: DataFrame, threshold: float, group: list[str]) -> DataFrame:
+    """u, v: the pairs of sets with something in the prefixes that such a similarity takes; sets: group, id, set, not empty."""
+    n, t = F.col("n"), float(threshold)
+    ordered = _rarest_first(sets.withColumn("n", F.size("set")))
+    prefix = F.slice("ordered", F.lit(1), (n - F.ceil(F.lit(t) * n - F.lit(_SLACK)) + 1).cast("int"))
+    heads = ordered.select(*group, "id", "n", F.posexplode(prefix).alias("place", "head"))
+    leads = F.col("place") <= n - F.ceil(F.lit(2 * t / (1 + t)) * n - F.lit(_SLACK))
+    side = lambda df, s: df.select(*group, "head", *(F.col(c).alias(c + s) for c in ("id", "n", "place")))
+    pairs = side(heads, "x").join(side(heads.where(leads), "y"), [*group, "head"]).where("ny < nx or ny = nx and idy < idx")
+    close = (F.col("ny") >= F.lit(t) * F.col("nx") - F.lit(_SLACK)) & (F.least(F.col("nx") - F.col("placex"), F.col("ny") - F.col("placey")) >= F.lit(t / (1 + t)) * (F.col("nx") + F.col("ny")) - F.lit(_SLACK))
+    return pairs.where(close).select(F.least("idx", "idy").alias("u"), F.greatest("idx", "idy").alias("v")).distinct()
+
+
 def similar_pairs(sets: DataFrame, threshold: float, group: list[str]) -> DataFrame:
-    """u, v (numbers in column id) and similarity of all pairs of one group at threshold or more, u < v. Empty sets are
-    similar to each other: each is paired with the first of its group. sets: group, id, set, one row for each distinct
-    set of a group but for the empty one."""
-    n = F.size("set")
-    some = sets.where(n > 0).withColumn("n", n)
-    heads = some.select(*group, "id", "n", F.explode(F.slice("set", F.lit(1), (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1).cast("int"))).alias("head"))
-    a, b = heads.select(*group, "head", F.col("id").alias("u"), F.col("n").alias("nu")), heads.select(*group, "head", F.col("id").alias("v"), F.col("n").alias("nv"))
-    close = F.least("nu", "nv") >= F.lit(threshold) * F.greatest("nu", "nv") - F.lit(1e-9)
-    pairs = a.join(b, [*group, "head"]).where((F.col("u") < F.col("v")) & close).select("u", "v").distinct()
+    """u, v (numbers in column id) and similarity of all pairs of one group at threshold or more, u < v. sets: group, id,
+    set, one row for each distinct set of a group. Empty sets are in no pair: those of a group are one set."""
+    some = sets.where(F.size("set") > 0).select(*group, "id", "set")
     sides = some.select("id", "set")
-    joined = pairs.join(sides.toDF("u", "x"), "u").join(sides.toDF("v", "y"), "v")
+    joined = candidate_pairs(some, threshold, group).join(sides.toDF("u", "x"), "u").join(sides.toDF("v", "y"), "v")
     both = F.size(F.array_intersect("x", "y"))
     scored = joined.withColumn("similarity", both / (F.size("x") + F.size("y") - both))
     return scored.where(F.col("similarity") >= threshold).select("u", "v", "similarity")
@@ -46,16 +71,17 @@ def clusters(records: DataFrame, threshold: float = 0.85, across: bool = False,
     files or across them all."""
     ensure_checkpoints(records.sparkSession)
     number = (F.shiftleft(F.col("file_ord").cast("long"), 40) + F.col("idx")).alias("id")
-    # the sets are used six times; a checkpoint spares the texts as many scans
+    # the sets are used several times; a checkpoint spares the texts as many scans
     group = [] if across else ["file"]
-    sets = with_sets(records.select("file", "file_ord", "idx", "line", "fields", number), ["file", "idx", "line", "id"]).checkpoint()
-    alike = sets.groupBy(*group, "set").agg(F.min("id").alias("id"))
+    digest = [F.xxhash64("set").alias("d1"), F.xxhash64(F.lit(1), F.col("set")).alias("d2")]
+    sets = with_sets(records.select("file", "file_ord", "idx", "line", "fields", number), ["file", "idx", "line", "id"]).select("*", *digest).checkpoint()
+    alike = sets.groupBy(*group, "d1", "d2").agg(F.min("id").alias("id"), F.min_by("set", "id").alias("set"))
     if method == "lsh":
         pairs = lsh_pairs(alike, threshold, group, num_perm)
     else:
         pairs = similar_pairs(alike, threshold, group)
     roots = connected_components(pairs.select("u", "v"))
-    member = sets.join(alike.withColumnRenamed("id", "rep"), [*group, "set"])
+    member = sets.drop("set").join(alike.select(*group, "d1", "d2", F.col("id").alias("rep")), [*group, "d1", "d2"])
     placed = member.join(roots, F.col("rep") == F.col("node"), "left").select("file", "idx", "line", "id", F.coalesce("root", "rep").alias("cluster"))
     sizes = placed.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1")
     return placed.join(sizes, "cluster").select("file", "idx", "line", "id", "cluster", "size")
