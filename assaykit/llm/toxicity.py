@@ -1,13 +1,15 @@
 """Toxicity: cumulative-link ordinal regression over sparse text features.
 
 P(grade <= k) = sigmoid(theta_k - w x): the grades share the weights w, and ordered thresholds theta cut the score.
-Features are words and beginnings of words with 1 + log(count), known by 64-bit hashes, so that none share a weight; words that aren't
-significantly more frequent in the sample's toxic documents are left out, and having any of them is a feature of its
-own, so that the step from clean to mild needn't be as steep as those between grades. w is trained with FTRL-proximal (elastic net), theta with AdaGrad
-under theta_1 < theta_2 < ..., on at most SAMPLE labelled documents with distinct texts, in one task. A label above 1
-is a grade as it is. Where labels only say yes or no, the toxic documents of the sample are graded 1 to 3 by
-thirds of their evidence, the number of occurrences of words that are telling for the label. The expected severity
-is the sum of P(grade > k); a document is toxic if P(grade > 0) >= 1/2.
+Features are words and beginnings of words with 1 + log(count), known by 64-bit hashes, so that none share a weight. Those
+that are as frequent in toxic documents as in others, within Z standard errors, are left out; what speaks for a toxic
+text and what speaks against it take part alike. w is trained with FTRL-proximal (elastic net), theta with AdaGrad under
+theta_1 < theta_2 < ..., on at most SAMPLE labelled documents with distinct texts, in one task.
+
+A label above 1 is a grade as it is. Where labels only say yes or no, they fix w and theta_1 and nothing else: the grades
+from 2 on then mark how strong the evidence is, at the quantiles that the scores of the sample's toxic documents have
+under models that were trained without them (two folds, features chosen anew in each). The expected severity is the sum
+of P(grade > k); a document is toxic if P(grade > 0) >= 1/2.
 
 Defined results. A null or wordless text has severity 0 and isn't toxic. Null labels and labels without a document
 are ignored; of several labels of a document the highest counts; without labels every severity is 0. Documents with
@@ -27,15 +29,16 @@ from .exchange import small_batches
 from .text import buffers, chunks, word_hashes, word_spans
 
 SAMPLE = 16_000
-EPOCHS = 20
+EPOCHS = 8
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.1, 0.01
 GRADES = 3
-#: A word takes part if its share of the toxic documents differs from that of the others by so many standard errors.
+#: A feature takes part if its share of the toxic documents differs from that of the others by so many standard errors,
 Z = 4.0
 #: Beginnings of words, in bytes, that are features too.
 PREFIXES = (4, 5, 6, 7, 8)
-#: A feature takes part if so many toxic documents of the sample have it.
+#: and if so many documents of the sample have it.
 LEAST = 3
+_COUNT = 1000
 _GAP = 0.05
 
 
@@ -58,9 +61,8 @@ def _each(texts: list[str]) -> Iterator[np.ndarray]:
         yield from (h[a:z] for a, z in zip(first[:-1], first[1:]))
 
 
-def scores(texts: pa.Array, known: np.ndarray, w: np.ndarray, some_known: float) -> tuple[np.ndarray, np.ndarray]:
-    """The weighted sum of each text, and whether it has words. known: sorted hashes of the words
-    with weights w; some_known: the weight of having any."""
+def scores(texts: pa.Array, known: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted sum of each text, and whether it has words. known: sorted hashes of the features with weights w."""
     out, some = np.zeros(len(texts)), np.zeros(len(texts), bool)
     sieve = np.zeros(1 << 16, bool)
     sieve[known >> np.uint64(48)] = True
@@ -73,31 +75,66 @@ def scores(texts: pa.Array, known: np.ndarray, w: np.ndarray, some_known: float)
         keys, times = np.unique(row * len(known) + at[fine], return_counts=True)
         at = keys // max(1, len(known))
         np.add.at(out, i + at, w[keys % max(1, len(known))] * (1 + np.log(times)))
-        out[i + np.unique(at)] += some_known
     return out, some
 
 
-def grade(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int, grades: int = GRADES) -> np.ndarray:
-    """Grades of a sample with labels 0 and 1, by the evidence of the toxic ones; rows are (features, counts)."""
-    bad, fine = np.zeros(size), np.zeros(size)
-    for (at, _), y in zip(rows, labels):
-        (bad if y else fine)[at] += 1
-    toxic = int((labels > 0).sum())
-    odds = np.log((bad + 0.5) / (toxic + 1)) - np.log((fine + 0.5) / (len(labels) - toxic + 1))
-    telling = (odds > 2) & (bad >= max(3, 0.01 * toxic))
-    evidence = np.array([times[telling[at]].sum() for at, times in rows])
-    cuts = np.quantile(evidence[labels > 0], np.arange(1, grades) / grades) if toxic else []
-    return np.where(labels > 0, 1 + sum((evidence > c).astype(int) for c in cuts) if toxic else 0, 0)
-
-
-def telling(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int) -> np.ndarray:
-    """Features that toxic documents have more often than others, by Z standard errors at least."""
-    bad, fine = np.zeros(size), np.zeros(size)
-    for (at, _), y in zip(rows, labels):
-        (bad if y else fine)[at] += 1
-    n, m = max(1, int((labels > 0).sum())), max(1, int((labels == 0).sum()))
+def counted(texts: list[str], group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features of texts, and for each in how many texts of each group it occurs."""
+    known, counts = np.zeros(0, np.uint64), np.zeros((0, groups), np.int64)
+    held, of = [], []
+    for i, h in enumerate(_each(texts)):
+        held.append(np.unique(h))
+        of.append(np.full(len(held[-1]), group[i]))
+        if len(held) == _COUNT or i == len(texts) - 1:
+            every = np.concatenate([known, *held])
+            new, back = np.unique(every, return_inverse=True)
+            sums = np.zeros((len(new), groups), np.int64)
+            sums[back[: len(known)]] = counts
+            np.add.at(sums, (back[len(known) :], np.concatenate(of)), 1)
+            known, counts, held, of = new, sums, [], []
+    return known, counts
+
+
+def telling(bad: np.ndarray, fine: np.ndarray, toxic: int, other: int) -> np.ndarray:
+    """Which features so many toxic and other documents have in shares that differ by Z standard errors at least, one way
+    or the other."""
+    n, m = max(1, toxic), max(1, other)
     p = np.clip((bad + fine) / (n + m), 1e-9, 1 - 1e-9)
-    return bad / n - fine / m >= Z * np.sqrt(p * (1 - p) * (1 / n + 1 / m))
+    return (bad + fine >= LEAST) & (np.abs(bad / n - fine / m) >= Z * np.sqrt(p * (1 - p) * (1 / n + 1 / m)))
+
+
+def featured(texts: list[str], known: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the places of its features in known, and their values."""
+    out = []
+    for h in _each(texts):
+        at = np.searchsorted(known, h)
+        k, t = np.unique(at[np.take(known, at, mode="clip") == h] if len(known) else at[:0], return_counts=True)
+        out.append((k, 1 + np.log(t)))
+    return out
+
+
+def fit(texts: list[str], y: np.ndarray, grades: int = GRADES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, weights and thresholds from distinct texts with labels."""
+    fold = np.random.default_rng(7).permutation(len(y)) % 2
+    known, counts = counted(texts, 2 * fold + (y > 0), 4)
+    sizes = np.bincount(2 * fold + (y > 0), minlength=4)
+
+    def fitted(parts: tuple[int, ...], levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+        use = telling(sum(counts[:, 2 * f + 1] for f in parts), sum(counts[:, 2 * f] for f in parts), *(int(sum(sizes[2 * f + k] for f in parts)) for k in (1, 0)))
+        rows, own = featured(texts, known[use]), np.flatnonzero(np.isin(fold, parts))
+        w, theta = fit_ordinal([rows[i] for i in own], y[own], levels, int(use.sum()))
+        return known[use], w, theta, rows
+
+    if y.max() > 1:
+        return fitted((0, 1), int(y.max()))[:3]
+    words, w, theta, _ = fitted((0, 1), 1)
+    held = []
+    for f in (0, 1) if (y > 0).any() and grades > 1 else ():
+        _, w_f, theta_f, rows = fitted((1 - f,), 1)
+        held += [rows[i][1] @ w_f[rows[i][0]] - theta_f[0] for i in np.flatnonzero((fold == f) & (y > 0))]
+    for cut in np.quantile(held, np.arange(1, grades) / grades) if held else ():
+        theta = np.append(theta, max(theta[0] + cut, theta[-1] + _GAP))
+    return words, w, theta
 
 
 def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, size: int, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
@@ -131,8 +168,9 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, l
     return weights(z, n), theta
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
-    """Words by hash, their weights, that of having any, and thresholds, from at most sample labelled documents; docs has doc_id and text, labels doc_id and y."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features by hash, their weights, and thresholds, from at most sample labelled documents; docs has doc_id and text,
+    labels doc_id and y."""
     labels = labels.where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y"))
     cut = min(1 << 30, int((1 << 30) * sample * 1.1 / max(1, labels.count())) + 1)
     drawn = labels.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 34) < cut).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample)
@@ -147,30 +185,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         texts = sorted(found)
         if not texts:
             return
-        toxic = [t for t in texts if found[t]]
-        seen, docs_with = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(h) for h in _each(toxic))]), return_counts=True)
-        words = seen[docs_with >= LEAST]
-        data = []
-        for h in _each(texts):
-            at = np.searchsorted(words, h)
-            k, t = np.unique(at[np.take(words, at, mode="clip") == h] if len(words) else at[:0], return_counts=True)
-            data.append((k, t.astype(float)))
-        y = np.array([found[t] for t in texts])
-        grades = y if y.max() > 1 else grade(data, y, len(words))
-        levels = max(1, int(grades.max()))
-        use = telling(data, y, len(words))
-        rows = []
-        for k, t in data:
-            k, t = k[use[k]], t[use[k]]
-            rows.append((np.append(k, np.full(min(1, len(k)), len(words))).astype(np.int64), np.append(1 + np.log(t), np.ones(min(1, len(k))))))
-        w, theta = fit_ordinal(rows, grades, levels, len(words) + 1)
-        some = np.flatnonzero(use)
-        yield pa.RecordBatch.from_pydict({"words": [words[some].tobytes()], "w": [w[some].tobytes()], "any": [w[-1]], "theta": [theta.tobytes()]})
-
-    got = sampled.mapInArrow(run, "words binary, w binary, any double, theta binary").collect()
+        words, w, theta = fit(texts, np.array([found[t] for t in texts]))
+        yield pa.RecordBatch.from_pydict({"words": [words.tobytes()], "w": [w.tobytes()], "theta": [theta.tobytes()]})
+
+    got = sampled.mapInArrow(run, "words binary, w binary, theta binary").collect()
     if not got:
-        return np.zeros(0, np.uint64), np.zeros(0), 0.0, np.array([np.inf])
-    return np.frombuffer(got[0]["words"], np.uint64), np.frombuffer(got[0]["w"]), got[0]["any"], np.frombuffer(got[0]["theta"])
+        return np.zeros(0, np.uint64), np.zeros(0), np.array([np.inf])
+    return np.frombuffer(got[0]["words"], np.uint64), np.frombuffer(got[0]["w"]), np.frombuffer(got[0]["theta"])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
@@ -180,9 +201,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, w, some_known, theta = shared.value
+        known, w, theta = shared.value
         for b in batches:
-            s, some = scores(b.column(1), known, w, some_known)
+            s, some = scores(b.column(1), known, w)
             over = sigmoid(s[:, None] - theta)
             over[~some] = 0
             p = np.concatenate([np.ones((len(s), 1)), over], axis=1) - np.concatenate([over, np.zeros((len(s), 1))], axis=1)
