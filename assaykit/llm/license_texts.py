@@ -78,12 +78,12 @@ _FORMS = {"GPL-2.0": ("GPL-2.0-only", "GPL-2.0-or-later"), "GPL-3.0": ("GPL-3.0-
 
 
 def templates() -> dict[str, str]:
-    """Name -> passage. A statement is named after its license and wording, a tag and a full text after the license."""
+    """Name -> passage. What follows a colon in a name tells wordings of one statement apart."""
     out = _GRANTS | _TEXTS
     for license_, names in _NAMES.items():
         for i, name in enumerate(names):
             for k, said in enumerate(_SAID):
-                out[f"{license_} statement {i}.{k}"] = said.format(name)
+                out[f"{license_} statement:{i}.{k}"] = said.format(name)
         for tag in _TAGS:
             for form in (license_, *_FORMS.get(license_, ())):
                 out[f"{form} tag"] = tag.format(form)

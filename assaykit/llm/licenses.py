@@ -6,12 +6,14 @@ BANDS hash functions is a band of one row: a window retrieves a template if for
 piece's. A piece of m shingles in a window of at most 2 HALF is missed by all with probability (1 - m / (2 HALF)) **
 BANDS at most: under 0.3 % for three shingles, 2 % for two, 1e-19 for a full piece, and a long template has many
 pieces. A retrieved template is then looked for around its windows: the share of its distinct shingles that occur
-within a stretch of 1.5 times its length must be CONTAINED at least.
+within a stretch of 1.5 times its length must be CONTAINED at least; of a template of fewer than SHORT shingles all must,
+for one word of a statement tells the version.
 
-Templates: the full texts in license_files, and the grants, notices, statements and SPDX tags of license_texts.
+Templates: the full texts in license_files, and the grants, notices, statements and SPDX tags of license_texts. The many
+wordings of a license's statement have one name.
 
-Defined results. Null texts and texts of fewer than 3 words hold no license. Passages of one template that overlap
-are one row, with the best containment; two templates may claim one passage. Repeated rows are each reported. An
+Defined results. Null texts and texts of fewer than 3 words hold no license. Passages of one name that overlap
+are one row, with the best containment; two licenses may claim one passage. Repeated rows are each reported. An
 empty table or no templates give an empty result. Other columns are ignored, whatever their names. The letters A to Z
 count as the small ones. Places count Unicode code points of the text as it is.
 """
@@ -33,6 +35,7 @@ SHINGLE = 3
 HALF = 16
 BANDS = 64
 CONTAINED = 0.8
+SHORT = 20
 _ODD = mix64(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _SIEVE = 1 << 16
 
@@ -86,6 +89,7 @@ class Templates:
         """First and last shingle and containment of the passages of template t about the shingles first to last of a
         row's; of those that overlap the best."""
         size, reach = len(self.sets[t]), self.lengths[t] * 3 // 2 + SHINGLE
+        needed = CONTAINED if size >= SHORT else 1
         low = max(0, first - reach)
         part = run[low : last + 2 * HALF + reach]
         hits = np.flatnonzero(np.isin(part, self.sets[t]))
@@ -99,7 +103,7 @@ class Templates:
                     del inside[values[i]]
                 i += 1
             share = len(inside) / size
-            if share >= CONTAINED:
+            if share >= needed:
                 a = low + int(hits[i])
                 if out and a <= out[-1][1]:
                     if share > out[-1][2]:
@@ -109,17 +113,27 @@ class Templates:
         return out
 
 
-def scan(row_values: np.ndarray, begin: np.ndarray, templates: Templates) -> list[tuple[int, int, int, int, float]]:
-    """(row, template, first shingle, last shingle, containment)."""
+def scan(row_values: np.ndarray, begin: np.ndarray, templates: Templates) -> list[tuple[int, str, int, int, float]]:
+    """(row, name, first shingle, last shingle, containment)."""
     at: dict[tuple[int, int], list[int]] = {}
     for row, place, t in sorted(templates.retrieve(row_values, begin)):
         at.setdefault((row, t), []).append(place)
-    out = []
+    found: dict[tuple[int, str], list[tuple[int, int, float]]] = {}
     for (row, t), places in at.items():
         run, reach = row_values[begin[row] : begin[row + 1]], 3 * templates.lengths[t] + 2 * (SHINGLE + HALF)
         cuts = [0, *(np.flatnonzero(np.diff(places) > reach) + 1).tolist(), len(places)]
         for i, j in zip(cuts[:-1], cuts[1:]):
-            out += [(row, t, *p) for p in templates.passages(run, t, places[i], places[j - 1])]
+            found.setdefault((row, templates.names[t].partition(":")[0]), []).extend(templates.passages(run, t, places[i], places[j - 1]))
+    out = []
+    for (row, name), passages in found.items():
+        merged: list[tuple[int, int, float]] = []
+        for a, z, share in sorted(passages):
+            if merged and a <= merged[-1][1]:
+                if (share, z - a) > (merged[-1][2], merged[-1][1] - merged[-1][0]):
+                    merged[-1] = a, z, share
+            else:
+                merged.append((a, z, share))
+        out += [(row, name, *p) for p in merged]
     return out
 
 
@@ -136,10 +150,10 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 part, at = ascii_lower(raw[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i]
                 s, e, first = word_spans(part, at)
                 values, begin = shingles(word_hashes(part, s, e), first, SHINGLE)
-                for row, t, a, z, share in scan(values, begin, templates):
+                for row, name, a, z, share in scan(values, begin, templates):
                     start, end = s[first[row] + a], e[min(first[row] + z + SHINGLE, first[row + 1]) - 1]
                     points = lambda x: int(((part[at[row] : x] & 0xC0) != 0x80).sum())  # noqa: B023, E731
-                    out.append((b.column(0)[i + row].as_py(), templates.names[t], points(start), points(end), share))
+                    out.append((b.column(0)[i + row].as_py(), name, points(start), points(end), share))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
