@@ -1,17 +1,18 @@
 """Personal data by weak supervision.
 
 1. Candidates: spans that look like an e-mail address, IP address (version 4 or 6), social-security number, IBAN, card
-   or account number, phone number (7 to 15 digits, with or without separators), or street address. Texts without a
-   digit, an at sign or a colon as in an address are passed over in the JVM.
+   or account number, phone number (7 to 15 digits, with or without separators), street address, or a person's name
+   (capitalised words after a form of address or a given name of the gazetteer). Texts without a digit, an at sign, a
+   colon as in an address or two capitalised words in a row are passed over in the JVM.
 2. Labelers vote on each span yes, no or not at all: the strict expression of its kind, a gazetteer (mail domains,
-   number ranges, reserved addresses), a checksum or structure test, and the words around it.
-3. Expectation-maximisation estimates each labeler's hit and false-alarm rate and each kind's share of true spans,
-   from the counts of all vote patterns over all documents. These counts are a small table, whatever the input.
+   number ranges, reserved addresses, given names), a checksum or structure test, and the words around it.
+3. Expectation-maximisation estimates, for each kind by itself, each labeler's hit and false-alarm rate and the share of
+   true spans, from the counts of all vote patterns over all documents. These counts are a small table, whatever the input.
 4. A logistic regression on features of the span and its surroundings, none of them a vote, is trained on at most
    SAMPLE spans with the estimated probabilities as targets. It gives each span its score; SCORE and more is PII.
 
 Defined results. Null and empty texts have no spans. Places count Unicode code points. Spans don't overlap: the one
-that begins first is taken, and of two kinds the first in the order above. Repeated rows are each reported, and equal
+that begins first is taken, and of two kinds the first in the order above; a name gives way to any other kind. Repeated rows are each reported, and equal
 surroundings give equal scores. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -30,10 +32,10 @@ from pyspark.sql import functions as F
 from ..functions.patterns import PATTERNS
 from .exchange import materialise, small_batches
 
-KINDS = ("email", "ip", "ipv6", "ssn", "iban", "account", "phone", "street")
+KINDS = ("email", "ip", "ipv6", "ssn", "iban", "account", "phone", "street", "name")
 _H = "[0-9A-Fa-f]{1,4}"
 CANDIDATE = re.compile(
-    r"(?P<email>[^\s@<>()\[\],;:\"']{1,64}@[^\s@<>()\[\],;:\"']+\.[^\W\d_]{2,})"
+    r"(?P<email>(?<![^\s@<>()\[\],;:\"'])[^\s@<>()\[\],;:\"']+@[^\s@<>()\[\],;:\"']+\.[^\W\d_]{2,})"
     r"|(?<![\w.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\.?\w)"
     r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
     rf"|(?<![\w:.])(?P<ipv6>::(?:{_H}:){{0,5}}\d{{1,3}}(?:\.\d{{1,3}}){{3}}|(?:{_H}:){{2,7}}{_H}|(?:{_H}:){{1,7}}:(?:{_H}(?::{_H}){{0,6}})?|::{_H}(?::{_H}){{0,6}})(?![\w:])"
@@ -48,6 +50,25 @@ SCORE = 0.5
 EPOCHS = 5
 LABELERS = ("expression", "gazetteer", "structure", "context")
 
+_ADDRESSED = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Sr|Sra|Don|Doña)"
+_NAME = re.compile(rf"(?<!\w)(?:(?P<address>{_ADDRESSED})\.?\s+(?=[^\W\d_a-z]))?(?P<given>[^\W\d_a-z][^\W\d_]+)(?:\s+[^\W\d_a-z](?:\.|[^\W\d_]+(?:['-][^\W\d_]+)*)){{0,3}}")
+def plain(name: str) -> str:
+    """In small letters, without accents."""
+    return "".join(c for c in unicodedata.normalize("NFKD", name.lower()) if not unicodedata.combining(c))
+
+
+_GIVEN = set(
+    plain(
+    "james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony mark donald steven paul andrew joshua kenneth kevin brian george edward ronald timothy jason jeffrey ryan jacob gary nicholas eric jonathan stephen larry justin scott brandon benjamin samuel gregory frank alexander raymond patrick jack dennis jerry tyler aaron jose henry adam douglas nathan peter zachary kyle walter ethan jeremy harold keith christian roger noah gerald carl terry sean austin arthur lawrence jesse dylan bryan "
+    "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa betty margaret sandra ashley kimberly emily donna michelle dorothy carol amanda melissa deborah stephanie rebecca sharon laura cynthia kathleen amy shirley angela helen anna brenda pamela nicole emma samantha katherine christine debra rachel catherine carolyn janet ruth maria heather diane virginia julie joyce victoria olivia kelly christina lauren joan evelyn judith megan cheryl andrea hannah martha jacqueline frances gloria teresa kathryn sara janice jean alice madison doris abigail julia judy grace denise amber marilyn beverly danielle theresa sophia marie diana brittany natalie isabella charlotte rose jane "
+    "hans peter klaus jürgen wolfgang günter heinz uwe bernd dieter horst manfred stefan andreas matthias sebastian tobias florian lukas jonas felix maximilian moritz ursula monika petra sabine renate helga karin brigitte ingrid claudia susanne katharina johanna lena leonie friedrich wilhelm gerhard "
+    "jean pierre michel philippe alain jacques bernard rené andré françois louis nicolas julien olivier guillaume antoine camille chloé léa manon marie nathalie isabelle sylvie catherine françoise valérie sandrine véronique céline élodie aurélie hélène "
+    "antonio manuel francisco juan javier carlos miguel alejandro rafael pedro ángel luis jorge sergio pablo diego fernando alberto álvaro carmen josefa isabel dolores pilar cristina lucía mercedes rosario raquel elena silvia beatriz rocío sofía "
+    "mohammed ahmed ali fatima omar hassan yusuf aisha wei li ming hiroshi yuki kenji priya raj amit anjali ivan olga natasha dmitri sergei giovanni luca marco giulia francesca"
+    ).split()
+)
+_NO_NAME = set("january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday street avenue road city county beach river lake island university college school church company inc ltd corp license public general north south east west new the and of in".split())
+
 _STRICT = {
     "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"),
     "ip": re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"),
@@ -56,6 +77,7 @@ _STRICT = {
     "iban": re.compile(r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)"),
     "account": re.compile(r"\d{13,19}|\d{4}(?:(?:[ -]| - )\d{4}){2,3}(?:[ -]| - )\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}"),
     "phone": re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){2,4}|(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\+\d{1,3}[\s.-]?(?:\(0\)[\s.-]?)?\(?\d{1,4}\)?(?:[\s.-]?\d{2,4}){1,4}|\(\d{2,4}\)[\s.-]?\d{5,8}|0\d{1,4}[\s.-]\d{5,8}|(?:\+?1[\s.-]?)?[2-9]\d{2}[\s.-]?\d{3}[\s.-]?\d{4}"),
+    "name": re.compile(rf"(?:{_ADDRESSED}\.?\s+)?[^\W\d_a-z][^\W\d_]+(?:\s+[^\W\d_a-z](?:\.|[^\W\d_]*[a-zà-ÿ][^\W\d_]*(?:['-][^\W\d_]+)*))+|{_ADDRESSED}\.?\s+[^\W\d_a-z][^\W\d_]+"),
     "street": re.compile(r"[1-9]\d{0,5}(?:\s+(?:[NSEW]\.?|[A-Z][A-Za-z.'-]*|\d{1,3}(?:st|nd|rd|th))){1,5}"),
 }
 _DOMAINS = {"gmail", "yahoo", "hotmail", "outlook", "icloud", "aol", "gmx", "web", "mail", "proton", "protonmail", "live", "msn", "orange", "yandex"}
@@ -67,6 +89,7 @@ _FOR = {
     "iban": {"iban", "account", "bank", "bic", "swift", "transfer", "konto", "compte", "cuenta"},
     "street": {"address", "live", "lives", "living", "at", "home", "street", "ship", "mail", "deliver", "visit", "resides"},
     "ssn": {"ssn", "social", "security"},
+    "name": {"name", "named", "called", "signed", "sincerely", "regards", "dear", "by", "author", "contact", "mr", "mrs", "ms", "dr", "born", "says", "said", "wrote", "met", "patient", "employee", "student", "nombre", "nom", "heißt"},
     "account": {"card", "visa", "mastercard", "amex", "account", "iban", "credit", "debit", "karte", "carte", "tarjeta", "konto"},
     "phone": {"phone", "tel", "telephone", "call", "fax", "mobile", "cell", "dial", "telefon", "téléphone", "teléfono"},
 }
@@ -119,6 +142,10 @@ def votes(kind: str, span: str, before: list[str], after: list[str]) -> tuple[in
     elif kind == "street":
         known = 0 if set(_WORD.findall(span.lower())) & _COMMON else -1
         built = int(all(w[:1].isupper() or w[:1].isdigit() for w in span.split()))
+    elif kind == "name":
+        said = _WORD.findall(span.lower())
+        known = 0 if set(said) & _NO_NAME else 1 if re.match(rf"{_ADDRESSED}\b", span) or plain(said[0]) in _GIVEN else -1
+        built = int(len(said) >= 2 and len(set(said)) == len(said) and not span.isupper())
     elif kind == "ssn":
         known = 0 if digits in ("078051120", "219099999", "123456789") else -1
         built = int(len(set(digits)) > 2)
@@ -142,29 +169,41 @@ def features(kind: str, span: str, before: list[str], after: list[str]) -> list[
 
 
 def spans(text: str) -> Iterator[tuple[str, int, int]]:
-    for m in CANDIDATE.finditer(text):
-        if m.lastgroup == "phone" and not 7 <= sum(c.isdigit() for c in m[0]) <= 15:
-            continue
-        yield m.lastgroup, m.start(), m.end()
-
-
-def reliabilities(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 200) -> tuple[dict[str, float], np.ndarray, np.ndarray]:
-    """Share of true spans by kind, each labeler's hit rate, its false-alarm rate; by EM under weak Beta priors."""
-    kinds = sorted({k for k, _ in counts})
-    n = np.array(list(counts.values()), float)
-    of = np.array([kinds.index(k) for k, _ in counts], int)
-    v = np.array([p for _, p in counts]).reshape(len(n), -1)
-    share, hit, alarm = np.full(len(kinds), 0.7), np.full(v.shape[1], 0.9), np.full(v.shape[1], 0.2)
-    for _ in range(rounds):
-        q = _posterior(v, share[of], hit, alarm)
-        share = (np.bincount(of, n * q, len(kinds)) + 7) / (np.bincount(of, n, len(kinds)) + 10)
-        said, yes = n[:, None] * (v >= 0), n[:, None] * (v == 1)
-        hit = ((yes * q[:, None]).sum(0) + 9) / ((said * q[:, None]).sum(0) + 10)
-        alarm = ((yes * (1 - q[:, None])).sum(0) + 2) / ((said * (1 - q[:, None])).sum(0) + 10)
-    return dict(zip(kinds, share.tolist())), hit, alarm
-
-
-def _posterior(v: np.ndarray, share: np.ndarray, hit: np.ndarray, alarm: np.ndarray) -> np.ndarray:
+    """Kind, start and end of each candidate, in order."""
+    held = [m for m in CANDIDATE.finditer(text) if m.lastgroup != "phone" or 7 <= sum(c.isdigit() for c in m[0]) <= 15]
+    names = [m for m in _NAME.finditer(text) if m["address"] or plain(m["given"]) in _GIVEN and m.end() > m.end("given")]
+    if not names:
+        for m in held:
+            yield m.lastgroup, m.start(), m.end()
+        return
+    begun, i = [(m.start(), m.end(), m.lastgroup) for m in held], 0
+    for m in names:
+        while i < len(held) and held[i].end() <= m.start():
+            i += 1
+        if i == len(held) or held[i].start() >= m.end():
+            begun.append((m.start(), m.end(), "name"))
+    for start, end, kind in sorted(begun):
+        yield kind, start, end
+
+
+def reliabilities(counts: dict[tuple[str, tuple[int, ...]], int], rounds: int = 200) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
+    """For each kind the share of true spans, each labeler's hit rate, its false-alarm rate; by EM under weak Beta priors."""
+    out = {}
+    for kind in sorted({k for k, _ in counts}):
+        held = sorted((p, c) for (k, p), c in counts.items() if k == kind)
+        v, n = np.array([p for p, _ in held]), np.array([c for _, c in held], float)
+        share, hit, alarm = 0.7, np.full(v.shape[1], 0.9), np.full(v.shape[1], 0.2)
+        for _ in range(rounds):
+            q = _posterior(v, share, hit, alarm)
+            share = ((n * q).sum() + 7) / (n.sum() + 10)
+            said, yes = n[:, None] * (v >= 0), n[:, None] * (v == 1)
+            hit = ((yes * q[:, None]).sum(0) + 9) / ((said * q[:, None]).sum(0) + 10)
+            alarm = ((yes * (1 - q[:, None])).sum(0) + 2) / ((said * (1 - q[:, None])).sum(0) + 10)
+        out[kind] = share, hit, alarm
+    return out
+
+
+def _posterior(v: np.ndarray, share: np.ndarray | float, hit: np.ndarray, alarm: np.ndarray) -> np.ndarray:
     yes = np.log(share) + np.where(v == 1, np.log(hit), np.where(v == 0, np.log(1 - hit), 0)).sum(axis=1)
     no = np.log(1 - share) + np.where(v == 1, np.log(alarm), np.where(v == 0, np.log(1 - alarm), 0)).sum(axis=1)
     return 1 / (1 + np.exp(np.clip(no - yes, -50, 50)))
@@ -198,7 +237,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), schema)], schema=schema)
 
-    some = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.rlike("text", F.lit(r"(?U)[@\d]|[A-Fa-f]:|::")))
+    some = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.rlike("text", F.lit(r"(?U)[@\d]|[A-Fa-f]:|::|\p{Lu}\p{L}*\.?\s+\p{Lu}")))
     return some.mapInArrow(run, "doc_id long, kind string, start long, end long, votes array<int>, features array<int>")
 
 
@@ -206,7 +245,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, kind, start, end, score of every span that scores SCORE or more; see the module's text for edge cases."""
     found = materialise(candidates(docs, id_col, text_col), "spans")
     counts = {(k, tuple(v)): n for k, v, n in found.groupBy("kind", "votes").count().collect()}
-    share, hit, alarm = reliabilities(counts) if counts else ({}, np.zeros(0), np.zeros(0))
+    known = reliabilities(counts)
 
     total = sum(counts.values())
     cut = min(1 << 30, int((1 << 30) * SAMPLE * 1.1 / max(1, total)) + 1)
@@ -215,7 +254,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(zip(*(sum((b.column(i).to_pylist() for b in held), []) for i in range(3)))) if (held := list(batches)) else []
         if rows:
-            q = _posterior(np.array([v for _, v, _ in rows]), np.array([share[k] for k, _, _ in rows]), hit, alarm)
+            share, hit, alarm = (np.array(x) for x in zip(*(known[k] for k, _, _ in rows)))
+            q = _posterior(np.array([v for _, v, _ in rows]), share, hit, alarm)
             yield pa.RecordBatch.from_pydict({"w": [fit_spans([f for _, _, f in rows], q).tobytes()]})
 
     got = drawn.mapInArrow(train, "w binary").collect() if total else []

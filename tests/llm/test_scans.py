@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 
 from assaykit.llm import decontaminate, licenses, pii, secrets
 from assaykit.llm.license_texts import templates
@@ -104,7 +105,9 @@ def test_license_places_in_the_original(table):
 def test_each_template_is_found_in_itself(table):
     names = list(TEMPLATES)
     found = {(r.doc_id, r.license) for r in licenses.find_licenses(table([TEMPLATES[n] for n in names])).collect()}
-    assert {(i, n) for i, n in enumerate(names)} <= found
+    assert {(i, n.partition(":")[0]) for i, n in enumerate(names)} <= found
+    version3 = names.index("GPL-3.0 statement:0.0")
+    assert {n for i, n in found if i == version3} == {"GPL-3.0 statement"}
     said = ["Distributed under the MIT License", "SPDX-License-Identifier: GPL-2.0-only", "licensed under the GNU General Public License, version 2", "Available under the Eclipse Public License 2.0."]
     assert {r.doc_id for r in licenses.find_licenses(table(said)).collect()} == {0, 1, 2, 3}
 
@@ -118,8 +121,8 @@ def brute_licenses(text):
         reach = (len(x) - 2) * 3 // 2 + 3
         mine = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
         hits = [i for i, s in enumerate(mine) if s in want]
-        if any(len({mine[j] for j in hits if i <= j <= i + reach}) >= 0.8 * len(want) for i in hits):
-            out.add(name)
+        if any(len({mine[j] for j in hits if i <= j <= i + reach}) >= (0.8 if len(want) >= licenses.SHORT else 1) * len(want) for i in hits):
+            out.add(name.partition(":")[0])
     return out
 
 
@@ -198,9 +201,10 @@ FORMATS = {
     "iban": ["DE89370400440532013000", "GB29NWBK60161331926819", "FR14 2004 1010 0505 0001 3M02 606"],
     "street": ["12 Main Street", "1600 Pennsylvania Ave", "221 North 5th St", "77 Old Mill Rd"],
     "account": ["4111111111111111", "4111 1111 1111 1111", "4111 - 1111 - 1111 - 1111"],
-    "email": ["jane.doe@example.org"],
+    "email": ["jane.doe@example.org", "a" * 80 + "@example.org"],
     "ip": ["83.12.25.12"],
     "ssn": ["219-09-9998"],
+    "name": ["Mary Jones", "Dr. Okafor", "Jürgen von Müller".replace("von ", ""), "Frau Schmidt", "John Q. Public", "María Núñez"],
 }
 
 
@@ -225,6 +229,65 @@ def test_pii_formats_are_scored(table):
     assert {r.kind for r in pii.candidates(table([letters]), "doc_id", "text").collect()} == {"ipv6"}
 
 
+def em_by_span(rows, rounds=200):
+    """EM over the spans themselves, one kind at a time."""
+    out = {}
+    for kind in {k for k, _ in rows}:
+        votes = [v for k, v in rows if k == kind]
+        share, hit, alarm = 0.7, [0.9] * 4, [0.2] * 4
+        for _ in range(rounds):
+            q = []
+            for v in votes:
+                yes, no = share, 1 - share
+                for j, x in enumerate(v):
+                    if x >= 0:
+                        yes *= hit[j] if x else 1 - hit[j]
+                        no *= alarm[j] if x else 1 - alarm[j]
+                q.append(yes / (yes + no))
+            share = (sum(q) + 7) / (len(q) + 10)
+            for j in range(4):
+                said = [(p, v[j]) for p, v in zip(q, votes) if v[j] >= 0]
+                hit[j] = (sum(p for p, x in said if x) + 9) / (sum(p for p, _ in said) + 10)
+                alarm[j] = (sum(1 - p for p, x in said if x) + 2) / (sum(1 - p for p, _ in said) + 10)
+        out[kind] = share, hit, alarm
+    return out
+
+
+def test_pii_by_brute_force(table):
+    """The query's rows from all spans, votes, EM and classifier in plain Python; with repeated rows, null ids and a very long
+    text."""
+    rng = random.Random(4)
+    texts = [f"{rng.choice(W)} {rng.choice(['call', 'see', 'order', 'from'])} {rng.choice(FORMATS[rng.choice(sorted(FORMATS))])} {rng.choice(['now', 'thanks', W[3]])}" for _ in range(150)]
+    texts += ["version 1.2.3.4 of 2024-01-02", "page 123 456 7890", texts[0], "y " * 100_000 + "mail jane@example.org " + "z " * 100_000]
+    rows = [(i if i % 10 else None, t, "en", "s") for i, t in enumerate(texts)]
+    got = Counter((r.doc_id, r.kind, r.start, r.end, round(r.score, 9)) for r in pii.find_personal_data(table(rows)).collect())
+    found = []
+    for d, t, *_ in rows:
+        for kind, a, z in pii.spans(t):
+            around = pii.surroundings(t, a, z)
+            found.append((d, kind, a, z, pii.votes(kind, t[a:z], *around), pii.features(kind, t[a:z], *around)))
+    known = em_by_span([(k, v) for _, k, _, _, v, _ in found])
+    train = sorted(([k, list(v), f] for _, k, _, _, v, f in found), key=lambda r: (r[0], r[1], r[2]))
+    q = []
+    for k, v, _ in train:
+        share, hit, alarm = known[k]
+        yes, no = share, 1 - share
+        for j, x in enumerate(v):
+            if x >= 0:
+                yes, no = yes * (hit[j] if x else 1 - hit[j]), no * (alarm[j] if x else 1 - alarm[j])
+        q.append(yes / (yes + no))
+    w = pii.fit_spans([f for *_, f in train], np.array(q))
+    scores = [1 / (1 + np.exp(-w[f].sum())) for *_, f in found]
+    want = Counter((d, k, a, z, round(s, 9)) for (d, k, a, z, *_), s in zip(found, scores) if s >= pii.SCORE)
+    assert {x[:4] for x in got} == {x[:4] for x in want} and sum(got.values()) == sum(want.values())
+    assert sum((got & want).values()) >= 0.99 * sum(want.values())
+
+
+def test_names():
+    for text, said in (("He met Mary Jones today", ["Mary Jones"]), ("Apache License", []), ("The The", []), ("mail to Dr Who@x.org", ["Dr"][:0]), ("Peter said", [])):
+        assert [text[a:z] for k, a, z in pii.spans(text) if k == "name"] == said
+
+
 def test_reliabilities():
     rng = random.Random(6)
     counts = {}
@@ -232,5 +295,5 @@ def test_reliabilities():
         y = rng.random() < 0.7
         v = tuple(int(rng.random() < (h if y else a)) if rng.random() < 0.9 else -1 for h, a in ((0.95, 0.1), (0.8, 0.2), (0.9, 0.3), (0.7, 0.4)))
         counts[("k", v)] = counts.get(("k", v), 0) + 1
-    share, hit, alarm = pii.reliabilities(counts)
-    assert abs(share["k"] - 0.7) < 0.08 and abs(hit[0] - 0.95) < 0.06 and abs(alarm[0] - 0.1) < 0.1
+    share, hit, alarm = pii.reliabilities(counts)["k"]
+    assert abs(share - 0.7) < 0.08 and abs(hit[0] - 0.95) < 0.06 and abs(alarm[0] - 0.1) < 0.1
