@@ -56,12 +56,12 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if args.command == "run_all":
         results, code = runner.run_all(spark, args.input, args.output_dir, config, args.skip_near)
         for r in results.values():
-            print(f"[{r['summary']['severity']}] {r['summary']['check']}: {r['summary']['finding']}", file=sys.stderr)
+            print(runner.summary_line(r), file=sys.stderr)
         return code
     files = [f for i in args.input for f in runner.list_files(i)]
     run = runner.Run(spark, files, config)
     out = run.format_detection(args.sniff_records) if args.command == "format_detection" else getattr(run, args.command)()
-    print(f"[{out['summary']['severity']}] {args.command}: {out['summary']['finding']}", file=sys.stderr)
+    print(runner.summary_line(out), file=sys.stderr)
     print(runner.dump(out))
     return exit_code(out)
 

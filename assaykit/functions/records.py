@@ -18,13 +18,15 @@ _ALIASES = {"ai": "assistant", "bot": "assistant", "function": "tool", "human":
 CHATS = ("openai_chat", "anthropic_chat")
 
 MESSAGE = "struct<role:string,content:string,calls:string,bad_calls:int,excused:boolean,answers:boolean,sample:string>"
-#: kind: record, empty_line or json_error. facts: what schema validation asks of the payload.
+#: kind: record, empty_line, json_error or file_error. A record with an error can be checked but not compared. facts: what schema validation asks of the payload.
 RECORD = (
     "file string, file_ord int, idx bigint, line bigint, kind string, fmt string, own_split string, canonical string, sample string, error string, "
     f"fields array<struct<name:string,value:string>>, messages array<{MESSAGE}>, "
     "facts struct<is_object:boolean,text_key:boolean,prompt_missing:boolean,chosen:string,rejected:string,pair:boolean,text_missing:boolean,label_missing:boolean>, "
     "label string, prompt string, chosen string, rejected string, pair struct<input_name:string,input:string,output_name:string,output:string>"
 )
+#: The place of error among the columns from kind on.
+ERROR = 5
 
 
 def canonical_json(value: object) -> str:

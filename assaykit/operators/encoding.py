@@ -1,7 +1,9 @@
-"""Bytes of whole files: NULL bytes, byte-order marks, invalid UTF-8, and text decoded with the wrong code page."""
+"""Bytes of whole files, block by block: NULL bytes, byte-order marks, invalid UTF-8, and text decoded with the wrong code
+page."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.patterns import redact
 from ..functions.text import occurrences
+from ..sources import storage
 
 #: What UTF-8 looks like if it was read as Windows-1252.
 MOJIBAKE = (
@@ -24,45 +27,84 @@ def mojibake_counts(text: Column) -> Column:
     return F.array(*(F.struct(F.lit(p).alias("pattern"), occurrences(text, p).alias("n")) for p in MOJIBAKE))
 
 
-def scan(data: bytes) -> tuple[list[dict], dict[str, int]]:
-    """Issues and counts of one file."""
-    issues: list[dict] = []
-    counts: dict[str, int] = {}
+#: Bytes that a task scans at once, and those it reads beyond on either side: a sample's surroundings.
+BLOCK = 64 << 20
+AROUND = 512
+_SCANNED = "file string, key string, at bigint, n bigint, sample string"
 
-    def note(severity: str, pattern: str, count: int, message: str, key: str | None = None, **more) -> None:
-        if key:
-            counts[key] = count
-        issues.append({"severity": severity, "pattern": pattern, "message": message, **({"count": count} if key else {}), **more})
 
-    if n := data.count(b"\0"):
-        note("CRITICAL", "NULL byte", n, "NULL bytes present", "null_bytes")
-    leading = data.startswith(_BOM)
+def _edge(data: bytes, at: int) -> int:
+    """The first place from at on where a character may begin; three bytes on at most."""
+    end = min(len(data), at + 3)
+    while at < end and data[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def scan_block(data: bytes, start: int, begin: int, end: int) -> Iterator[tuple[str, int, int, str | None]]:
+    """key, place of the first, count, sample of what is found in data[begin:end]; data begins at start in its file and
+    goes on behind end. What begins in the block is the block's."""
+    a, z = (0 if start == begin == 0 else _edge(data, begin)), _edge(data, end) if end < len(data) else end
+    if n := data.count(b"\0", begin, end):
+        yield "null_bytes", start + data.find(b"\0", begin), n, None
+    leading = start == begin == 0 and data.startswith(_BOM)
     if leading:
-        note("WARNING", "BOM", 1, "UTF-8 BOM at start of file", "bom_at_start")
-    if n := data.count(_BOM) - leading:
-        note("WARNING", "stray BOM", n, "BOM occurs after the start of the file", "stray_bom")
+        yield "bom_at_start", 0, 1, None
+    if n := data.count(_BOM, begin, min(len(data), end + 2)) - leading:
+        yield "stray_bom", start + begin, n, None
+    piece = data[a:]
     try:
-        text = data.decode("utf-8")
+        piece.decode("utf-8")
     except UnicodeDecodeError as error:
-        note("CRITICAL", "invalid_utf8", 0, str(error), sample_bytes_hex=data[max(0, error.start - 40) : error.end + 40].hex())
-        text = data.decode("utf-8", errors="replace")
+        # what lies behind the block is the next one's; a character cut off by the end of what was read is no error
+        if error.start < z - a:
+            at = start + a + error.start
+            where = f"position {at}" if error.end - error.start == 1 else f"position {at}-{start + a + error.end - 1}"
+            byte = f"byte 0x{piece[error.start]:02x}" if error.end - error.start == 1 else "bytes"
+            said = f"'utf-8' codec can't decode {byte} in {where}: {error.reason}"
+            yield "invalid_utf8", at, 1, json.dumps({"message": said, "hex": data[max(0, a + error.start - 40) : a + error.end + 40].hex()})
+    before, own, after = data[:a].decode("utf-8", "replace"), data[a:z].decode("utf-8", "replace"), data[z:].decode("utf-8", "replace")
+    text = before + own + after
     for p in MOJIBAKE:
-        if n := text.count(p):
-            at = text.find(p)
-            note("WARNING", p, n, "the text looks decoded with the wrong code page", f"mojibake:{p}", samples=[redact(text[max(0, at - 80) : at + 120])])
-    return issues, counts
-
+        low, high = len(before), min(len(text), len(before) + len(own) + len(p) - 1)
+        if n := text.count(p, low, high):
+            at = text.find(p, low)
+            yield f"mojibake:{p}", start + a + len(text[low:at].encode()), n, redact(text[max(0, at - 80) : at + 120])
 
-SCANNED = "file string, file_ord int, bytes bigint, issues string, counts string"
 
-
-def scan_files(files: DataFrame) -> DataFrame:
-    """file, bytes, issues and counts (as JSON) of a table of whole files."""
-    import json
+def scan_blocks(blocks: DataFrame) -> DataFrame:
+    """file, key, n, sample: what is found in each file, summed over its blocks; the sample is the first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            told = [scan(bytes(c)) for c in b["content"]]
-            yield pd.DataFrame({"file": b["file"], "file_ord": b["file_ord"], "bytes": b["bytes"], "issues": [json.dumps(i, ensure_ascii=False) for i, _ in told], "counts": [json.dumps(c, ensure_ascii=False) for _, c in told]})
-
-    return files.mapInPandas(run, SCANNED)
+            for file, start, size in zip(b["file"], b["start"].tolist(), b["size"].tolist()):
+                low, end = max(0, start - AROUND), min(size, start + BLOCK)
+                data = storage.read_range(file, low, end - low + AROUND)
+                found = [(file, *x) for x in scan_block(data, low, start - low, end - low)]
+                if found:
+                    yield pd.DataFrame(found, columns=["file", "key", "at", "n", "sample"])
+
+    return blocks.mapInPandas(run, _SCANNED).groupBy("file", "key").agg(F.sum("n").alias("n"), F.min_by("sample", "at").alias("sample"))
+
+
+def told(rows: list) -> tuple[list[dict], dict[str, int]]:
+    """Issues and counts of one file from its rows of scan_blocks()."""
+    found, issues, counts = {r["key"]: r for r in rows}, [], {}
+
+    def note(severity: str, key: str, pattern: str, message: str, **more) -> None:
+        counts[key] = found[key]["n"]
+        issues.append({"severity": severity, "pattern": pattern, "message": message, "count": found[key]["n"], **more})
+
+    if "null_bytes" in found:
+        note("CRITICAL", "null_bytes", "NULL byte", "NULL bytes present")
+    if "bom_at_start" in found:
+        note("WARNING", "bom_at_start", "BOM", "UTF-8 BOM at start of file")
+    if "stray_bom" in found:
+        note("WARNING", "stray_bom", "stray BOM", "BOM occurs after the start of the file")
+    if "invalid_utf8" in found:
+        said = json.loads(found["invalid_utf8"]["sample"])
+        issues.append({"severity": "CRITICAL", "pattern": "invalid_utf8", "message": said["message"], "sample_bytes_hex": said["hex"]})
+    for p in MOJIBAKE:
+        if f"mojibake:{p}" in found:
+            note("WARNING", f"mojibake:{p}", p, "the text looks decoded with the wrong code page", samples=[found[f"mojibake:{p}"]["sample"]])
+    return issues, counts

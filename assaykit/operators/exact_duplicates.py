@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import redacted
@@ -37,7 +37,6 @@ def examples(records: DataFrame, n: int) -> DataFrame:
     return shown.withColumn("sample", redacted(bounded(F.col("sample"), 800)))
 
 
-def keep_first(records: DataFrame) -> DataFrame:
-    """All records but duplicates."""
-    at = Window.partitionBy("file", "hash").orderBy("idx")
-    return _hashed(records).withColumn("seen", F.row_number().over(at)).where("seen = 1").drop("seen", "hash")
+def not_comparable(records: DataFrame) -> DataFrame:
+    """file, n and the first error of records that are read but have no canonical form."""
+    return records.where((F.col("kind") == "record") & F.col("error").isNotNull()).groupBy("file").agg(F.count("*").alias("n"), F.min_by("error", "idx").alias("error"))

@@ -24,7 +24,7 @@ def split_counts(placed: DataFrame) -> DataFrame:
 def exact_leaks(placed: DataFrame) -> DataFrame:
     """A row for each record whose equal stands in an earlier split: hash, split_a, pos_a (the last equal record of
     the first split that has it), split_b, pos_b."""
-    hashed = placed.select("split", "pos", F.sha2("canonical", 256).alias("hash")).join(F.broadcast(split_counts(placed).select("split", "split_ord")), "split")
+    hashed = placed.select("split", "pos", F.sha2("canonical", 256).alias("hash")).join(split_counts(placed).select("split", "split_ord"), "split")
     per_split = hashed.groupBy("hash", "split_ord", "split").agg(F.max("pos").alias("last"))
     first = per_split.groupBy("hash").agg(F.min_by(F.struct("split_ord", "split", "last"), "split_ord").alias("a"), F.count("*").alias("splits")).where("splits > 1")
     out = hashed.join(first, "hash").where(F.col("split_ord") > F.col("a.split_ord"))

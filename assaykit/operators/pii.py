@@ -10,19 +10,24 @@ from ..functions.records import bundle
 from .shared import first_n
 
 
+def _text(records: DataFrame) -> DataFrame:
+    return records.select("file", "file_ord", "idx", "line", bundle(F.col("fields"), F.col("canonical")).alias("bundle"))
+
+
 def hits(records: DataFrame) -> DataFrame:
-    """file, idx, line, pattern, match_count, bundle of each record and pattern with a match. One pass over the text."""
-    text = records.select("file", "file_ord", "idx", "line", bundle(F.col("fields"), F.col("canonical")).alias("bundle"))
+    """file, idx, line, pattern, match_count of each record and pattern with a match. One pass over the text, which stays
+    where it is."""
     found = F.array(*(F.struct(F.lit(k).alias("pattern"), F.size(matches(F.col("bundle"), k)).cast("long").alias("match_count")) for k in PATTERNS))
-    each = text.withColumn("found", F.filter(found, lambda x: x["match_count"] > 0)).select("file", "file_ord", "idx", "line", "bundle", F.explode("found").alias("f"))
-    return each.select("file", "file_ord", "idx", "line", "f.pattern", "f.match_count", "bundle")
+    each = _text(records).select("file", "file_ord", "idx", "line", F.explode(F.filter(found, lambda x: x["match_count"] > 0)).alias("f"))
+    return each.select("file", "file_ord", "idx", "line", "f.pattern", "f.match_count")
 
 
 def pattern_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("file", "pattern").agg(F.sum("match_count").alias("n"), F.count("*").alias("records"))
 
 
-def samples(found: DataFrame, n: int) -> DataFrame:
-    """The first records of each file and pattern, redacted before they are cut, so that no cut leaves half a secret."""
-    some = first_n(found, n, ["file", "pattern"])
+def samples(found: DataFrame, records: DataFrame, n: int) -> DataFrame:
+    """The first records of each file and pattern, redacted before they are cut, so that no cut leaves half a secret. Only
+    their texts are joined."""
+    some = first_n(found, n, ["file", "pattern"]).join(_text(records).select("file", "idx", "bundle"), ["file", "idx"])
     return some.withColumn("sample", F.left(redacted(F.col("bundle")), F.lit(1000))).drop("bundle")

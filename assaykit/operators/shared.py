@@ -43,11 +43,11 @@ def first_n(df: DataFrame, n: int, keys: list[str], *order: str | Column) -> Dat
     return df.withColumn("rn", F.row_number().over(at)).where(F.col("rn") <= n)
 
 
-def counts_by_code(issues: DataFrame) -> DataFrame:
-    return issues.groupBy("file", "code").agg(F.count("*").alias("n"))
-
-
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go where the cluster says; a folder of our own only where it says nothing, as in tests."""
+    """Checkpoints go where the cluster says; a folder of our own only where it says nothing and all runs in one process, as
+    in tests."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="assaykit-"))

@@ -205,7 +205,7 @@ def pii_phone(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def pii_samples(spark: SparkSession, sf: str) -> DataFrame:
-    return pii.samples(pii.hits(texts(spark, sf)), CONFIG.pii_sample_size).select("pattern", F.col("idx").alias("doc_id"), "match_count", "sample")
+    return pii.samples(pii.hits(records := texts(spark, sf)), records, CONFIG.pii_sample_size).select("pattern", F.col("idx").alias("doc_id"), "match_count", "sample")
 
 
 @query("SELECT CASE WHEN doc_id % 7 = 0 THEN ' ' || upper(lang) ELSE lang END AS label, count(*) AS n FROM documents GROUP BY 1")

@@ -22,7 +22,8 @@ from ..functions.text import bounded, split_of_path
 from ..operators import chats, classes, completions, encoding, exact_duplicates, formats, leakage, lengths, near_duplicates, pii, preferences, review, schema
 from ..operators.shared import capped, first_n
 from ..severity import exit_code, worst
-from ..sources.files import list_files, read_bytes, read_records, too_large
+from ..sources import storage
+from ..sources.files import byte_blocks, list_files, read_records, too_large
 
 CHECKS = ("format_detection", "split_leakage", "schema_validation", "encoding_sanity", "exact_duplicates", "near_duplicates", "length_distribution", "pii_scan", "chat_format", "preference_pairs", "classification", "prompt_completion")
 FORMAT_CHECKS = {**dict.fromkeys(CHATS, "chat_format"), "preference_pair": "preference_pairs", "classification": "classification", "prompt_completion": "prompt_completion"}
@@ -60,27 +61,37 @@ class Run:
 
     def __init__(self, spark: SparkSession, files: list[str], config: Config | None = None):
         self.spark, self.config = spark, config or Config()
-        self.files, self.errors = list(files), {}
-        readable = []
+        self.files = list(files)
+        held = read_records(spark, self.files).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            found = self._file_errors(held)
+        except Exception:
+            # bytes that only a scan shows to be bad: whose they are is asked file by file, the others are read again
+            held.unpersist()
+            found = self._bad_files()
+            held = read_records(spark, [f for f in self.files if f not in found]).persist(StorageLevel.MEMORY_AND_DISK)
+            order = spark.createDataFrame([(f, i) for i, f in enumerate(self.files)], "file string, file_ord int")
+            held, found = held.drop("file_ord").join(order, "file").select(*held.columns), found | self._file_errors(held)
+        self.errors = found
+        self.readable = [f for f in self.files if f not in found]
+        self.records = held.where(~F.col("file").isin(*found)) if found else held
+        self._held = held
+
+    @staticmethod
+    def _file_errors(held: DataFrame) -> dict[str, str]:
+        return {r["file"]: r["error"] for r in held.where("kind = 'file_error'").select("file", "error").collect()}
+
+    def _bad_files(self) -> dict[str, str]:
+        out = {}
         for f in self.files:
             try:
-                # a cheap look, so that one bad file doesn't fail the whole scan
-                read_records(spark, [f]).limit(1).count() if Path(f).suffix.lower() not in (".jsonl", ".txt") else read_records(spark, [f])
-                if Path(f).suffix.lower() in (".csv", ".tsv", ".json"):
-                    read_records(spark, [f]).count()
-                readable.append(f)
+                read_records(self.spark, [f]).write.format("noop").mode("overwrite").save()
             except Exception as error:
-                self.errors[f] = (str(error).strip() or type(error).__name__).splitlines()[-1][:500]
-        self.readable = readable
-        order = {f: i for i, f in enumerate(self.files)}
-        records = read_records(spark, readable)
-        self.records = records.withColumn("file_ord", self._order(order)).persist(StorageLevel.MEMORY_AND_DISK)
-        self._formats: DataFrame | None = None
+                out[f] = (str(error).strip() or type(error).__name__).splitlines()[-1][:500]
+        return out
 
-    @staticmethod
-    def _order(order: dict[str, int]):
-        pairs = [F.lit(x) for kv in order.items() for x in kv]
-        return (F.element_at(F.create_map(*pairs), F.col("file")) if pairs else F.lit(0)).cast("int")
+    def close(self) -> None:
+        self._held.unpersist()
 
     def each(self, make: Callable[[str], dict]) -> list[dict]:
         """make for each readable file, and a critical entry for each other."""
@@ -140,18 +151,24 @@ class Run:
         return detected["format"] if detected["format"] != "too_large" else self._file_formats()[detected["file"]]["format"]
 
     def encoding_sanity(self) -> dict:
-        got = {r["file"]: r for r in encoding.scan_files(read_bytes(self.spark, self.files)).collect()}
+        sizes = {f: storage.size(f) for f in self.files}
+        there = [f for f in self.files if sizes[f] is not None]
+        got = _grouped(encoding.scan_blocks(byte_blocks(self.spark, there, encoding.BLOCK)).collect()) if there else {}
         files = []
         for f in self.files:
-            issues = json.loads(got[f]["issues"])
-            files.append({"file": f, "severity": worst(i["severity"] for i in issues), "finding": "Encoding issues found" if issues else "UTF-8/encoding sanity checks passed", "issues": issues, "counts": json.loads(got[f]["counts"]), "bytes": got[f]["bytes"]})
+            issues, counts = encoding.told(got.get(f, [])) if sizes[f] is not None else ([{"severity": "CRITICAL", "pattern": "read_error", "message": f"File not found: {f}"}], {})
+            files.append({"file": f, "severity": worst(i["severity"] for i in issues), "finding": "Encoding issues found" if issues else "UTF-8/encoding sanity checks passed", "issues": issues, "counts": counts, "bytes": sizes[f] or 0})
         return result("encoding_sanity", "Encoding sanity checks complete", files)
 
     def exact_duplicates(self) -> dict:
         got = {r["file"]: r for r in exact_duplicates.summary(self.records).collect()}
         shown = _grouped(exact_duplicates.examples(self.records, self.config.sample_size).orderBy("file_ord", "rn").collect())
+        odd = {r["file"]: r for r in exact_duplicates.not_comparable(self.records).collect()}
 
         def make(f: str) -> dict:
+            if f in odd:
+                said = f"{odd[f]['n']} record(s) can't be compared; the first: {odd[f]['error']}"
+                return {"file": f, "record_count": got[f]["record_count"], "severity": "CRITICAL", "finding": said, "issues": [{"severity": "CRITICAL", "code": "not_comparable", "message": odd[f]["error"]}], "examples": []}
             n = {k: got[f][k] if f in got else 0 for k in ("record_count", "unique_records", "duplicate_count", "duplicate_rate")}
             some = n["duplicate_count"] > 0
             examples = [{"hash": r["hash"], "first": place({"file": f, "idx": r["first_idx"], "line": r["first_line"]}), "duplicate": place(r), "sample": r["sample"]} for r in shown.get(f, [])]
@@ -171,8 +188,9 @@ class Run:
         found.unpersist()
 
         def make(f: str) -> dict:
-            if c.parity_limits and counts.get(f, 0) > c.near_duplicate_max_records:
-                return {"file": f, "record_count": counts[f], "severity": "WARNING", "finding": f"more than near_duplicate_max_records={c.near_duplicate_max_records} records; not compared", "clusters": [], "cluster_count": 0, "method": "skipped_too_many_records"}
+            limit = "near_duplicate_max_records" if c.near_duplicate_method == "lsh" else "near_duplicate_fallback_max_records"
+            if c.parity_limits and counts.get(f, 0) > getattr(c, limit):
+                return {"file": f, "record_count": counts[f], "severity": "WARNING", "finding": f"more than {limit}={getattr(c, limit)} records; not compared", "clusters": [], "cluster_count": 0, "method": "skipped_too_many_records"}
             n = totals[f]["cluster_count"] if f in totals else 0
             groups: dict[int, list] = {}
             for r in rows.get(f, []):
@@ -214,7 +232,7 @@ class Run:
         c, counts = self.config, self._counts()
         found = pii.hits(self.records).persist(StorageLevel.MEMORY_AND_DISK)
         totals = _grouped(pii.pattern_counts(found).collect())
-        shown = _grouped(pii.samples(found, c.pii_sample_size or c.sample_size).orderBy("pattern", "rn").collect())
+        shown = _grouped(pii.samples(found, self.records, c.pii_sample_size or c.sample_size).orderBy("pattern", "rn").collect())
         found.unpersist()
 
         def make(f: str) -> dict:
@@ -389,14 +407,20 @@ def run_all(spark: SparkSession, path: str, output: str, config: Config | None =
     results = run_checks(run, skip_near)
     for name, r in results.items():
         (folder / f"{name}.json").write_text(dump(r), encoding="utf-8")
+        (folder / f"{name}.stderr.txt").write_text(summary_line(r) + "\n", encoding="utf-8")
     (folder / "manual_review_samples.json").write_text(dump(run.review()), encoding="utf-8")
     (folder / "report.md").write_text(write_report(list(results.values())), encoding="utf-8")
     code = 2 if any(r["summary"]["severity"] == "CRITICAL" for r in results.values()) else 0
     summary = {"timestamp": now(), "inputs": files, "output_dir": str(folder), "report": str(folder / "report.md"), "returncode_max": max(exit_code(r) for r in results.values())}
     (folder / "run_all_summary.json").write_text(dump(summary), encoding="utf-8")
-    run.records.unpersist()
+    run.close()
     return results, code
 
 
+def summary_line(r: dict) -> str:
+    """What a check says of itself on the error stream."""
+    return f"[{r['summary']['severity']}] {r['summary']['check']}: {r['summary']['finding']}"
+
+
 def dump(value: object) -> str:
     return json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True, default=str)

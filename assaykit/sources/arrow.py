@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import records
+from . import storage
+from .files import file_error
 
 FORMAT = "assaykit_arrow"
 
 
 class _Batch(InputPartition):
-    def __init__(self, path: str, order: int, number: int, first: int):
-        self.path, self.order, self.number, self.first = path, order, number, first
+    def __init__(self, path: str, order: int, number: int, first: int, error: str | None = None):
+        self.path, self.order, self.number, self.first, self.error = path, order, number, first, error
 
 
 class _Reader(DataSourceReader):
@@ -26,15 +28,21 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_Batch]:
         out = []
         for order, path in self.files:
-            with pa.memory_map(path) as source:
-                reader, first = ipc.open_file(source), 0
-                for n in range(reader.num_record_batches):
-                    out.append(_Batch(path, order, n, first))
-                    first += reader.get_batch(n).num_rows
+            try:
+                with storage.open_file(path) as source:
+                    reader, first = ipc.open_file(source), 0
+                    for n in range(reader.num_record_batches):
+                        out.append(_Batch(path, order, n, first))
+                        first += reader.get_batch(n).num_rows
+            except (OSError, pa.ArrowException) as error:
+                out = [b for b in out if b.path != path] + [_Batch(path, order, -1, 0, str(error))]
         return out
 
     def read(self, partition: _Batch) -> Iterator[tuple]:
-        with pa.memory_map(partition.path) as source:
+        if partition.error is not None:
+            yield file_error(partition.path, partition.order, ValueError(partition.error))
+            return
+        with storage.open_file(partition.path) as source:
             rows = ipc.open_file(source).get_batch(partition.number).to_pylist()
         for i, row in enumerate(rows):
             yield (partition.path, partition.order, partition.first + i, None, *records.describe(row))

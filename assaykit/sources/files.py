@@ -2,15 +2,18 @@
 
 Lines of JSONL and text files are read in splits by Spark. Their numbers within the file come from two passes: each
 block of the scan counts its lines, the few counts are summed up in file order, and a line's number is its block's
-offset plus its place. No line is shuffled for that. Parquet rows are numbered alike. JSON documents and CSV files
-are one task each, as their records can't be found from the middle.
+offset plus its place. No line is shuffled for that. Parquet rows are numbered alike, and all files of one schema are one
+scan. JSON documents and CSV files are one task each, as their records can't be found from the middle.
+
+A file that can't be read is a record of the kind file_error; the others are read all the same. What a reader asks of each
+file beforehand, it asks in tasks.
 """
 
 from __future__ import annotations
 
 import csv
+import io
 import json
-import os
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import records
+from . import storage
 
 EXTENSIONS = (".arrow", ".csv", ".json", ".jsonl", ".parquet", ".tsv", ".txt")
 _RANKS = {"train": 0, "val": 1, "valid": 2, "validation": 3, "dev": 4, "test": 5}
@@ -38,31 +42,37 @@ def _rank(path: Path) -> tuple[int, str]:
 
 def list_files(path: str) -> list[str]:
     """A folder's dataset files, splits in their usual order; a file as it is."""
-    if not os.path.isdir(path):
-        return [path]
-    found = [p for p in Path(path).rglob("*") if p.suffix in EXTENSIONS]
-    return [str(p) for p in sorted(found, key=_rank)]
+    below = storage.files_below(path)
+    return [path] if below is None else sorted((p for p in below if Path(p).suffix in EXTENSIONS), key=lambda p: _rank(Path(p)))
 
 
 def too_large(path: str, most_gb: float) -> str | None:
     """Why a file isn't read: it isn't there, or is too large."""
-    try:
-        size = os.stat(path).st_size / 1024**3
-    except FileNotFoundError:
+    found = storage.size(path)
+    if found is None:
         return f"File not found: {path}"
-    return f"{path} has {size:.2f} GB, more than max_file_size_gb={most_gb}" if size > most_gb else None
+    gb = found / 1024**3
+    return f"{path} has {gb:.2f} GB, more than max_file_size_gb={most_gb}" if gb > most_gb else None
+
 
+def _told(spark: SparkSession, files: list[tuple[int, str]], ask, ddl: str) -> DataFrame:
+    """file, file_ord, path and what ask says of each file, asked in tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(told=[ask(p) for p in b["file"]])
 
-def _same(path: str) -> str:
-    return os.path.abspath(path)
+    rows = [(p, i, storage.full(p)) for i, p in files]
+    named = spark.createDataFrame(rows, "file string, file_ord int, path string").repartition(min(len(rows), 64))
+    return named.mapInPandas(run, f"file string, file_ord int, path string, told {ddl}")
 
 
 def _mapping(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
-    rows = [(_same(p), p, i, open(p, "rb").read(3) == _BOM) for i, p in files]
-    return F.broadcast(spark.createDataFrame(rows, "path string, file string, file_ord int, bom boolean"))
+    return _told(spark, files, lambda p: storage.read_range(p, 0, 3) == _BOM, "boolean").withColumnRenamed("told", "bom")
 
 
 def _local(column):
+    """A scan's path as storage.full() writes it."""
     return F.url_decode(F.replace(F.regexp_replace(column, "^file:/*", "/"), F.lit("+"), F.lit("%2B")))
 
 
@@ -77,7 +87,7 @@ def numbered(scan: DataFrame) -> DataFrame:
 
 
 def _lines(spark: SparkSession, files: list[tuple[int, str]], raw_text: bool) -> DataFrame:
-    scan = numbered(spark.read.text([_same(p) for _, p in files])).join(_mapping(spark, files), "path")
+    scan = numbered(spark.read.text([storage.full(p) for _, p in files])).join(_mapping(spark, files), "path")
     # the reader drops a byte-order mark, which is part of the first line
     value = F.when(F.col("bom") & (F.col("idx") == 0), F.concat(F.lit("\ufeff"), "value")).otherwise(F.col("value"))
     lines = scan.select("file", "file_ord", "idx", value.alias("value"))
@@ -90,27 +100,40 @@ def _lines(spark: SparkSession, files: list[tuple[int, str]], raw_text: bool) ->
     return lines.mapInPandas(run, records.RECORD)
 
 
-def _payloads(path: str) -> Iterator[tuple[int | None, object]]:
-    """Line and payload of each record of a JSON document, CSV or TSV file."""
-    with open(path, encoding="utf-8", errors="replace", newline="" if path.lower().endswith("sv") else None) as f:
-        if path.lower().endswith(".json"):
+def _payloads(path: str) -> Iterator[tuple[int | None, object, str | None]]:
+    """Line, payload and what is wrong with it, of each record of a JSON document, CSV or TSV file."""
+    kind = Path(path).suffix.lower()
+    with storage.open_file(path) as raw, io.TextIOWrapper(raw, "utf-8", "replace", newline="" if kind != ".json" else None) as f:
+        if kind == ".json":
             data = json.load(f)
             rows = data if isinstance(data, list) else data["data"] if isinstance(data, dict) and isinstance(data.get("data"), list) else [data if isinstance(data, dict) else {"__raw_json__": data}]
-            yield from ((None, r) for r in rows)
+            yield from ((None, r, None) for r in rows)
         else:
-            for i, row in enumerate(csv.DictReader(f, dialect="excel-tab" if path.lower().endswith(".tsv") else "excel")):
-                if None in row:
-                    raise ValueError(f"line {i + 2} has more cells than the header")
-                yield i + 2, dict(row)
+            for i, row in enumerate(csv.DictReader(f, dialect="excel-tab" if kind == ".tsv" else "excel")):
+                more = row.pop(None, None)
+                yield i + 2, dict(row), f"line {i + 2} has {len(more)} more cell(s) than the header" if more else None
+
+
+def file_error(file: str, order: int, error: Exception) -> tuple:
+    said = (str(error).strip() or type(error).__name__).splitlines()[-1][:500]
+    return (file, order, -1, None, *records.unreadable("file_error", said, None))
 
 
 def _whole(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
+    def rows(file: str, order: int) -> Iterator[tuple]:
+        try:
+            for i, (line, payload, wrong) in enumerate(_payloads(file)):
+                told = records.describe(payload)
+                yield (file, order, i, line, *told[: records.ERROR], wrong, *told[records.ERROR + 1 :])
+        except Exception as error:  # whatever a file's bytes may be, the other files are read
+            yield file_error(file, order, error)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for file, order in zip(b["file"], b["file_ord"]):
                 held: list[tuple] = []
-                for i, (line, payload) in enumerate(_payloads(file)):
-                    held.append((file, order, i, line, *records.describe(payload)))
+                for row in rows(file, int(order)):
+                    held.append(row)
                     if len(held) == 2000:
                         yield pd.DataFrame(records.rows_of(iter(held)), columns=_NAMES)
                         held = []
@@ -120,23 +143,55 @@ def _whole(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
     return named.mapInPandas(run, records.RECORD)
 
 
+def _footer(path: str) -> dict:
+    """A Parquet file's schema, or why it has none."""
+    import pyarrow.parquet as pq
+
+    try:
+        with storage.open_file(path) as f:
+            schema = pq.read_schema(f).remove_metadata()
+        return {"schema": "\n".join(f"{x.name}: {x.type}" for x in schema), "error": None}
+    except Exception as error:  # told as the file's record
+        return {"schema": None, "error": (str(error).strip() or type(error).__name__).splitlines()[-1][:500]}
+
+
 def _parquet(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
-    """Files of one schema are one scan; several schemas, a scan each."""
+    """Files of one schema are one scan; several schemas, a scan each. Footers are read in tasks."""
+    told = _told(spark, files, _footer, "struct<schema:string,error:string>").collect()
+    wrong = [r for r in told if r["told"]["schema"] is None]
     out, schema = None, arrow_schema()
-    for order, path in files:
-        scan = numbered(spark.read.parquet(_same(path)))
-        names = [c for c in scan.columns if c not in ("idx", "path")]
-
-        def run(batches, file=path, order=order, names=names, schema=schema):
+    if wrong:
+        out = _errors(spark, [(r["file"], r["file_ord"], r["told"]["error"]) for r in wrong])
+    groups: dict[str, list] = {}
+    for r in told:
+        if r["told"]["schema"] is not None:
+            groups.setdefault(r["told"]["schema"], []).append(r)
+    for own in groups.values():
+        named = spark.createDataFrame([(r["path"], r["file"], r["file_ord"]) for r in own], "path string, __file string, __ord int")
+        scan = numbered(spark.read.parquet(*(r["path"] for r in own))).join(named, "path")
+        names = [c for c in scan.columns if c not in ("idx", "path", "__file", "__ord")]
+
+        def run(batches, names=names, schema=schema):
             for b in batches:
+                place = zip(*(b.column(c).to_pylist() for c in ("__file", "__ord", "idx")))
                 rows = b.select(names).to_pylist()
-                yield _batch(records.rows_of((file, order, i, None, *records.describe(r)) for i, r in zip(b.column("idx").to_pylist(), rows)), schema)
+                yield _batch(records.rows_of((*p, None, *records.describe(r)) for p, r in zip(place, rows)), schema)
 
-        one = scan.select(*names, "idx").mapInArrow(run, records.RECORD)
+        one = scan.select(*names, "idx", "__file", "__ord").mapInArrow(run, records.RECORD)
         out = one if out is None else out.union(one)
     return out
 
 
+def _errors(spark: SparkSession, wrong: list[tuple[str, int, str]]) -> DataFrame:
+    """A record for each file that can't be read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame(records.rows_of(file_error(f, int(o), ValueError(e)) for f, o, e in zip(b["file"], b["file_ord"], b["error"])), columns=_NAMES)
+
+    return spark.createDataFrame(wrong, "file string, file_ord int, error string").mapInPandas(run, records.RECORD)
+
+
 def arrow_schema():
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -164,7 +219,8 @@ def _named(value, kind):
 
 
 def read_records(spark: SparkSession, files: list[str]) -> DataFrame:
-    """All files' records, as RECORD tells. A file of another extension raises; one that can't be read fails its job."""
+    """All files' records, as RECORD tells; one that can't be read, or isn't there, is a record of the kind file_error. A
+    file of another extension raises."""
     by_kind: dict[str, list[tuple[int, str]]] = {}
     for i, p in enumerate(files):
         by_kind.setdefault(Path(p).suffix.lower(), []).append((i, p))
@@ -173,7 +229,12 @@ def read_records(spark: SparkSession, files: list[str]) -> DataFrame:
     from .arrow import read_arrow
 
     parts = []
-    for kind, some in by_kind.items():
+    if gone := [(i, p) for some in by_kind.values() for i, p in some if storage.size(p) is None]:
+        parts.append(_errors(spark, [(p, i, f"File not found: {p}") for i, p in gone]))
+    for kind, every in by_kind.items():
+        some = [x for x in every if x not in gone]
+        if not some:
+            continue
         if kind in (".jsonl", ".txt"):
             parts.append(_lines(spark, some, kind == ".txt"))
         elif kind == ".parquet":
@@ -188,9 +249,10 @@ def read_records(spark: SparkSession, files: list[str]) -> DataFrame:
     return out
 
 
-def read_bytes(spark: SparkSession, files: list[str]) -> DataFrame:
-    """file, file_ord, content of whole files."""
-    mapping = spark.createDataFrame([(_same(p), p, i) for i, p in enumerate(files)], "path string, file string, file_ord int")
-    scan = spark.read.format("binaryFile").load([_same(p) for p in files])
-    return scan.select(_local(F.col("path")).alias("path"), "content", F.col("length").alias("bytes")).join(F.broadcast(mapping), "path").drop("path")
-
+def byte_blocks(spark: SparkSession, files: list[str], length: int) -> DataFrame:
+    """file, start, size: the blocks of so many bytes that the files are scanned in; size is the file's."""
+    rows = [(f, n) for f in files if (n := storage.size(f)) is not None]
+    named = spark.createDataFrame(rows, "file string, size long")
+    first, step = F.lit(0).cast("long"), F.lit(length).cast("long")
+    blocks = named.select("file", F.explode(F.sequence(first, F.greatest(F.col("size") - 1, first), step)).alias("start"), "size")
+    return blocks.repartition(max(1, min(10_000, sum(n // length + 1 for _, n in rows))))

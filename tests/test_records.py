@@ -1,7 +1,10 @@
 """Single rules: shapes, splits, lines, expressions, sets, severities."""
 
 import json
+import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -103,10 +106,46 @@ def test_unreadable_and_blank(spark, tmp_path):
     (tmp_path / "blank.jsonl").write_text('{"prompt":"p","completion":"c"}\n\n\n')
     run = Run(spark, list_files(str(tmp_path)))
     exact = {f["file"].rpartition("/")[2]: f for f in run.exact_duplicates()["files"]}
-    assert exact["bad.parquet"]["severity"] == exact["ragged.csv"]["severity"] == "CRITICAL" and exact["blank.jsonl"]["duplicate_count"] == 0
+    assert exact["bad.parquet"]["severity"] == exact["ragged.csv"]["severity"] == "CRITICAL" and "more cell(s) than the header" in exact["ragged.csv"]["finding"] and exact["blank.jsonl"]["duplicate_count"] == 0
     near = {f["file"].rpartition("/")[2]: f for f in run.near_duplicates()["files"]}
     assert near["blank.jsonl"]["cluster_count"] == 1
-    assert {f["format"] for f in run.format_detection()["files"]} == {"unreadable", "invalid"}
+    assert {f["file"].rpartition("/")[2]: f["format"] for f in run.format_detection()["files"]} == {"bad.parquet": "unreadable", "ragged.csv": "classification", "blank.jsonl": "invalid"}
+    labels = {f["file"].rpartition("/")[2]: f for f in run.classification()["files"]}
+    assert labels["ragged.csv"]["label_counts"] == {"b": 1, "": 1} and labels["ragged.csv"]["record_count_checked"] == 2
+
+
+def test_a_page_that_only_a_scan_shows_to_be_bad(spark, tmp_path):
+    """A Parquet file whose footer is whole and whose data is not: it alone is lost."""
+    for name in ("fine", "torn"):
+        pq.write_table(pa.table({"text": [f"{name} {i} " + "x" * 50 for i in range(500)]}), tmp_path / f"{name}.parquet", compression="none", use_dictionary=False)
+    raw = bytearray((tmp_path / "torn.parquet").read_bytes())
+    raw[4:200] = b"\xff" * 196
+    (tmp_path / "torn.parquet").write_bytes(bytes(raw))
+    run = Run(spark, list_files(str(tmp_path)) + [str(tmp_path / "gone.jsonl")])
+    got = {f["file"].rpartition("/")[2]: f for f in run.exact_duplicates()["files"]}
+    assert got["fine.parquet"]["record_count"] == 500 and got["torn.parquet"]["severity"] == got["gone.jsonl"]["severity"] == "CRITICAL"
+    assert {f["file"].rpartition("/")[2]: f["severity"] for f in run.encoding_sanity()["files"]}["gone.jsonl"] == "CRITICAL"
+
+
+def test_many_small_files_are_one_scan(spark, tmp_path):
+    for i in range(300):
+        pq.write_table(pa.table({"text": [f"file {i}", f"row {i}"]} if i % 2 else {"prompt": [f"p{i}"], "completion": ["c"]}), tmp_path / f"f{i:03}.parquet")
+    files = list_files(str(tmp_path))
+    read = read_records(spark, files)
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("parquet") <= 4
+    rows = read.select("file", "file_ord", "idx", "fmt").collect()
+    assert len(rows) == 450 and {(files[r.file_ord], r.idx) for r in rows} == {(r.file, r.idx) for r in rows} and {r.fmt for r in rows} == {"raw_text", "prompt_completion"}
+
+
+def test_uris(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a b.jsonl").write_text('{"text": "x"}\n')
+    (tmp_path / "in" / "c.csv").write_text("text,label\nx,y\n")
+    pq.write_table(pa.table({"text": ["x"]}), tmp_path / "in" / "d.parquet")
+    files = list_files(f"file://{tmp_path}/in")
+    assert len(files) == 3 and all(f.startswith("file:///") for f in files)
+    assert read_records(spark, [f for f in files if " " not in f]).where("kind = 'record'").count() == 2
+    assert too_large(f"file://{tmp_path}/none", 1)
 
 
 def test_capped_chat_issues(spark, tmp_path):
@@ -165,10 +204,53 @@ def test_sets(spark):
     assert sorted(r[0] for r in pairs.select(fn.jaccard(F.col("x"), F.col("y"))).collect()) == [0.0, 1 / 3, 1.0]
 
 
-def test_encoding():
-    issues, counts = encoding.scan(b"\xef\xbb\xbfab\0\xff" + "â€™".encode() + b"\xef\xbb\xbf")
-    assert [i["pattern"] for i in issues][:4] == ["NULL byte", "BOM", "stray BOM", "invalid_utf8"] and counts["mojibake:â€™"] == 1
-    assert len(encoding.MOJIBAKE) == 10
+def whole(data):
+    """Issues and counts of a file, from all its bytes at once."""
+    counts = {k: n for k, n in (("null_bytes", data.count(b"\0")), ("bom_at_start", int(data.startswith(b"\xef\xbb\xbf"))), ("stray_bom", data.count(b"\xef\xbb\xbf") - data.startswith(b"\xef\xbb\xbf"))) if n}
+    try:
+        data.decode("utf-8")
+        wrong = None
+    except UnicodeDecodeError as error:
+        wrong = str(error), data[max(0, error.start - 40) : error.end + 40].hex()
+    text = data.decode("utf-8", "replace")
+    samples = {p: redact(text[max(0, text.find(p) - 80) : text.find(p) + 120]) for p in encoding.MOJIBAKE if p in text}
+    return counts | {f"mojibake:{p}": text.count(p) for p in samples}, wrong, samples
+
+
+def in_blocks(data, length, around):
+    held = {}
+    for start in range(0, max(1, len(data)), length):
+        low, end = max(0, start - around), min(len(data), start + length)
+        for key, at, n, sample in encoding.scan_block(data[low : end + around], low, start - low, end - low):
+            first = held.setdefault(key, {"key": key, "n": 0, "at": at, "sample": sample})
+            first["n"] += n
+            if at < first["at"]:
+                first |= {"at": at, "sample": sample}
+    return encoding.told(list(held.values()))
+
+
+@pytest.mark.parametrize("length", [7, 64, 1000, 1 << 20])
+def test_encoding_by_blocks(length):
+    """The same whatever the blocks, which cut characters and marks."""
+    rng = random.Random(length)
+    parts = [b"abc ", "\u00e9\u00fc".encode(), "\U0001f600".encode(), b"\xef\xbb\xbf", b"\0", b"\xff", b"\xe2\x82", *(p.encode() for p in encoding.MOJIBAKE), b"plain words and more of them "]
+    for n in range(60):
+        odd = n % 3 == 0
+        data = b"".join(rng.choice(parts if odd else [x for x in parts if x not in (b"\xff", b"\xe2\x82")]) for _ in range(rng.randrange(0, 120)))
+        counts, wrong, samples = whole(data)
+        issues, got = in_blocks(data, length, encoding.AROUND)
+        assert got == counts
+        assert [(i["message"], i["sample_bytes_hex"]) for i in issues if i["pattern"] == "invalid_utf8"] == ([wrong] if wrong else [])
+        if not wrong:
+            assert {i["pattern"]: i["samples"][0] for i in issues if i["pattern"] in samples} == samples
+
+
+def test_encoding(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"\xef\xbb\xbfab\0\xff" + "\u00e2\u20ac\u2122".encode() + b"\xef\xbb\xbf")
+    (tmp_path / "b.txt").write_bytes(b"")
+    a, b = Run(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")]).encoding_sanity()["files"]
+    assert [i["pattern"] for i in a["issues"]][:4] == ["NULL byte", "BOM", "stray BOM", "invalid_utf8"] and a["counts"]["mojibake:\u00e2\u20ac\u2122"] == 1 and a["bytes"] == 18
+    assert b["severity"] == "OK" and b["bytes"] == 0 and len(encoding.MOJIBAKE) == 10
 
 
 def test_small_things(tmp_path):
