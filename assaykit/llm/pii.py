@@ -44,6 +44,8 @@ CANDIDATE = re.compile(
     r"|(?<!\w)(?<!\d\.)(?P<phone>(?=(?:[\s.()+-]{0,3}\d){7})(?:\+?\d{1,3}[\s.-]?(?:\(0\)[\s.-]?)?(?:\d[\s.-])?)?(?:\(?\d{2,4}\)?[\s.-]?){2,4}\d{2,4})(?!\w|\.\d)"
     rf"|(?P<street>(?i:{PATTERNS['street_address'][1]}))"
 )
+#: What each candidate but a name has.
+_MARKS = re.compile(r"[@\d]|[A-Fa-f]:|::")
 SAMPLE = 50_000
 FEATURES = 1 << 12
 SCORE = 0.5
@@ -51,7 +53,12 @@ EPOCHS = 5
 LABELERS = ("expression", "gazetteer", "structure", "context")
 
 _ADDRESSED = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Sr|Sra|Don|Doña)"
-_NAME = re.compile(rf"(?<!\w)(?:(?P<address>{_ADDRESSED})\.?\s+(?=[^\W\d_a-z]))?(?P<given>[^\W\d_a-z][^\W\d_]+)(?:\s+[^\W\d_a-z](?:\.|[^\W\d_]+(?:['-][^\W\d_]+)*)){{0,3}}")
+_UPPER = "A-ZÀ-ÖØ-Þ"
+#: Capitalised words in a row.
+_NAMES = re.compile(rf"(?<!\w)[{_UPPER}][^\W\d_]*\.?(?:[ \t\n]+[{_UPPER}](?:\.|[^\W\d_]*(?:['-][^\W\d_]+)*))+")
+_TITLE = re.compile(rf"{_ADDRESSED}\.?")
+
+
 def plain(name: str) -> str:
     """In small letters, without accents."""
     return "".join(c for c in unicodedata.normalize("NFKD", name.lower()) if not unicodedata.combining(c))
@@ -168,20 +175,35 @@ def features(kind: str, span: str, before: list[str], after: list[str]) -> list[
     return sorted({zlib.crc32(s.encode()) % FEATURES for s in said})
 
 
+def person_names(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of capitalised words that begin with a form of address or a given name, four at most."""
+    for run in _NAMES.finditer(text):
+        words = [(run.start() + m.start(), run.start() + m.end()) for m in re.finditer(r"\S+", run[0])]
+        k = 0
+        while k < len(words) - 1:
+            first = text[words[k][0] : words[k][1]]
+            if _TITLE.fullmatch(first) or plain(first) in _GIVEN:
+                last = min(len(words), k + 4) - 1
+                yield words[k][0], words[last][1]
+                k = last + 1
+            else:
+                k += 1
+
+
 def spans(text: str) -> Iterator[tuple[str, int, int]]:
     """Kind, start and end of each candidate, in order."""
-    held = [m for m in CANDIDATE.finditer(text) if m.lastgroup != "phone" or 7 <= sum(c.isdigit() for c in m[0]) <= 15]
-    names = [m for m in _NAME.finditer(text) if m["address"] or plain(m["given"]) in _GIVEN and m.end() > m.end("given")]
+    held = [m for m in (CANDIDATE.finditer(text) if _MARKS.search(text) else ()) if m.lastgroup != "phone" or 7 <= sum(c.isdigit() for c in m[0]) <= 15]
+    names = list(person_names(text))
     if not names:
         for m in held:
             yield m.lastgroup, m.start(), m.end()
         return
     begun, i = [(m.start(), m.end(), m.lastgroup) for m in held], 0
-    for m in names:
-        while i < len(held) and held[i].end() <= m.start():
+    for start, end in names:
+        while i < len(held) and held[i].end() <= start:
             i += 1
-        if i == len(held) or held[i].start() >= m.end():
-            begun.append((m.start(), m.end(), "name"))
+        if i == len(held) or held[i].start() >= end:
+            begun.append((start, end, "name"))
     for start, end, kind in sorted(begun):
         yield kind, start, end
 
@@ -237,7 +259,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), schema)], schema=schema)
 
-    some = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.rlike("text", F.lit(r"(?U)[@\d]|[A-Fa-f]:|::|\p{Lu}\p{L}*\.?\s+\p{Lu}")))
+    some = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.rlike("text", F.lit(r"(?U)[@\d]|[A-Fa-f]:|::|[A-ZÀ-ÖØ-Þ]\p{L}*\.?[ \t\n]+[A-ZÀ-ÖØ-Þ]")))
     return some.mapInArrow(run, "doc_id long, kind string, start long, end long, votes array<int>, features array<int>")
 
 
