@@ -152,3 +152,26 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     docs = stable(docs)
     dirty = _passages(docs, benchmark, id_col, text_col, item_col, item_texts, window).where(F.col("words") >= least).select("row", "mark").distinct()
     return filter_rows(docs, dirty, False, text_col)
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """find_contamination() of the tables documents and benchmark in DuckDB, for texts whose lower case is as long as they
+    are: all runs of window words side by side."""
+    letter = r"\p{L}\p{N}_"
+    words = f"regexp_extract_all(lower(text), '[{letter}]+')"
+    return f"""
+        WITH d AS (SELECT doc_id, {words} AS w FROM documents WHERE text IS NOT NULL),
+        i AS (SELECT item_id, {words} AS w FROM benchmark WHERE text IS NOT NULL),
+        sized AS (SELECT item_id, w, least({window}, len(w)) AS k FROM i WHERE len(w) > 0),
+        runs AS (SELECT DISTINCT item_id, k, array_to_string(w[j:j + k - 1], ' ') AS run FROM sized, unnest(range(1, len(w) - k + 2)) t(j)),
+        there AS (SELECT doc_id, k, j AS a, array_to_string(w[j:j + k - 1], ' ') AS run FROM d, (SELECT DISTINCT k FROM sized) s, unnest(range(1, len(w) - k + 2)) t(j)),
+        hits AS (SELECT doc_id, item_id, a, a + k AS z FROM there JOIN runs USING (k, run)),
+        begun AS (SELECT *, CASE WHEN a <= lag(z) OVER (PARTITION BY doc_id, item_id ORDER BY a) THEN 0 ELSE 1 END AS b FROM hits),
+        grouped AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, item_id ORDER BY a) AS g FROM begun),
+        passages AS (SELECT doc_id, item_id, min(a) AS a, max(z) - 1 AS last FROM grouped GROUP BY doc_id, item_id, g),
+        pieces AS (SELECT doc_id, unnest(p) AS piece, unnest(range(len(p))) AS o FROM (
+            SELECT doc_id, regexp_extract_all(text, '[{letter}]+|[^{letter}]+') AS p FROM documents WHERE doc_id IN (SELECT doc_id FROM hits))),
+        placed AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY o) AS past FROM pieces),
+        ordinal AS (SELECT doc_id, past - length(piece) AS begins, past AS ends, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS n FROM placed WHERE regexp_matches(piece, '^[{letter}]'))
+        SELECT p.doc_id, p.item_id, CAST(x.begins AS BIGINT) AS start, CAST(y.ends AS BIGINT) AS "end", CAST(p.last - p.a + 1 AS BIGINT) AS words
+        FROM passages p JOIN ordinal x ON x.doc_id = p.doc_id AND x.n = p.a JOIN ordinal y ON y.doc_id = p.doc_id AND y.n = p.last"""

@@ -50,6 +50,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets of mixing: every source the same weight, half of the tokens."""
     return mixing.draw_mixture(_table(spark, sf_dir, "documents"))
 
 
@@ -73,4 +74,5 @@ ORACLE_SQL: dict[str, str] = {
               FROM documents WHERE text IS NOT NULL)
         WHERE doc_id <> kept_doc_id""",
     "op2_secret_scan": secrets.oracle_sql(),
+    "op6_decontaminate": decontaminate.oracle_sql(),
 }

@@ -56,6 +56,36 @@ def test_draw(table, chunk):
     assert sorted((r.row for r in mixing.mixture(docs, None, 0.3, chunk=chunk).collect())) == sorted(r.row for r in drawn)
 
 
+def test_the_layout_does_not_matter(table):
+    """The same documents are drawn however the rows lie in partitions."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 90)) + f" {i}", "en", rng.choice("abc")) for i in range(300)] + [(7, "twice", "en", "a")] * 4
+    drawn = [Counter((r.doc_id, r.source, r.tokens) for r in mixing.draw_mixture(table(rng.sample(rows, len(rows)), parts)).collect()) for parts in (1, 4, 7)]
+    assert drawn[0] == drawn[1] == drawn[2]
+
+
+def test_balance_and_chances_over_seeds(table):
+    """Each draw keeps the totals of documents and tokens; over many, each document is drawn with its chance."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.choice([1, 2, 9, 40])), "en", "ab"[i % 3 == 0]) for i in range(90)]
+    docs = table(rows).cache()
+    size = {i: len(t.split()) for i, t, *_ in rows}
+    have = Counter()
+    for i, _, _, s in rows:
+        have[s] += size[i]
+    pi = mixing.chances(dict(have), {"a": 2, "b": 1}, 0.4)
+    times, seeds = Counter(), 24
+    for seed in range(seeds):
+        got = [r.doc_id for r in mixing.mixture(docs, {"a": 2, "b": 1}, 0.4, seed=seed, chunk=1000).collect()]
+        times.update(got)
+        assert abs(len(got) - sum(pi[s] for *_, s in rows)) < 1.01
+        assert abs(sum(size[i] for i in got) - sum(pi[s] * t for s, t in have.items())) <= 2 * 40
+        for s in "ab":
+            assert abs(sum(size[i] for i in got if rows[i][3] == s) - pi[s] * have[s]) <= 2 * 40
+    z = [(times[i] - seeds * pi[s]) / (seeds * pi[s] * (1 - pi[s])) ** 0.5 for i, _, _, s in rows]
+    assert max(map(abs, z)) < 4.5 and abs(sum(x * x for x in z) / len(z) - 1) < 0.5
+
+
 def test_keep(table):
     docs = table([f"w {i}" for i in range(60)])
     left = mixing.keep_mixture(docs)
