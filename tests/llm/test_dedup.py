@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from assaykit.llm import exact_dedup, near_dedup
 from assaykit.operators.components import connected_components
@@ -43,6 +44,31 @@ def test_exact(table, spark):
     assert texts_left == Counter({t: 1 for t in sizes}) + Counter({None: sum(r[1] is None for r in rows)})
 
 
+def test_senders_make_messages_long(spark):
+    """At 100 TB a partition alone would send each owner one fingerprint; joined to senders, a message has hundreds. Bytes a
+    row are nearly the same for 4 partitions and for 64."""
+    bits, owner_bits, senders = exact_dedup.plan(4 * 10**10, 800_000)
+    assert 4 * 10**10 / senders / 2**owner_bits >= exact_dedup.PER_MESSAGE and 4 * 10**10 / 2**owner_bits <= exact_dedup.PER_OWNER and senders > 5000
+    assert exact_dedup.plan(0, 0)[2] == 1 and exact_dedup.plan(1000, 8, 100, 10)[1:] == (4, 6)
+    n, spent = 20_000, {}
+    for partitions in (4, 64):
+        docs = exact_dedup.with_row_id(spark.range(n, numPartitions=partitions).select(F.concat(F.lit("text "), "id").alias("text")), "row").withColumn("print", F.xxhash64("text"))
+        bits, owner_bits, senders = exact_dedup.plan(n, partitions, per_owner=2000)
+        sent = exact_dedup.messages(docs, bits, owner_bits, senders)
+        told = sent.where("owner >= 0").agg(F.sum(F.length("code")), F.count("*"), F.sum("n")).first()
+        assert told[2] == n and sent.where("owner < 0").agg(F.sum("n")).first()[0] == n
+        spent[partitions] = (told[0] + 24 * told[1]) / n
+    assert max(spent.values()) < 5 and spent[64] < 1.5 * spent[4]
+
+
+def test_exact_over_joined_partitions(table, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "plan", lambda n, partitions, real=exact_dedup.plan: real(n, partitions, 50, 20))
+    rng = random.Random(3)
+    rows = [(i, f"text {rng.randrange(150)}" if i % 9 else None, "en", "s") for i in range(400)]
+    found = exact_dedup.find_exact_duplicates(table(rows, parts=9)).collect()
+    assert Counter((r.doc_id, r.kept_doc_id) for r in found) == brute_exact(rows)
+
+
 @pytest.mark.parametrize("rows", [[], [None, None], ["", ""], ["one"]])
 def test_few_rows(table, rows):
     docs = table(rows)
