@@ -17,6 +17,7 @@ from ..functions.patterns import PATTERNS, matches
 from ..operators import chats, classes, completions, encoding, exact_duplicates, formats, leakage, lengths, near_duplicates, pii, preferences, review, schema
 from ..severity import rank_column, worst_column
 from ..sources.tables import table_records
+from . import file_queries
 
 CONFIG = Config()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -360,3 +361,7 @@ def capped_issues(spark: SparkSession, sf: str) -> DataFrame:
 def severity_ranks(spark: SparkSession, sf: str) -> DataFrame:
     names = spark.createDataFrame([(s,) for s in ("OK", "INFO", "WARNING", "CRITICAL", "other")], "severity string")
     return names.select("severity", rank_column(F.col("severity")).alias("rank"))
+
+
+QUERIES |= file_queries.QUERIES
+ORACLE_SQL |= file_queries.ORACLE_SQL

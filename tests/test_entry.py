@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 from assaykit.plans.queries import ORACLE_SQL, QUERIES
 
 ROOT = Path(__file__).resolve().parent.parent
-QUICK = sorted(set(ORACLE_SQL) - {"near_duplicate_summary", "split_leakage_near"})
+QUICK = sorted(ORACLE_SQL)
 
 
 def test_flagship(spark):
