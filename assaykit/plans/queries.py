@@ -114,7 +114,7 @@ def near_duplicate_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def near_duplicate_clusters_lsh(spark: SparkSession, sf: str) -> DataFrame:
-    found = near_duplicates.clusters(texts(spark, sf), CONFIG.near_duplicate_threshold, method="lsh", num_perm=32)
+    found = near_duplicates.clusters(texts(spark, sf), CONFIG.near_duplicate_threshold, method="lsh", num_perm=CONFIG.near_duplicate_num_perm)
     return found.select(F.col("idx").alias("doc_id"), "cluster", "size")
 
 
@@ -181,29 +181,43 @@ _CARDS = f"""SELECT doc_id, 'credit_card_candidate' AS pattern, count(*) AS n FR
     SELECT doc_id, [CAST(c AS INT) FOR c IN string_split(regexp_replace(m, '[^0-9]', '', 'g'), '')] AS d
     FROM (SELECT doc_id, unnest(regexp_extract_all(b, '{PATTERNS["credit_card_candidate"][1]}')) AS m FROM ({_BUNDLE})))
     WHERE len(d) BETWEEN 13 AND 19 AND {_luhn_sql('')} % 10 = 0 GROUP BY doc_id"""
+def _phone_sql() -> str:
+    """RE2 has no look-around. With every character that is no word's written twice, one of each pair can stand for what
+    comes before a number and what comes after the one before it, so that none is wanted twice."""
+    gap, group, edge = r"(?:--|\.\.|\s\s)?", r"\d{2,4}", r"[^\p{L}\p{N}_]"
+    number = rf"(?:(?:\+\+)?\d{{1,3}}{gap})?(?:(?:\(\()?{group}(?:\)\))?{gap}){{2,4}}{group}"
+    found = rf"regexp_extract_all(regexp_replace(b, '({edge})', '\1\1', 'g'), '(?:^|{edge})({number})(?:{edge}|$)', 1)"
+    return f"SELECT doc_id, 'phone' AS pattern, len(list_filter({found}, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 7 AND 15)) AS n FROM ({_BUNDLE})"
+
+
 _FOUND = " UNION ALL ".join(
-    [f"SELECT doc_id, '{k}' AS pattern, len(regexp_extract_all(b, '{('(?i)' if i else '') + p.replace(chr(39), chr(39) * 2)}')) AS n FROM ({_BUNDLE})" for k, (i, p) in PATTERNS.items() if k not in ("phone", "credit_card_candidate")] + [_CARDS]
+    [f"SELECT doc_id, '{k}' AS pattern, len(regexp_extract_all(b, '{('(?i)' if i else '') + p.replace(chr(39), chr(39) * 2)}')) AS n FROM ({_BUNDLE})" for k, (i, p) in PATTERNS.items() if k not in ("phone", "credit_card_candidate")] + [_CARDS, _phone_sql()]
 )
 
 
 @query(f"SELECT doc_id, pattern, n AS match_count FROM ({_FOUND}) WHERE n > 0")
 def pii_matches(spark: SparkSession, sf: str) -> DataFrame:
-    found = pii.hits(texts(spark, sf)).where(F.col("pattern") != "phone")
+    found = pii.hits(texts(spark, sf))
     return found.select(F.col("idx").alias("doc_id"), "pattern", "match_count")
 
 
 @query(f"SELECT pattern, CAST(sum(n) AS BIGINT) AS n, count(*) AS records FROM ({_FOUND}) WHERE n > 0 GROUP BY pattern")
 def pii_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return pii.pattern_counts(pii.hits(texts(spark, sf)).where(F.col("pattern") != "phone")).drop("file")
+    return pii.pattern_counts(pii.hits(texts(spark, sf))).drop("file")
 
 
-@query()
+@query(f"SELECT doc_id, n AS match_count FROM ({_phone_sql()}) WHERE n > 0")
 def pii_phone(spark: SparkSession, sf: str) -> DataFrame:
-    """Look-around has no form in the SQL engine's expressions; a test holds this against Python's."""
     found = texts(spark, sf).select(F.col("idx").alias("doc_id"), F.size(matches(F.concat(F.lit("text: "), F.get("fields", F.lit(0))["value"]), "phone")).cast("long").alias("match_count"))
     return found.where("match_count > 0")
 
 
+@query(f"SELECT pattern, doc_id, n AS match_count FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY doc_id) AS k FROM ({_FOUND}) WHERE n > 0) WHERE k <= {CONFIG.pii_sample_size}")
+def pii_sample_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The records that are shown for each pattern."""
+    return pii_samples(spark, sf).drop("sample")
+
+
 @query()
 def pii_samples(spark: SparkSession, sf: str) -> DataFrame:
     return pii.samples(pii.hits(records := texts(spark, sf)), records, CONFIG.pii_sample_size).select("pattern", F.col("idx").alias("doc_id"), "match_count", "sample")

@@ -10,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from assaykit.functions.patterns import redact
 from assaykit.plans.queries import ORACLE_SQL, QUERIES
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -54,6 +55,13 @@ def test_phone_numbers(spark, sf):
     assert {r.doc_id: r.match_count for r in QUERIES["pii_phone"](spark, sf).collect()} == want
 
 
+def test_samples_are_redacted(spark, sf):
+    """Held against redaction of the whole record in Python, cut afterwards."""
+    texts = {r.doc_id: f"text: {r.text}" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["pii_samples"](spark, sf).collect()
+    assert rows and all(r.sample == redact(texts[r.doc_id])[:1000] and "[REDACTED_" in redact(texts[r.doc_id]) for r in rows)
+
+
 def test_approximate_join_agrees(spark, sf):
     exact = {(r.doc_id, r.cluster) for r in QUERIES["near_duplicate_clusters"](spark, sf).collect()}
     close = {(r.doc_id, r.cluster) for r in QUERIES["near_duplicate_clusters_lsh"](spark, sf).collect()}
