@@ -21,8 +21,9 @@ class Config:
     classification_majority_minority_warning_ratio: float = 10.0
     preference_length_bias_warning_ratio: float = 0.35
     length_windows: tuple[int, ...] = (4_000, 8_000, 32_000, 128_000, 200_000)
+    #: How texts are cut before bytes are merged: cl100k_base, gpt2, r50k_base or p50k_base.
     token_encoding: str = "cl100k_base"
-    #: A .tiktoken file of ranks; without one, tokens are estimated as characters / 4.
+    #: The encoding's file of ranks (.tiktoken), which nothing downloads; without one, tokens are estimated as characters / 4.
     token_ranks: str | None = None
     near_duplicate_threshold: float = 0.85
     #: "exact" joins shingle sets; "lsh" is the approximate MinHash join with near_duplicate_num_perm functions.

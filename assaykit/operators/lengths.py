@@ -11,32 +11,43 @@ from pyspark.sql import functions as F
 
 from ..functions.records import bundle
 from ..functions.text import estimated_tokens
+from ..sources import storage
 from .shared import first_n
 
 BINS = 10
 
 
-def tokenizer(ranks: str):
-    """A column function that counts tokens with a file of ranks."""
+#: How an encoding cuts texts before it merges bytes.
+_CUTS = {
+    "cl100k_base": r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}++|\p{N}{1,3}+| ?[^\s\p{L}\p{N}]++[\r\n]*+|\s++$|\s*[\r\n]|\s+(?!\S)|\s",
+    "gpt2": r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s",
+}
+_CUTS |= dict.fromkeys(("r50k_base", "p50k_base"), _CUTS["gpt2"])
+
+
+def tokenizer(ranks: str, encoding: str = "cl100k_base"):
+    """A column function that counts the tokens of an encoding, whose ranks are in a file that all executors can read."""
+    if encoding not in _CUTS:
+        raise ValueError(f"token_encoding is {encoding}; known are {', '.join(sorted(_CUTS))}")
+    pattern = _CUTS[encoding]
 
     @F.pandas_udf("bigint")
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 
-        with open(ranks, "rb") as f:
-            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
+        with storage.open_file(ranks) as f:
+            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+        own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens={})
         for texts in parts:
-            yield texts.map(lambda t: len(encoding.encode_ordinary(t or "")))
+            yield texts.map(lambda t: len(own.encode_ordinary(t or "")))
 
     return count
 
 
-def measured(records: DataFrame, ranks: str | None = None) -> DataFrame:
+def measured(records: DataFrame, ranks: str | None = None, encoding: str = "cl100k_base") -> DataFrame:
     """file, idx, line, bundle, chars, tokens."""
     text = records.select("file", "file_ord", "idx", "line", bundle(F.col("fields"), F.col("canonical")).alias("bundle"))
-    tokens = tokenizer(ranks)(F.col("bundle")) if ranks else estimated_tokens(F.col("bundle"))
+    tokens = tokenizer(ranks, encoding)(F.col("bundle")) if ranks else estimated_tokens(F.col("bundle"))
     return text.withColumns({"chars": F.char_length("bundle").cast("long"), "tokens": tokens})
 
 

@@ -207,7 +207,7 @@ class Run:
 
     def length_distribution(self) -> dict:
         c = self.config
-        measured = lengths.measured(self.records, c.token_ranks).persist(StorageLevel.MEMORY_AND_DISK)
+        measured = lengths.measured(self.records, c.token_ranks, c.token_encoding).persist(StorageLevel.MEMORY_AND_DISK)
         stats = {r["file"]: r for r in lengths.stats(measured, c.length_windows).collect()}
         longest = lengths.longest(measured, c.sample_size).withColumn("bundle", redacted(F.left("bundle", F.lit(500))))
         longest = _grouped(longest.orderBy("file_ord", "rn").collect())

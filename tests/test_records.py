@@ -15,7 +15,7 @@ from assaykit.functions import text as fn
 from assaykit.functions.patterns import PATTERNS, _PYTHON, matches, redact
 from assaykit.functions.records import canonical_json, describe_line, detect_format, get_path, message_role
 from assaykit.operators import encoding
-from assaykit.operators.lengths import bars
+from assaykit.operators.lengths import _CUTS, bars, tokenizer
 from assaykit.plans.runner import Run
 from assaykit.severity import exit_code, severity_rank, worst
 from assaykit.sources.files import UnsupportedFile, list_files, read_records, too_large
@@ -264,3 +264,20 @@ def test_small_things(tmp_path):
     (tmp_path / "d.json").write_text("[1]")
     with pytest.raises(ValueError):
         load_config(str(tmp_path / "d.json"))
+
+
+def test_tokens_by_a_file_of_ranks(spark):
+    """Against the encoding itself, cut as it cuts; an encoding that isn't known raises."""
+    import base64
+
+    import tiktoken
+
+    ranks = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
+    texts = ["Hello there, it's 12345 o'clock\n\n  now", "", "\u00fcber  \t x", "a" * 500]
+    for name in ("gpt2", "cl100k_base"):
+        own = tiktoken.Encoding("own", pat_str=_CUTS[name], mergeable_ranks=merges, special_tokens={})
+        got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokenizer(ranks, name)(F.col("t")).alias("n")).collect()
+        assert {r.t: r.n for r in got} == {t: len(own.encode_ordinary(t)) for t in texts}
+    with pytest.raises(ValueError):
+        tokenizer(ranks, "none")
