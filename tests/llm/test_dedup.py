@@ -173,6 +173,15 @@ def test_duplicates_within_a_shared_passage(table):
     assert {tuple(sorted(g)) for g in got.values()} == brute_groups(rows, near_dedup.THRESHOLD)
 
 
+def test_near_without_ids(table):
+    """A null id comes after all others; repeated rows are a group, whatever their ids; a text of a million words."""
+    long = " ".join(f"w{i % 9973}" for i in range(1_000_000))
+    words = [f"v{i}" for i in range(60)]
+    rows = [(None, " ".join(words), "en", "s"), (8, " ".join([*words[:-1], "other"]), "en", "s"), (None, long, "en", "s"), (None, long + " end", "en", "s"), (3, "", "en", "s"), (4, None, "en", "s"), (5, "x", "en", "s"), (5, "x", "en", "s")]
+    found = near_dedup.find_near_duplicates(table(rows)).collect()
+    assert sorted((r.kept_doc_id or -1, r.doc_id or -1, r.copies) for r in found) == [(-1, -1, 2), (5, 5, 2), (8, -1, 2)]
+
+
 def test_prefixes_lose_no_pair(spark):
     """All pairs at the threshold among sets in components of their own, against brute force."""
     rng = random.Random(12)
