@@ -27,6 +27,7 @@ from . import storage
 EXTENSIONS = (".arrow", ".csv", ".json", ".jsonl", ".parquet", ".tsv", ".txt")
 _RANKS = {"train": 0, "val": 1, "valid": 2, "validation": 3, "dev": 4, "test": 5}
 _BOM = b"\xef\xbb\xbf"
+_SPACE = " \t\n\r"
 _NAMES = list(records.rows_of(iter(())))
 
 
@@ -100,14 +101,63 @@ def _lines(spark: SparkSession, files: list[tuple[int, str]], raw_text: bool) ->
     return lines.mapInPandas(run, records.RECORD)
 
 
+def json_rows(f, chunk: int = 1 << 20) -> Iterator[object]:
+    """The records of a JSON document: the elements of an array one by one, as far as the document is read; the data of an
+    object with such a list; or the one value."""
+    held = f.read(chunk)
+    while held and not held.strip(_SPACE) and (got := f.read(chunk)):
+        held += got
+    if not held.lstrip(_SPACE).startswith("["):
+        data = json.loads(held + f.read())
+        yield from data["data"] if isinstance(data, dict) and isinstance(data.get("data"), list) else [data if isinstance(data, dict) else {"__raw_json__": data}]
+        return
+    decoder, at, more, first = json.JSONDecoder(), held.index("[") + 1, True, True
+
+    def skip(at: int) -> int:
+        """Past white space; at the end of what is held, more is read."""
+        nonlocal held, more
+        while True:
+            at += len(held) - at - len(held[at:].lstrip(_SPACE))
+            if at < len(held) or not more:
+                return at
+            held, at = f.read(chunk), 0
+            more = bool(held)
+
+    while True:
+        at = skip(at)
+        if held[at : at + 1] == "]" and first:
+            break
+        while True:
+            try:
+                value, end = decoder.raw_decode(held, at)
+            except json.JSONDecodeError:
+                end = None
+            if end is not None and (end < len(held) or not more):
+                break
+            # a value that is cut off, or a number that may go on
+            got = f.read(max(chunk, len(held) - at))
+            held, at, more = held[at:] + got, 0, bool(got)
+            if not more and end is None:
+                value, end = decoder.raw_decode(held, at)
+                break
+        yield value
+        at, first = skip(end), False
+        if held[at : at + 1] == "]":
+            break
+        if held[at : at + 1] != ",":
+            raise json.JSONDecodeError("Expecting ',' delimiter", held, at)
+        at += 1
+    at = skip(at + 1)
+    if at < len(held):
+        raise json.JSONDecodeError("Extra data", held, at)
+
+
 def _payloads(path: str) -> Iterator[tuple[int | None, object, str | None]]:
     """Line, payload and what is wrong with it, of each record of a JSON document, CSV or TSV file."""
     kind = Path(path).suffix.lower()
     with storage.open_file(path) as raw, io.TextIOWrapper(raw, "utf-8", "replace", newline="" if kind != ".json" else None) as f:
         if kind == ".json":
-            data = json.load(f)
-            rows = data if isinstance(data, list) else data["data"] if isinstance(data, dict) and isinstance(data.get("data"), list) else [data if isinstance(data, dict) else {"__raw_json__": data}]
-            yield from ((None, r, None) for r in rows)
+            yield from ((None, r, None) for r in json_rows(f))
         else:
             for i, row in enumerate(csv.DictReader(f, dialect="excel-tab" if kind == ".tsv" else "excel")):
                 more = row.pop(None, None)

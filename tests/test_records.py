@@ -1,5 +1,6 @@
 """Single rules: shapes, splits, lines, expressions, sets, severities."""
 
+import io
 import json
 import random
 
@@ -18,7 +19,7 @@ from assaykit.operators import encoding
 from assaykit.operators.lengths import _CUTS, bars, tokenizer
 from assaykit.plans.runner import Run
 from assaykit.severity import exit_code, severity_rank, worst
-from assaykit.sources.files import UnsupportedFile, list_files, read_records, too_large
+from assaykit.sources.files import UnsupportedFile, json_rows, list_files, read_records, too_large
 
 
 @pytest.mark.parametrize(
@@ -281,3 +282,22 @@ def test_tokens_by_a_file_of_ranks(spark):
         assert {r.t: r.n for r in got} == {t: len(own.encode_ordinary(t)) for t in texts}
     with pytest.raises(ValueError):
         tokenizer(ranks, "none")
+
+
+def whole_json(text):
+    data = json.loads(text)
+    return data if isinstance(data, list) else data["data"] if isinstance(data, dict) and isinstance(data.get("data"), list) else [data if isinstance(data, dict) else {"__raw_json__": data}]
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False) | st.text(max_size=12), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.sampled_from(["data", "a", "]"]), x, max_size=3), max_leaves=12), st.integers(1, 9), st.sampled_from([None, 1]), st.sampled_from(["", " ", "x", "]", ",", "]]"]))
+def test_json_documents_in_pieces(value, chunk, indent, tail):
+    """The same records as of the document at once, or an error as well, whatever the pieces it is read in."""
+    for text in (json.dumps(value, indent=indent) + tail, json.dumps(value)[:-1], "\n[" + json.dumps(value) + "]\n"):
+        try:
+            want = whole_json(text)
+        except json.JSONDecodeError:
+            with pytest.raises(json.JSONDecodeError):
+                list(json_rows(io.StringIO(text), chunk))
+        else:
+            assert list(json_rows(io.StringIO(text), chunk)) == want
