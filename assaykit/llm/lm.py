@@ -288,6 +288,8 @@ class Block:
     def route(self, number: np.ndarray, shard: np.ndarray, parts: np.ndarray, size: int) -> None:
         """Put words, bigrams and trigrams into the order in which they go to the shards. A word in no shard isn't sent,
         nor is what begins with it."""
+        if len(number) != self.end:
+            raise RuntimeError(f"the scan changed between its passes: {len(number)} words before, {self.end} now")
         asker = np.repeat(np.arange(self.end), parts)
         part = np.arange(len(asker)) - np.repeat(np.cumsum(parts) - parts, parts)
         self.by_shard = np.argsort(shard[asker] + part, kind="stable")
