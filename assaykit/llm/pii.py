@@ -66,12 +66,21 @@ def plain(name: str) -> str:
 
 _GIVEN = set(
     plain(
-    "james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony mark donald steven paul andrew joshua kenneth kevin brian george edward ronald timothy jason jeffrey ryan jacob gary nicholas eric jonathan stephen larry justin scott brandon benjamin samuel gregory frank alexander raymond patrick jack dennis jerry tyler aaron jose henry adam douglas nathan peter zachary kyle walter ethan jeremy harold keith christian roger noah gerald carl terry sean austin arthur lawrence jesse dylan bryan "
-    "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa betty margaret sandra ashley kimberly emily donna michelle dorothy carol amanda melissa deborah stephanie rebecca sharon laura cynthia kathleen amy shirley angela helen anna brenda pamela nicole emma samantha katherine christine debra rachel catherine carolyn janet ruth maria heather diane virginia julie joyce victoria olivia kelly christina lauren joan evelyn judith megan cheryl andrea hannah martha jacqueline frances gloria teresa kathryn sara janice jean alice madison doris abigail julia judy grace denise amber marilyn beverly danielle theresa sophia marie diana brittany natalie isabella charlotte rose jane "
-    "hans peter klaus jürgen wolfgang günter heinz uwe bernd dieter horst manfred stefan andreas matthias sebastian tobias florian lukas jonas felix maximilian moritz ursula monika petra sabine renate helga karin brigitte ingrid claudia susanne katharina johanna lena leonie friedrich wilhelm gerhard "
-    "jean pierre michel philippe alain jacques bernard rené andré françois louis nicolas julien olivier guillaume antoine camille chloé léa manon marie nathalie isabelle sylvie catherine françoise valérie sandrine véronique céline élodie aurélie hélène "
-    "antonio manuel francisco juan javier carlos miguel alejandro rafael pedro ángel luis jorge sergio pablo diego fernando alberto álvaro carmen josefa isabel dolores pilar cristina lucía mercedes rosario raquel elena silvia beatriz rocío sofía "
-    "mohammed ahmed ali fatima omar hassan yusuf aisha wei li ming hiroshi yuki kenji priya raj amit anjali ivan olga natasha dmitri sergei giovanni luca marco giulia francesca"
+        "james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony mark donald steven paul andrew joshua kenneth "
+        "kevin brian george edward ronald timothy jason jeffrey ryan jacob gary nicholas eric jonathan stephen larry justin scott brandon benjamin samuel "
+        "gregory frank alexander raymond patrick jack dennis jerry tyler aaron jose henry adam douglas nathan peter zachary kyle walter ethan jeremy harold "
+        "keith christian roger noah gerald carl terry sean austin arthur lawrence jesse dylan bryan mary patricia jennifer linda elizabeth barbara susan "
+        "jessica sarah karen nancy lisa betty margaret sandra ashley kimberly emily donna michelle dorothy carol amanda melissa deborah stephanie rebecca "
+        "sharon laura cynthia kathleen amy shirley angela helen anna brenda pamela nicole emma samantha katherine christine debra rachel catherine carolyn "
+        "janet ruth maria heather diane virginia julie joyce victoria olivia kelly christina lauren joan evelyn judith megan cheryl andrea hannah martha "
+        "jacqueline frances gloria teresa kathryn sara janice jean alice madison doris abigail julia judy grace denise amber marilyn beverly danielle theresa "
+        "sophia marie diana brittany natalie isabella charlotte rose jane hans peter klaus jürgen wolfgang günter heinz uwe bernd dieter horst manfred stefan "
+        "andreas matthias sebastian tobias florian lukas jonas felix maximilian moritz ursula monika petra sabine renate helga karin brigitte ingrid claudia "
+        "susanne katharina johanna lena leonie friedrich wilhelm gerhard jean pierre michel philippe alain jacques bernard rené andré françois louis nicolas "
+        "julien olivier guillaume antoine camille chloé léa manon marie nathalie isabelle sylvie catherine françoise valérie sandrine véronique céline élodie "
+        "aurélie hélène antonio manuel francisco juan javier carlos miguel alejandro rafael pedro ángel luis jorge sergio pablo diego fernando alberto álvaro "
+        "carmen josefa isabel dolores pilar cristina lucía mercedes rosario raquel elena silvia beatriz rocío sofía mohammed ahmed ali fatima omar hassan yusuf "
+        "aisha wei li ming hiroshi yuki kenji priya raj amit anjali ivan olga natasha dmitri sergei giovanni luca marco giulia francesca "
     ).split()
 )
 _NO_NAME = set("january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday street avenue road city county beach river lake island university college school church company inc ltd corp license public general north south east west new the and of in".split())
