@@ -64,13 +64,33 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(buckets), np.concatenate(rows)) if buckets else (np.zeros(0, np.int32), np.zeros(0, np.int32))
 
 
+def _runs(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of one row begin, and their rows; a row has a run for each n."""
+    begin = np.flatnonzero(np.diff(row, prepend=-1))
+    return begin, row[begin]
+
+
 def _by_row(texts: pa.Array) -> Iterator[np.ndarray]:
     """The buckets of each text's n-grams."""
     raw, offsets = buffers(texts)
     for i, j in chunks(offsets):
         bucket, row = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        order = np.argsort(row, kind="stable")
-        yield from np.split(bucket[order], np.searchsorted(row[order], np.arange(1, j - i)))
+        begin, of = _runs(row)
+        parts: list[list[np.ndarray]] = [[] for _ in range(j - i)]
+        for r, part in zip(of.tolist(), np.split(bucket, begin[1:])):
+            parts[r].append(part)
+        yield from (np.concatenate(p) if p else bucket[:0] for p in parts)
+
+
+def row_sums(bucket: np.ndarray, row: np.ndarray, tables: list[np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many n-grams each row has, and the sums of each table over them."""
+    begin, of = _runs(row)
+    n = np.bincount(of, np.diff(begin, append=len(row)), rows)
+    at, sums = bucket.astype(np.intp), np.zeros((rows, len(tables)))
+    for k, table in enumerate(tables):
+        if len(begin):
+            sums[:, k] = np.bincount(of, np.add.reduceat(np.take(table, at), begin), rows)
+    return n, sums
 
 
 def document_frequencies(docs: DataFrame, text_col: str) -> tuple[int, np.ndarray]:
@@ -196,14 +216,13 @@ def classified(docs: DataFrame, text_col: str, columns: list[str], model: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, w, t = shared.value
-        columns_w = [np.ascontiguousarray(w[:-1, c]) for c in range(len(names))]
+        tables = [w[:-1, c].astype(float) for c in range(len(names))]
         for b in batches:
             raw, offsets = buffers(b.column(0))
             best, sure = np.full(b.num_rows, -1), np.zeros(b.num_rows)
             for i, j in chunks(offsets) if names else ():
                 bucket, row = features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                n = np.bincount(row, minlength=j - i)
-                sums = np.stack([np.bincount(row, c[bucket], j - i) for c in columns_w], axis=1)
+                n, sums = row_sums(bucket, row, tables, j - i)
                 p = softmax((sums / np.maximum(n, 1)[:, None] + w[-1]) / t)
                 best[i:j] = np.where(n > 0, p.argmax(axis=1), -1)
                 sure[i:j] = np.where(n > 0, p.max(axis=1), 0.0)
