@@ -50,11 +50,13 @@ from .exchange import ROW_BITS, file_by_partition, read_own, shared_path, small_
 from .text import buffers, mix64, word_hashes, word_spans
 
 #: Text that a task holds at once, unless one text is longer; words of a word shard at most, by the texts' size;
-#: positions of a trie shard, on average. They change no result: raise them with the executors' memory, for the
-#: number of messages is blocks times shards.
+#: positions of a trie shard, on average. They change no result. The number of messages is blocks times shards, so beyond
+#: GROW_FROM bytes of text, where a message has some hundred entries, blocks and trie shards grow with the root of the size.
 BLOCK_BYTES = 6 << 20
 SHARD_WORDS = 6_000_000
 SHARD_TOKENS = 1_500_000
+GROW_FROM = 80 * 10**9
+_WORD_BYTES = 6
 HASH_BITS = 62
 UNKNOWN = 0
 _PIECE = 1 << 20
@@ -249,6 +251,12 @@ class Shard:
         return [self.children(self.pointers1, one), self.c2.access(two), self.children(self.pointers2, two), self.c3.access(three)]
 
 
+def grown(size: int, block_bytes: int, tokens: int) -> tuple[int, int]:
+    """Bytes of a block and positions of a trie shard for texts of so many bytes."""
+    factor = max(1.0, (size / GROW_FROM) ** 0.5)
+    return int(block_bytes * factor), int(tokens * factor)
+
+
 def planned(c1: np.ndarray, tokens: int) -> tuple[np.ndarray, np.ndarray]:
     """For the words of a word shard with these counts, the first of the trie shards that a word's contexts are in, and
     how many these are."""
@@ -420,14 +428,15 @@ def _words_back(held: dict[int, list[bytes]], block: int, base: np.ndarray, trie
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else tuple(np.zeros(0, np.int64) for _ in range(4))
 
 
-def _exchange(docs: DataFrame, text_col: str, made: dict | None, reply: bool, most: int, tokens: int = 0, words: int = 0) -> tuple[dict, str, str]:
-    """Count docs and write the model, or ask one that is made; the model, and where the answers about words and about
-    trigrams are filed."""
+def _exchange(docs: DataFrame, text_col: str, made: dict | None, reply: bool, most: int, tokens: int = 0, words: int = 0) -> tuple[dict, str, str, int]:
+    """Count docs and write the model, or ask one that is made; the model, where the answers about words and about trigrams
+    are filed, and the bytes of a block."""
     spark, build = docs.sparkSession, made is None
     slim = small_batches(docs).select("row", F.lower(F.col(text_col)).alias("t"))
+    all_bytes = int(docs.select(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0)
+    most, tokens = grown(all_bytes, most, tokens)
     if build:
-        estimate = docs.select(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-        made = {"folder": shared_path(spark, "lm"), "bits": max(0, (int(estimate) // 6 // words).bit_length()), "tokens": tokens}
+        made = {"folder": shared_path(spark, "lm"), "bits": max(0, (all_bytes // _WORD_BYTES // words).bit_length()), "tokens": tokens}
     folder, shift, tokens = made["folder"], HASH_BITS - made["bits"], made["tokens"]
 
     def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -499,10 +508,10 @@ def _exchange(docs: DataFrame, text_col: str, made: dict | None, reply: bool, mo
     # a task for each shard, by its number: where a hash puts several into one task, the largest is several times as large
     sent = slim.mapInArrow(send_trigrams, _SENT).repartitionById(max(1, int(tries[-1])), "shard")
     returned = sent.groupBy("shard").applyInPandas(own_trigrams, _SENT)
-    return made, word_path, file_by_partition(returned, "trigrams-back", shared=0, scan=docs)
+    return made, word_path, file_by_partition(returned, "trigrams-back", shared=0, scan=docs), most
 
 
-def _scored(docs: DataFrame, made: dict, word_path: str, trigram_path: str, others: bool, most: int) -> DataFrame:
+def _scored(docs: DataFrame, made: dict, word_path: str, trigram_path: str, most: int, others: bool) -> DataFrame:
     base, tries, size, ends, total = (made[k] for k in ("base", "tries", "size", "ends", "total"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -536,10 +545,10 @@ def train(docs: DataFrame, text_col: str = "text", shard_tokens: int = SHARD_TOK
 def score(docs: DataFrame, made: dict, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, words, unknown, log_probability, perplexity of every document under a model that train() made."""
     slim = _slim(docs, id_col, text_col)
-    return _scored(slim.select("row", F.lower("text").alias("t"), "doc_id"), *_exchange(slim, "text", made, True, block_bytes), False, block_bytes)
+    return _scored(slim.select("row", F.lower("text").alias("t"), "doc_id"), *_exchange(slim, "text", made, True, block_bytes), False)
 
 
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents' scores, each under the model of all the others; see the module's text for edge cases."""
     slim = _slim(docs, id_col, text_col)
-    return _scored(slim.select("row", F.lower("text").alias("t"), "doc_id"), *_exchange(slim, "text", None, True, block_bytes, shard_tokens, shard_words), True, block_bytes)
+    return _scored(slim.select("row", F.lower("text").alias("t"), "doc_id"), *_exchange(slim, "text", None, True, block_bytes, shard_tokens, shard_words), True)

@@ -124,6 +124,14 @@ def test_every_ngram_is_kept(spark):
         assert sum(getattr(s, level).n for s in tries) == len({tuple(d[k : k + n]) for d in docs for k in range(len(d) - n + 1)})
 
 
+def test_messages_stay_long():
+    """Blocks and shards are as they are until a message would have too few entries, then grow with the root of the size."""
+    assert lm.grown(10**9, lm.BLOCK_BYTES, lm.SHARD_TOKENS) == (lm.BLOCK_BYTES, lm.SHARD_TOKENS) == lm.grown(30 * 10**9, lm.BLOCK_BYTES, lm.SHARD_TOKENS)
+    for size in (10**12, 10**14):
+        block, tokens = lm.grown(size, lm.BLOCK_BYTES, lm.SHARD_TOKENS)
+        assert block / 6 * tokens / (size / 6) > 100 and block < 1 << 29
+
+
 def test_contexts_are_cut_evenly():
     """A word of half of all positions is in as many shards as its count takes."""
     c1 = np.array([5, 1000, 3, 7, 90, 2])
