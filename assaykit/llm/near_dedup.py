@@ -201,6 +201,21 @@ def find_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return near_duplicates(stable(docs), id_col, text_col, threshold).drop("row", "mark")
 
 
+def oracle_sql(threshold: float = THRESHOLD) -> str:
+    """find_near_duplicates() of the table documents in DuckDB, by all pairs that share a shingle. Banding finds a pair at the
+    threshold with probability 0.988, so this is what the search comes to where it misses none."""
+    return rf"""
+        WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[0-9a-z\x{{80}}-\x{{10ffff}}]+') AS w FROM documents WHERE text IS NOT NULL),
+        sh AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= {SHINGLE} THEN [array_to_string(w[i:i+{SHINGLE - 1}], ' ') FOR i IN range(1, len(w) - {SHINGLE - 2})] ELSE w END) AS s FROM w),
+        sizes AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
+        shared AS (SELECT a.id AS u, b.id AS v, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2),
+        edges AS (SELECT u, v FROM shared JOIN sizes x ON x.id = u JOIN sizes y ON y.id = v WHERE k >= {threshold} * (x.n + y.n - k)),
+        both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+        reach(id, root) AS (SELECT u, u FROM both_ways UNION SELECT b.v, r.root FROM reach r JOIN both_ways b ON b.u = r.id),
+        grouped AS (SELECT id, min(root) AS kept FROM reach GROUP BY id)
+        SELECT id AS doc_id, kept AS kept_doc_id, count(*) OVER (PARTITION BY kept) AS copies FROM grouped QUALIFY id <> kept"""
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows of find_near_duplicates, with all columns as they were."""
     docs = stable(docs)

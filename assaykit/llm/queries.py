@@ -75,4 +75,5 @@ ORACLE_SQL: dict[str, str] = {
         WHERE doc_id <> kept_doc_id""",
     "op2_secret_scan": secrets.oracle_sql(),
     "op6_decontaminate": decontaminate.oracle_sql(),
+    "op7_near_dedup": near_dedup.oracle_sql(),
 }
