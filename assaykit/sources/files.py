@@ -132,9 +132,9 @@ def json_rows(f, chunk: int = 1 << 20) -> Iterator[object]:
                 value, end = decoder.raw_decode(held, at)
             except json.JSONDecodeError:
                 end = None
-            if end is not None and (end < len(held) or not more):
+            if end is not None and (not more or held[end : end + 1] and held[end] in _SPACE + ",]" or end + 1000 < len(held)):
                 break
-            # a value that is cut off, or a number that may go on
+            # a value that is cut off, or a number of which more may follow
             got = f.read(max(chunk, len(held) - at))
             held, at, more = held[at:] + got, 0, bool(got)
             if not more and end is None:

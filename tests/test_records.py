@@ -289,7 +289,7 @@ def whole_json(text):
     return data if isinstance(data, list) else data["data"] if isinstance(data, dict) and isinstance(data.get("data"), list) else [data if isinstance(data, dict) else {"__raw_json__": data}]
 
 
-@settings(deadline=None, max_examples=200)
+@settings(deadline=None, max_examples=400)
 @given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False) | st.text(max_size=12), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.sampled_from(["data", "a", "]"]), x, max_size=3), max_leaves=12), st.integers(1, 9), st.sampled_from([None, 1]), st.sampled_from(["", " ", "x", "]", ",", "]]"]))
 def test_json_documents_in_pieces(value, chunk, indent, tail):
     """The same records as of the document at once, or an error as well, whatever the pieces it is read in."""
