@@ -66,3 +66,14 @@ def test_approximate_join_agrees(spark, sf):
     exact = {(r.doc_id, r.cluster) for r in QUERIES["near_duplicate_clusters"](spark, sf).collect()}
     close = {(r.doc_id, r.cluster) for r in QUERIES["near_duplicate_clusters_lsh"](spark, sf).collect()}
     assert len(exact & close) >= 0.9 * len(exact)
+
+
+def test_counts_next_to_other_scripts(spark, tmp_path):
+    """A find that a letter beyond ASCII follows counts as in the SQL."""
+    texts = ["214 geieein. Stä", "电话123-45-6789号", "üjo@x.orgä", "ä10.0.0.1", "nothing", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(db.execute(ORACLE_SQL["pii_counts"]).fetchall())
+    assert sorted(tuple(r) for r in QUERIES["pii_counts"](spark, str(tmp_path)).select("pattern", "n", "records").collect()) == want
+    assert {p for p, _, _ in want} == {"street_address", "us_ssn", "email", "ipv4"}
