@@ -11,10 +11,14 @@ Pairs become groups as connected components.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import small_batches
 from ..functions.records import primary_text
 from ..functions.text import shingle_hashes, words
 from .components import connected_components
@@ -22,6 +26,8 @@ from .shared import ensure_checkpoints
 
 SHINGLE = 5
 COUNTERS = 1 << 16
+BITS = 1 << 25
+MISSED = 0.001
 _SLACK = 1e-9
 
 
@@ -59,8 +65,22 @@ def similar_pairs(sets: DataFrame, threshold: float, group: list[str]) -> DataFr
     """u, v (numbers in column id) and similarity of all pairs of one group at threshold or more, u < v. sets: group, id,
     set, one row for each distinct set of a group. Empty sets are in no pair: those of a group are one set."""
     some = sets.where(F.size("set") > 0).select(*group, "id", "set")
-    sides = some.select("id", "set")
-    joined = candidate_pairs(some, threshold, group).join(sides.toDF("u", "x"), "u").join(sides.toDF("v", "y"), "v")
+    return _verified(some, candidate_pairs(some, threshold, group), threshold)
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Those of pairs that are as similar. Only sets that are in a pair are moved: a bitmap of BITS, whatever the input, tells
+    them; the few others that it lets through meet nobody."""
+    ensure_checkpoints(sets.sparkSession)
+    pairs = pairs.checkpoint()
+    at = F.pmod(F.xxhash64("id"), F.lit(BITS))
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).select(at.alias("at"))
+    held = bytearray(BITS // 8)
+    for r in ids.groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("bits")).collect():
+        held[r["part"] * 4096 : (r["part"] + 1) * 4096] = r["bits"]
+    byte = F.conv(F.hex(F.substring(F.lit(bytes(held)), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    sides = sets.where(F.call_function("getbit", byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1).select("id", "set")
+    joined = pairs.join(sides.toDF("u", "x"), "u").join(sides.toDF("v", "y"), "v")
     both = F.size(F.array_intersect("x", "y"))
     scored = joined.withColumn("similarity", both / (F.size("x") + F.size("y") - both))
     return scored.where(F.col("similarity") >= threshold).select("u", "v", "similarity")
@@ -87,18 +107,42 @@ def clusters(records: DataFrame, threshold: float = 0.85, across: bool = False,
     return placed.join(sizes, "cluster").select("file", "idx", "line", "id", "cluster", "size")
 
 
+def banding(threshold: float, num_perm: int) -> tuple[int, int]:
+    """Bands and rows of each: as many rows as leave a pair at the threshold unfound with a probability of MISSED at most."""
+    rows = [r for r in range(1, num_perm + 1) if (1 - threshold**r) ** (num_perm // r) <= MISSED]
+    return num_perm // max(rows, default=1), max(rows, default=1)
+
+
 def lsh_pairs(sets: DataFrame, threshold: float, group: list[str], num_perm: int) -> DataFrame:
-    """The approximate join: MinHash buckets, with the distance of each pair verified."""
-    from pyspark.ml.feature import HashingTF, MinHashLSH
-
-    some = sets.where(F.size("set") > 0).select(*group, "id", F.col("set").cast("array<string>").alias("terms"))
-    vectors = HashingTF(inputCol="terms", outputCol="features", binary=True, numFeatures=1 << 20).transform(some)
-    model = MinHashLSH(inputCol="features", outputCol="hashes", numHashTables=num_perm, seed=1).fit(vectors)
-    found = model.approxSimilarityJoin(vectors, vectors, 1 - threshold + 1e-9, "distance").where("datasetA.id < datasetB.id")
-    same: Column = F.lit(True)
-    for g in group:
-        same = same & (F.col(f"datasetA.{g}") == F.col(f"datasetB.{g}"))
-    return found.where(same).select(F.col("datasetA.id").alias("u"), F.col("datasetB.id").alias("v"), (1 - F.col("distance")).alias("similarity"))
+    """The approximate join: sets that agree in all rows of a band of their MinHash meet, each pair once, and is verified."""
+    bands, rows = banding(threshold, num_perm)
+    some = sets.where(F.size("set") > 0).select(*group, "id", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors = np.random.default_rng(1).integers(1 << 63, size=bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held = b.column("set")
+            values, starts = held.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(held.value_lengths().to_numpy())[:-1]])
+            keys = np.empty((b.num_rows, bands), np.uint64)
+            for i in range(bands):
+                key = np.full(b.num_rows, i, np.uint64)
+                for f in factors[i * rows : (i + 1) * rows]:
+                    mixed = values * f
+                    mixed ^= mixed >> np.uint64(32)
+                    mixed *= f
+                    key = (key ^ np.minimum.reduceat(mixed, starts)) * np.uint64(0x9E3779B97F4A7C15)
+                    key ^= key >> np.uint64(29)
+                keys[:, i] = key
+            key = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), bands).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*group, "id")), key], [*group, "id", "keys"])
+
+    of = {f.name: f.dataType.simpleString() for f in some.schema}
+    keyed = small_batches(some).mapInArrow(run, ", ".join(f"`{c}` {of[c]}" for c in (*group, "id")) + ", keys array<bigint>")
+    buckets = keyed.select(*group, "id", F.explode("keys").alias("key")).groupBy(*group, "key").agg(F.collect_list("id").alias("ids")).where(F.size("ids") > 1)
+    met = buckets.select("ids", F.explode("ids").alias("u")).select("u", F.explode(F.filter("ids", lambda v: v > F.col("u"))).alias("v"))
+    return _verified(some, met.distinct(), threshold)
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -32,3 +32,21 @@ def test_boilerplate_pairs_nobody(spark, shared, own):
     rng = random.Random(4)
     df, _ = sets_of(spark, [[*range(shared), *(rng.randrange(10**9) for _ in range(own))] for _ in range(400)])
     assert near_duplicates.candidate_pairs(df.where(F.size("set") > 0), 0.85, []).count() <= 400
+
+
+def test_buckets_of_the_approximate_join(spark):
+    """Sets that share a tenth of what they have meet in no bucket, where a table for each of the hashes took nearly all pairs;
+    copies at the threshold are found."""
+    rng = random.Random(6)
+    own = [[*range(40), *(rng.randrange(10**9) for _ in range(160))] for _ in range(300)]
+    near = [[*s[8:], *range(i * 1000 + 10**10, i * 1000 + 10**10 + 8)] for i, s in enumerate(own)]
+    df, plain = sets_of(spark, own + near)
+    want = {(i, i + 300) for i in range(300) if len(plain[i][2] & plain[i + 300][2]) >= 0.85 * len(plain[i][2] | plain[i + 300][2])}
+    seen, verified = [], near_duplicates._verified
+    near_duplicates._verified = lambda sets, pairs, t: (seen.append(pairs.count()), verified(sets, pairs, t))[1]
+    try:
+        got = near_duplicates.lsh_pairs(df, 0.85, ["g"], 128)
+    finally:
+        near_duplicates._verified = verified
+    assert {(r.u, r.v) for r in got.collect()} == want and len(want) == 300
+    assert seen[0] <= 320
