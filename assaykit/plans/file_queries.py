@@ -6,6 +6,7 @@ partition, and only renamed by the driver.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -13,12 +14,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import small_batches
 from ..functions.text import text_hash
 from ..operators import chats, encoding, formats, schema
 from ..sources import storage
 from ..sources.files import byte_blocks, list_files, read_records
 
+#: The fewest files of a table, and bytes of the table that a file takes at most: a larger table gives more files.
 PARTS = 4
+PART_BYTES = 32 << 20
+
+
+def parts_of(sf: str) -> int:
+    path = f"{sf}/documents.parquet"
+    below = storage.files_below(path)
+    return max(PARTS, -(-sum(storage.size(f) or 0 for f in ([path] if below is None else below)) // PART_BYTES))
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -37,10 +47,10 @@ def _renamed(folder: str, suffix: str) -> list[str]:
     return list_files(folder)
 
 
-def written(spark: SparkSession, table: DataFrame, kind: str) -> list[str]:
-    """table's rows as dataset files of a kind."""
+def written(spark: SparkSession, table: DataFrame, kind: str, n: int = PARTS) -> list[str]:
+    """table's rows as n dataset files of a kind."""
     folder = _folder(spark, kind)
-    parts = table.repartition(PARTS)
+    parts = table.repartition(n)
     if kind == "jsonl":
         parts.write.json(folder)
     elif kind in ("csv", "tsv"):
@@ -49,26 +59,49 @@ def written(spark: SparkSession, table: DataFrame, kind: str) -> list[str]:
         parts.select("text").write.text(folder)
     elif kind == "parquet":
         parts.write.parquet(folder)
-    elif kind == "json":
-        # a document of all rows of a part
-        row = F.to_json(F.struct(*table.columns), {"ignoreNullFields": "false"})
-        parts.groupBy(F.spark_partition_id().alias("p")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ","), F.lit("]")).alias("value")).select("value").repartition(PARTS, "value").write.option("maxRecordsPerFile", 1).text(folder)
     else:
-        storage.system(folder)[0].create_dir(storage.system(folder)[1])
+        # a document of all rows of a part, as they come
+        row = F.to_json(F.struct(*table.columns), {"ignoreNullFields": "false"})
+        _streamed(folder, parts.select(row.alias("row")) if kind == "json" else parts, _json if kind == "json" else _ipc)
+    return _renamed(folder, f".{kind}")
 
-        def ipc(batches):
-            import pyarrow.ipc
 
-            held = list(batches)
-            if held:
-                system, at = storage.system(folder)
-                with system.open_output_stream(f"{at}/part-{uuid.uuid4().hex}.arrow") as sink, pyarrow.ipc.new_file(sink, held[0].schema) as out:
-                    for b in held:
-                        out.write_batch(b)
-            yield pa.RecordBatch.from_pydict({"n": pa.array([sum(b.num_rows for b in held)], pa.int64())})
+def _json(sink, batches) -> None:
+    before = "["
+    for b in batches:
+        for row in b.column(0).to_pylist():
+            sink.write((before + row).encode())
+            before = ","
+    sink.write(b"]")
 
-        parts.mapInArrow(ipc, "n long").collect()
-    return _renamed(folder, f".{kind}")
+
+def _ipc(sink, batches) -> None:
+    import pyarrow.ipc
+
+    out = None
+    for b in batches:
+        out = out or pyarrow.ipc.new_file(sink, b.schema)
+        out.write_batch(b)
+    out.close()
+
+
+def _streamed(folder: str, parts: DataFrame, write) -> None:
+    """A file of each part with rows, batch by batch. Only what a task names in the end is renamed, so that an attempt that
+    failed leaves nothing to be read."""
+    system, at = storage.system(folder)
+    system.create_dir(at)
+
+    def run(batches):
+        some = (b for b in batches if b.num_rows)
+        first, name = next(some, None), uuid.uuid4().hex
+        if first is not None:
+            system, at = storage.system(folder)
+            with system.open_output_stream(f"{at}/_{name}") as sink:
+                write(sink, itertools.chain([first], some))
+            yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    for r in small_batches(parts).mapInArrow(run, "name string").collect():
+        system.move(f"{at}/_{r['name']}", f"{at}/part-{r['name']}.written")
 
 
 _DOCUMENTS = "SELECT doc_id, text, lang AS label FROM documents"
@@ -80,7 +113,7 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def _read(kind: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        read = read_records(spark, written(spark, _documents(spark, sf), kind))
+        read = read_records(spark, written(spark, _documents(spark, sf), kind, parts_of(sf)))
         text = F.get(F.filter("fields", lambda f: f["name"] == "text"), F.lit(0))["value"]
         return read.select(F.get_json_object("canonical", "$.doc_id").cast("long").alias("doc_id"), "kind", "fmt", text_hash(text).alias("text_hash"), "label")
 
@@ -90,7 +123,7 @@ def _read(kind: str):
 def files_txt(spark: SparkSession, sf: str) -> DataFrame:
     """Every line is a record, blank ones too."""
     lines = _documents(spark, sf).select(F.regexp_replace("text", "[\r\n]+", " ").alias("text"))
-    return read_records(spark, written(spark, lines, "txt")).groupBy("fmt", text_hash(F.get("fields", F.lit(0))["value"]).alias("text_hash")).agg(F.count("*").alias("n"))
+    return read_records(spark, written(spark, lines, "txt", parts_of(sf))).groupBy("fmt", text_hash(F.get("fields", F.lit(0))["value"]).alias("text_hash")).agg(F.count("*").alias("n"))
 
 
 _LINES = r"SELECT regexp_replace(text, '[\r\n]+', ' ', 'g') AS text FROM documents"
@@ -99,7 +132,7 @@ _LINES = r"SELECT regexp_replace(text, '[\r\n]+', ' ', 'g') AS text FROM documen
 def encoding_scan(spark: SparkSession, sf: str) -> DataFrame:
     """What the bytes of the same files show, summed over them."""
     lines = _documents(spark, sf).select(F.regexp_replace("text", "[\r\n]+", " ").alias("text"))
-    found = encoding.scan_blocks(byte_blocks(spark, written(spark, lines, "txt"), encoding.BLOCK))
+    found = encoding.scan_blocks(byte_blocks(spark, written(spark, lines, "txt", parts_of(sf)), encoding.BLOCK))
     return found.groupBy("key").agg(F.sum("n").alias("n"))
 
 
@@ -139,7 +172,7 @@ def schema_shapes(spark: SparkSession, sf: str) -> DataFrame:
     docs, made = spark.read.parquet(f"{sf}/documents.parquet"), F.lit(None).cast("string")
     for k, said, _ in _SHAPES:
         made = F.when(F.col("doc_id") % len(_SHAPES) == k, F.expr(said)).otherwise(made)
-    files = _renamed(_text_files(spark, docs.select(made.alias("value"))), ".jsonl")
+    files = _renamed(_text_files(spark, docs.select(made.alias("value")), parts_of(sf)), ".jsonl")
     named = spark.createDataFrame([(f, "preference_pair") for f in files], "file string, format string")
     found = schema.issues(read_records(spark, files), named)
     return found.where(F.col("severity") == "CRITICAL").groupBy("code").agg(F.count("*").alias("n"))
@@ -150,7 +183,7 @@ def chat_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
     docs, made = spark.read.parquet(f"{sf}/documents.parquet"), F.lit(None).cast("string")
     for k, said, _ in _TURNS:
         made = F.when(F.col("doc_id") % len(_TURNS) == k, F.lit(said)).otherwise(made)
-    files = _renamed(_text_files(spark, docs.select(made.alias("value"))), ".jsonl")
+    files = _renamed(_text_files(spark, docs.select(made.alias("value")), parts_of(sf)), ".jsonl")
     return chats.issues(read_records(spark, files)).groupBy("code").agg(F.count("*").alias("n"))
 
 
@@ -163,9 +196,9 @@ def file_formats(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-def _text_files(spark: SparkSession, lines: DataFrame) -> str:
+def _text_files(spark: SparkSession, lines: DataFrame, n: int) -> str:
     folder = _folder(spark, "lines")
-    lines.repartition(PARTS).write.text(folder)
+    lines.repartition(n).write.text(folder)
     return folder
 
 
