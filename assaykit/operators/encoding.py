@@ -27,9 +27,11 @@ def mojibake_counts(text: Column) -> Column:
     return F.array(*(F.struct(F.lit(p).alias("pattern"), occurrences(text, p).alias("n")) for p in MOJIBAKE))
 
 
-#: Bytes that a task scans at once, and those it reads beyond on either side: a sample's surroundings.
+#: Bytes that a task scans, and those it reads beyond on either side: a sample's surroundings.
 BLOCK = 64 << 20
 AROUND = 512
+#: Bytes of a block that are in memory at once, besides those around them.
+WINDOW = 2 << 20
 _SCANNED = "file string, key string, at bigint, n bigint, sample string"
 
 
@@ -72,16 +74,27 @@ def scan_block(data: bytes, start: int, begin: int, end: int) -> Iterator[tuple[
             yield f"mojibake:{p}", start + a + len(text[low:at].encode()), n, redact(text[max(0, at - 80) : at + 120])
 
 
+def scan_windows(file: str, start: int, size: int) -> list[list]:
+    """file, key, at, n, sample of what is found in the block at start of a file of that size, read window by window."""
+    found: dict[str, list] = {}
+    for begin in range(start, min(size, start + BLOCK), WINDOW):
+        low, end = max(0, begin - AROUND), min(size, start + BLOCK, begin + WINDOW)
+        data = storage.read_range(file, low, end - low + AROUND)
+        for key, at, n, sample in scan_block(data, low, begin - low, end - low):
+            if key not in found:
+                found[key] = [file, key, at, n, sample]
+            elif key != "invalid_utf8":  # told once a block
+                found[key][3] += n
+    return list(found.values())
+
+
 def scan_blocks(blocks: DataFrame) -> DataFrame:
     """file, key, n, sample: what is found in each file, summed over its blocks; the sample is the first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for file, start, size in zip(b["file"], b["start"].tolist(), b["size"].tolist()):
-                low, end = max(0, start - AROUND), min(size, start + BLOCK)
-                data = storage.read_range(file, low, end - low + AROUND)
-                found = [(file, *x) for x in scan_block(data, low, start - low, end - low)]
-                if found:
+                if found := scan_windows(file, start, size):
                     yield pd.DataFrame(found, columns=["file", "key", "at", "n", "sample"])
 
     return blocks.mapInPandas(run, _SCANNED).groupBy("file", "key").agg(F.sum("n").alias("n"), F.min_by("sample", "at").alias("sample"))
