@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import records
+from ..functions.batches import BATCH_BYTES, small_batches
 from . import storage
 
 EXTENSIONS = (".arrow", ".csv", ".json", ".jsonl", ".parquet", ".tsv", ".txt")
@@ -98,7 +99,7 @@ def _lines(spark: SparkSession, files: list[tuple[int, str]], raw_text: bool) ->
             told = (records.describe({"text": v}, raw_text=True) if raw_text else records.describe_line(v) for v in b["value"])
             yield pd.DataFrame(records.rows_of((f, o, i, i + 1, *x) for f, o, i, x in zip(b["file"], b["file_ord"], b["idx"], told)), columns=_NAMES)
 
-    return lines.mapInPandas(run, records.RECORD)
+    return small_batches(lines).mapInPandas(run, records.RECORD)
 
 
 def json_rows(f, chunk: int = 1 << 20) -> Iterator[object]:
@@ -181,12 +182,13 @@ def _whole(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for file, order in zip(b["file"], b["file_ord"]):
-                held: list[tuple] = []
+                held, chars = [], 0
                 for row in rows(file, int(order)):
                     held.append(row)
-                    if len(held) == 2000:
+                    chars += len(row[_NAMES.index("canonical")] or "")
+                    if len(held) == 2000 or chars >= BATCH_BYTES:
                         yield pd.DataFrame(records.rows_of(iter(held)), columns=_NAMES)
-                        held = []
+                        held, chars = [], 0
                 yield pd.DataFrame(records.rows_of(iter(held)), columns=_NAMES)
 
     named = spark.createDataFrame([(p, i) for i, p in files], "file string, file_ord int").repartition(len(files))
@@ -227,7 +229,7 @@ def _parquet(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
                 rows = b.select(names).to_pylist()
                 yield _batch(records.rows_of((*p, None, *records.describe(r)) for p, r in zip(place, rows)), schema)
 
-        one = scan.select(*names, "idx", "__file", "__ord").mapInArrow(run, records.RECORD)
+        one = small_batches(scan.select(*names, "idx", "__file", "__ord")).mapInArrow(run, records.RECORD)
         out = one if out is None else out.union(one)
     return out
 

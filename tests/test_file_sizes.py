@@ -31,6 +31,21 @@ def test_a_block_is_scanned_in_windows(tmp_path):
     assert peak < 40 << 20 < 5 * len(data)
 
 
+KINDS = ["parquet"]
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_rows_come_in_small_batches(spark, tmp_path, kind):
+    texts = spark.range(3000).select(F.repeat(F.lit("word "), 2000).alias("text")).coalesce(1)
+    (texts.write.parquet if kind == "parquet" else texts.write.json)(str(tmp_path / "t"))
+    spark.conf.unset(batches._BATCH)
+    files = [str(p.rename(p.with_suffix(f".{kind}"))) for p in (tmp_path / "t").iterdir() if p.name.startswith("part-")]
+    read = read_records(spark, files)
+    rows = texts.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").agg(F.max("n")).first()[0]
+    assert rows <= 2 * batches.BATCH_BYTES // 10_000
+    assert read.count() == 3000
+
+
 READ = ["files_json"]
 
 
