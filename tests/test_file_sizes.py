@@ -31,7 +31,7 @@ def test_a_block_is_scanned_in_windows(tmp_path):
     assert peak < 40 << 20 < 5 * len(data)
 
 
-KINDS = ["parquet"]
+KINDS = ["parquet", "jsonl"]
 
 
 @pytest.mark.parametrize("kind", KINDS)
