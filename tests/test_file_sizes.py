@@ -46,7 +46,7 @@ def test_rows_come_in_small_batches(spark, tmp_path, kind):
     assert read.count() == 3000
 
 
-READ = ["files_json", "files_arrow", "files_csv", "files_tsv", "files_txt"]
+READ = ["files_json", "files_arrow", "files_csv", "files_tsv", "files_txt", "schema_shapes"]
 
 
 @pytest.mark.parametrize("name", READ)
