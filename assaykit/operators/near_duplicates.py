@@ -37,15 +37,16 @@ def with_sets(records: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _rarest_first(sets: DataFrame) -> DataFrame:
-    """sets with column ordered: each set's shingles, rarest first, by a byte a counter that tells in eighths of powers of
-    two how often its shingles occur."""
+    """sets with column ordered: a number for each of the set's shingles, rarest first. The number's upper 7 bits, from a byte a
+    counter, tell in quarters of powers of two how often its shingles occur; the rest is the hash's. Shingles that share
+    a number are as one for the prefixes, which so can only find more pairs."""
     counter = F.pmod(F.col("shingle"), F.lit(COUNTERS)).cast("int").alias("counter")
     often = bytearray(COUNTERS)
     for r in sets.select(F.explode("set").alias("shingle")).groupBy(counter).agg(F.count("*").alias("n")).collect():
-        often[r["counter"]] = min(255, int(8 * math.log2(1 + r["n"])))
+        often[r["counter"]] = min(127, int(4 * math.log2(1 + r["n"])))
     rank = F.lit(bytes(often))
-    keyed = F.transform("set", lambda x: F.struct(F.substring(rank, F.pmod(x, F.lit(COUNTERS)).cast("int") + 1, F.lit(1)).alias("n"), x.alias("x")))
-    return sets.withColumn("ordered", F.transform(F.array_sort(keyed), lambda k: k["x"]))
+    number = lambda x: F.shiftleft(F.ascii(F.substring(rank, F.pmod(x, F.lit(COUNTERS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
+    return sets.withColumn("ordered", F.sort_array(F.transform("set", number)))
 
 
 def candidate_pairs(sets: DataFrame, threshold: float, group: list[str]) -> DataFrame:
@@ -54,9 +55,10 @@ def candidate_pairs(sets: DataFrame, threshold: float, group: list[str]) -> Data
     ordered = _rarest_first(sets.withColumn("n", F.size("set")))
     prefix = F.slice("ordered", F.lit(1), (n - F.ceil(F.lit(t) * n - F.lit(_SLACK)) + 1).cast("int"))
     heads = ordered.select(*group, "id", "n", F.posexplode(prefix).alias("place", "head"))
-    leads = F.col("place") <= n - F.ceil(F.lit(2 * t / (1 + t)) * n - F.lit(_SLACK))
-    side = lambda df, s: df.select(*group, "head", *(F.col(c).alias(c + s) for c in ("id", "n", "place")))
-    pairs = side(heads, "x").join(side(heads.where(leads), "y"), [*group, "head"]).where("ny < nx or ny = nx and idy < idx")
+    side = lambda s: heads.select(*group, "head", *(F.col(c).alias(c + s) for c in ("id", "n", "place")))
+    # asked of both sides together, so that it isn't asked before the shuffle: one serves for both
+    leads = F.col("placey") + F.least("placex", F.lit(0)) <= F.col("ny") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("ny") - F.lit(_SLACK))
+    pairs = side("x").join(side("y"), [*group, "head"]).where("ny < nx or ny = nx and idy < idx").where(leads)
     close = (F.col("ny") >= F.lit(t) * F.col("nx") - F.lit(_SLACK)) & (F.least(F.col("nx") - F.col("placex"), F.col("ny") - F.col("placey")) >= F.lit(t / (1 + t)) * (F.col("nx") + F.col("ny")) - F.lit(_SLACK))
     return pairs.where(close).select(F.least("idx", "idy").alias("u"), F.greatest("idx", "idy").alias("v")).distinct()
 
@@ -95,7 +97,7 @@ def clusters(records: DataFrame, threshold: float = 0.85, across: bool = False,
     group = [] if across else ["file"]
     digest = [F.xxhash64("set").alias("d1"), F.xxhash64(F.lit(1), F.col("set")).alias("d2")]
     sets = with_sets(records.select("file", "file_ord", "idx", "line", "fields", number), ["file", "idx", "line", "id"]).select("*", *digest).checkpoint()
-    alike = sets.groupBy(*group, "d1", "d2").agg(F.min("id").alias("id"), F.min_by("set", "id").alias("set"))
+    alike = sets.groupBy(*group, "d1", "d2").agg(F.min("id").alias("id"), F.min_by("set", "id").alias("set")).checkpoint()
     if method == "lsh":
         pairs = lsh_pairs(alike, threshold, group, num_perm)
     else:

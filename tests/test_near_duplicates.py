@@ -50,3 +50,22 @@ def test_buckets_of_the_approximate_join(spark):
         near_duplicates._verified = verified
     assert {(r.u, r.v) for r in got.collect()} == want and len(want) == 300
     assert seen[0] <= 320
+
+
+def test_little_is_moved(spark):
+    """One shuffle of the prefixes serves both sides of the join, and of the sets only those in a pair go on."""
+    rng = random.Random(8)
+    own = [[rng.randrange(10**9) for _ in range(100)] for _ in range(400)]
+    df, _ = sets_of(spark, own + [x[:98] for x in own[:8]])
+    adaptive, broadcast = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = near_duplicates.candidate_pairs(df.where(F.size("set") > 0), 0.85, ["g"])
+        assert "ReusedExchange" in pairs._jdf.queryExecution().executedPlan().toString()
+        found = near_duplicates.similar_pairs(df, 0.85, ["g"])
+        assert found.count() == 8
+        assert "getbit" in found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
