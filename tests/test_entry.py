@@ -77,3 +77,15 @@ def test_counts_next_to_other_scripts(spark, tmp_path):
     want = sorted(db.execute(ORACLE_SQL["pii_counts"]).fetchall())
     assert sorted(tuple(r) for r in QUERIES["pii_counts"](spark, str(tmp_path)).select("pattern", "n", "records").collect()) == want
     assert {p for p, _, _ in want} == {"street_address", "us_ssn", "email", "ipv4"}
+
+
+def test_counts_next_to_letters_beyond_16_bits(spark, tmp_path):
+    """A letter or digit that Java holds as two characters is of the word too."""
+    texts = ["\U0001d7d84111-1111-1111-1111 x", "\U0001d7d8123-45-6789", "a \U0001d400 123-45-6789", "\U0001f600123-45-6789", "\U000203ff030.555.0199 \U0001d7d812-34-56-78"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("pii_matches", "pii_counts", "pii_phone"):
+        got = QUERIES[name](spark, str(tmp_path))
+        want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want)
