@@ -12,6 +12,7 @@ import numpy as np
 
 RATE = 64
 OFTEN = 8
+_PIECE = 1 << 17
 _U = np.uint64
 _HALVES = [(_U(h), _U((1 << h) - 1)) for h in (32, 16, 8, 4, 2, 1)]
 
@@ -52,9 +53,9 @@ class EliasFano:
         before = np.concatenate([[0], np.cumsum(np.bitwise_count(high))]).astype(np.int64)
         off = np.flatnonzero(bits[: n + top] == 0)
         words = np.zeros(n * width // 64 + 2, np.uint64)
-        if width and n:
-            place = np.arange(n, dtype=np.int64) * width
-            rest = values & _U((1 << width) - 1)
+        for i in range(0, n, _PIECE) if width else ():
+            place = np.arange(i, min(n, i + _PIECE), dtype=np.int64) * width
+            rest = values[i : i + _PIECE] & _U((1 << width) - 1)
             word, shift = place >> 6, (place & 63).astype(np.uint64)
             np.bitwise_or.at(words, word, rest << shift)
             spill = np.flatnonzero((place & 63) + width > 64)

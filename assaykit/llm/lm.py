@@ -36,6 +36,7 @@ empty table gives an empty result. Other columns are ignored, whatever their nam
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,10 +61,20 @@ _WORD_BYTES = 6
 HASH_BITS = 62
 UNKNOWN = 0
 _PIECE = 1 << 20
+#: Positions that are scored at once, unless one text has more.
+_SCORED = 1 << 18
 _ZSTD = pa.Codec("zstd", compression_level=1)
 _SENT = "row long, block long, shard int, data binary"
 
 
+def release() -> None:
+    """Give what was freed back to the system: a worker waits for later tasks, and would keep the most that one took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def pack(columns: list[np.ndarray]) -> bytes:
     """Columns of numbers from 0 to 2 ** 63, as the compressed planes of the bytes of each."""
     out = []
@@ -94,9 +105,13 @@ def in_order(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     if bits + room > 64:
         order = np.argsort(key, kind="stable")
         return order, key[order]
-    both = (key.astype(np.uint64) << np.uint64(room)) | np.arange(len(key), dtype=np.uint64)
+    both = key.astype(np.uint64)
+    both <<= np.uint64(room)
+    both |= np.arange(len(key), dtype=np.uint64)
     both.sort()
-    return (both & np.uint64((1 << room) - 1)).astype(np.int64), (both >> np.uint64(room)).astype(np.int64)
+    order = both & np.uint64((1 << room) - 1)
+    both >>= np.uint64(room)
+    return order.view(np.int64), both.view(np.int64)
 
 
 def grouped(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,9 +120,12 @@ def grouped(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     order, ordered = in_order(key, bits)
     new = np.ones(len(key), bool)
     new[1:] = ordered[1:] != ordered[:-1]
+    del ordered
     first = np.flatnonzero(new)
+    number = np.cumsum(new)
+    number -= 1
     group = np.empty(len(key), np.int64)
-    group[order] = np.cumsum(new) - 1
+    group[order] = number
     return order, first, np.diff(first, append=len(key)), group
 
 
@@ -200,20 +218,45 @@ class Shard:
         self.words, self.pointers1, self.level2, self.pointers2, self.level3 = (EliasFano(*arrays[i : i + 6]) for i in range(0, 30, 6))
         self.c2, self.c3 = Counts(*arrays[30:33]), Counts(*arrays[33:36])
 
-    @staticmethod
-    def build(w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, count: np.ndarray, size: int) -> list[np.ndarray]:
+    @classmethod
+    def build(cls, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, count: np.ndarray, size: int) -> list[np.ndarray]:
         """The arrays of a shard from trigrams in any order, repeated or not. w2 = size - 1 ends a text, and such rows
         are bigrams only."""
+        return cls.encoded(*cls.distinct([w1, w2, w3, count], size), size)
+
+    @staticmethod
+    def distinct(columns: list[np.ndarray], size: int) -> tuple[np.ndarray, ...]:
+        """First and second words of the distinct bigrams in order; of the distinct trigrams the bigram's number, the third
+        word and the count. columns: first, second and third words and counts, which are taken from the list and let go
+        once they are used, as a shard is the most that a worker holds."""
+        count, w3, w2, w1 = (columns.pop() for _ in range(4))
         least = int(w1.min(initial=size))
         bits = lambda n: int(n).bit_length()
-        order, first2, _, pair = grouped((w1 - least) * size + w2, bits((int(w1.max(initial=least)) - least + 1) * size))
-        p1, p2 = w1[order[first2]], w2[order[first2]]
+        key = w1.astype(np.int64)
+        key -= least
+        key *= size
+        key += w2
+        order, first2, _, pair = grouped(key, bits((int(w1.max(initial=least)) - least + 1) * size))
+        some = order[first2]
+        p1, p2 = w1[some].astype(np.int64), w2[some].astype(np.int64)
+        del key, order, first2, some, w1, w2
         if bits(len(p1)) + bits(size) < 63:
-            order, first3, _, _ = grouped(pair * size + w3, bits(len(p1) * size))
+            key = pair
+            key *= size
+            key += w3
+            order, ordered = in_order(key, bits(len(p1) * size))
+            del key, pair, w3
+            first3 = np.flatnonzero(np.diff(ordered, prepend=-1))
+            ordered = ordered[first3]
+            t, last = ordered // size, ordered % size
         else:
             order = np.lexsort((w3, pair))
             first3 = np.flatnonzero((np.diff(pair[order], prepend=-1) != 0) | (np.diff(w3[order], prepend=-1) != 0))
-        c, t, last = sums_of(count[order], first3), pair[order[first3]], w3[order[first3]]
+            t, last = pair[order[first3]], w3[order[first3]].astype(np.int64)
+        return p1, p2, t, last, sums_of(count[order], first3).astype(np.int64)
+
+    @staticmethod
+    def encoded(p1: np.ndarray, p2: np.ndarray, t: np.ndarray, last: np.ndarray, c: np.ndarray, size: int) -> list[np.ndarray]:
         c2 = np.bincount(t, c, len(p1)).astype(np.int64)
         event = p2[t] != size - 1
         c, t, last = c[event], t[event], last[event]
@@ -222,10 +265,10 @@ class Shard:
         pointers2 = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=len(p1)))])
         out = []
         for values, universe in (
-            (words, size), (np.append(first, len(p1)), len(p1) + 1), (of * size + p2, max(1, len(words)) * size),
-            (pointers2, len(c) + 1), (t * size + last, max(1, len(p1)) * size),
+            (lambda: words, size), (lambda: np.append(first, len(p1)), len(p1) + 1), (lambda: of * size + p2, max(1, len(words)) * size),
+            (lambda: pointers2, len(c) + 1), (lambda: t * size + last, max(1, len(p1)) * size),
         ):
-            out += EliasFano.encode(values, universe).parts()
+            out += EliasFano.encode(values(), universe).parts()
         return out + Counts.encode(c2).parts() + Counts.encode(c).parts()
 
     @staticmethod
@@ -337,16 +380,28 @@ class Block:
             got = [np.concatenate(x) for x in zip(*answers)]
             t1 = np.bincount(self.asker, got[0], self.end).astype(np.int64)
             c2[self.pairs_sent], t2[self.pairs_sent], c3[self.trigrams_sent] = got[1:]
-        sizes = np.diff(self.begin)
+        told, a = [], 0
+        while a < len(self.lengths):
+            z = max(a + 1, int(np.searchsorted(self.begin, self.begin[a] + _SCORED, "right")) - 1)
+            told.append(self._scores(a, z, c1, t1, c2, t2, c3, ends, total, size, others))
+            a = z
+        log, unknown = zip(*told) if told else ((np.zeros(0),), (np.zeros(0, np.int64),))
+        return np.concatenate(log), np.concatenate(unknown)
+
+    def _scores(self, a: int, z: int, c1: np.ndarray, t1: np.ndarray, c2: np.ndarray, t2: np.ndarray, c3: np.ndarray, ends: int, total: int, size: int, others: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Of the texts from a to z, as what is held of each position is many times its text."""
+        start = int(self.begin[a])
+        sizes = np.diff(self.begin[a : z + 1])
         text = np.repeat(np.arange(len(sizes)), sizes)
-        n, at = len(text), self.at
+        mine = slice(*np.searchsorted(self.at, [start, self.begin[z]]))
+        n, at, trigram, pair_at = len(text), self.at[mine] - start, self.trigram[mine], self.pair[mine]
         total = total - sizes[text] if others else total
         if others:
             # entries of one text, which are also in the order of its bigrams and words
             wide = max(1, len(self.third))
-            order, first3, n3, of3 = grouped(text[at] * wide + self.trigram, (len(sizes) * wide).bit_length())
+            order, first3, n3, of3 = grouped(text[at] * wide + trigram, (len(sizes) * wide).bit_length())
             some = order[first3]
-            pair, owner = self.pair[some], text[at][some]
+            pair, owner = pair_at[some], text[at][some]
             first2 = np.flatnonzero((np.diff(pair, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
             of2 = np.repeat(np.arange(len(first2)), np.diff(first2, append=len(some)))
             n2, pair, owner = sums_of(n3, first2), pair[first2], owner[first2]
@@ -354,14 +409,14 @@ class Block:
             first1 = np.flatnonzero((np.diff(word, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
             of1 = np.repeat(np.arange(len(first1)), np.diff(first1, append=len(first2)))
             # a successor that is seen in this text only is none in the others
-            alone3, alone2 = sums_of((n3 == c3[self.trigram[some]]).astype(np.int64), first2), sums_of((n2 == c2[pair]).astype(np.int64), first1)
-            here3 = (c3[self.trigram[some]] - n3)[of3]
+            alone3, alone2 = sums_of((n3 == c3[trigram[some]]).astype(np.int64), first2), sums_of((n2 == c2[pair]).astype(np.int64), first1)
+            here3 = (c3[trigram[some]] - n3)[of3]
             above2, after2 = (c2[pair] - n2)[of2[of3]], (t2[pair] - alone3)[of2[of3]]
             at1 = of1[of2[of3]]
             above1, after1 = (c1[word[first1]] - sums_of(n2, first1))[at1], (t1[word[first1]] - alone2)[at1]
         else:
-            here3, above2, after2 = c3[self.trigram], c2[self.pair], t2[self.pair]
-            above1, after1 = c1[self.rank[at]], t1[self.rank[at]]
+            here3, above2, after2 = c3[trigram], c2[pair_at], t2[pair_at]
+            above1, after1 = c1[self.rank[self.at[mine]]], t1[self.rank[self.at[mine]]]
         p = np.full(n, float(ends - others))
         p[at] = above1
         p = (p + 1) / (total + size)
@@ -371,7 +426,7 @@ class Block:
         i = at[fine] + 1
         p[i] = (above2[fine] + after1[fine] * p[i]) / mass[fine]
         mass = above2 + after2
-        fine = (mass > 0) & (self.p2[self.pair] != self.end)
+        fine = (mass > 0) & (self.p2[pair_at] != self.end)
         i = at[fine] + 2
         p[i] = (here3[fine] + after2[fine] * p[i]) / mass[fine]
         unknown = np.bincount(text[at], above1 == 0, len(sizes)).astype(np.int64)
@@ -489,19 +544,28 @@ def _exchange(docs: DataFrame, text_col: str, made: dict | None, reply: bool, mo
             block.route(numbers, first, many, size)
             shards, data = zip(*m) if (m := list(block.messages(build))) else ((), ())
             yield _record(row, number, list(shards), list(data))
+            del block, data, m
+        del back
+        release()
 
     def own_trigrams(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         path = f"{folder}/trie-{int(key[0])}"
-        held = [unpack(d) for d in group["data"]]
         if build:
+            # messages are held as they came, and unpacked twice
+            narrow, parts = np.uint32 if size < 1 << 32 else np.int64, ([], [], [], [])
+            for a1, n2, a2, n3, a3, c in map(unpack, group["data"]):
+                a1, a2 = np.cumsum(a1).astype(narrow), a2.astype(narrow)
+                for held, x in zip(parts, (np.repeat(np.repeat(a1, n2), n3), np.repeat(a2, n3), a3.astype(narrow), c)):
+                    held.append(x)
             columns = []
-            for a1, n2, a2, n3, a3, c in held:
-                columns.append((np.repeat(np.repeat(np.cumsum(a1), n2), n3), np.repeat(a2, n3), a3, c))
-            write_file(path, Shard.build(*(np.concatenate(x) for x in zip(*columns)), size))
-            del columns
+            for held in parts:
+                columns.append(np.concatenate(held))
+                held.clear()
+            write_file(path, Shard.encoded(*Shard.distinct(columns, size), size))
         trie, out = Shard(read_file(path)), []
-        for a1, n2, a2, n3, a3, _ in held if reply else ():
+        for a1, n2, a2, n3, a3, _ in map(unpack, group["data"]) if reply else ():
             out.append(pack(trie.answer(np.cumsum(a1), n2, a2, n3, a3, size)))
+        release()
         some = group.iloc[: len(out)]
         return pd.DataFrame({"row": some["row"], "block": some["block"], "shard": some["shard"], "data": pd.Series(out, some.index, object)})
 
@@ -528,6 +592,9 @@ def _scored(docs: DataFrame, made: dict, word_path: str, trigram_path: str, most
             yield pa.RecordBatch.from_arrays(
                 [pa.concat_arrays(ids), pa.array(n), pa.array(unknown), pa.array(log, mask=none), pa.array(np.exp(-log / (n + 1)), mask=none)], ["doc_id", "words", "unknown", "log_probability", "perplexity"]
             )
+            del block
+        del words, trigrams
+        release()
 
     return docs.mapInArrow(run, "doc_id long, words long, unknown long, log_probability double, perplexity double")
 

@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
@@ -156,3 +157,31 @@ def test_empty(spark):
 
 def test_word_definition():
     assert WORD_RE.findall("naïve co-op 3x") == ["naïve", "co", "op", "3x"] and re.escape("a") == "a"
+
+
+def test_memory_for_a_position():
+    """What building a shard and scoring a block take is bounded, as several workers share an executor."""
+    rng, size, n = np.random.default_rng(2), 5000, 1_000_000
+    columns = [rng.integers(1, 60, n), rng.integers(1, size, n), rng.integers(1, size, n), np.ones(n, np.int64)]
+    want = lm.Shard.build(*(c.copy() for c in columns), size)
+    words = [f"w{i}" for i in rng.integers(0, 3000, n)]
+    texts = [" ".join(words[i : i + 100]).encode() for i in range(0, n, 100)]
+    block = lm.Block(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]))
+    block.route(np.arange(1, block.end + 1), np.zeros(block.end, np.int64), np.ones(block.end, np.int64), block.end + 2)
+    c1 = np.bincount(block.p1[block.pair])
+    answer = [np.bincount(block.p1, minlength=block.end), np.bincount(block.pair), np.bincount(block.pair_of), block.counts]
+    answer = [answer[0][block.asker], answer[1][block.pairs_sent], answer[2][block.pairs_sent], answer[3][block.trigrams_sent]]
+
+    def peak(f):
+        tracemalloc.start()
+        got = f()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return got, most / n
+
+    scored, most = peak(lambda: block.scores(c1, [answer], len(texts), n + len(texts), block.end + 2, True))
+    assert most < 150
+    assert np.isfinite(scored[0]).all() and len(scored[0]) == len(texts)
+    got, most = peak(lambda: lm.Shard.build(*columns, size))
+    assert all(np.array_equal(a, b) for a, b in zip(got, want))
+    assert most < 110
