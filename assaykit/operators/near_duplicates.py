@@ -70,18 +70,55 @@ def similar_pairs(sets: DataFrame, threshold: float, group: list[str]) -> DataFr
     return _verified(some, candidate_pairs(some, threshold, group), threshold)
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Those of pairs that are as similar. Only sets that are in a pair are moved: a bitmap of BITS, whatever the input, tells
-    them; the few others that it lets through meet nobody."""
-    ensure_checkpoints(sets.sparkSession)
-    pairs = pairs.checkpoint()
+def _in_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id and set of the sets that are in a pair: a bitmap of BITS, whatever the input, tells them; the few others that it
+    lets through meet nobody."""
     at = F.pmod(F.xxhash64("id"), F.lit(BITS))
     ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).select(at.alias("at"))
     held = bytearray(BITS // 8)
     for r in ids.groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("bits")).collect():
         held[r["part"] * 4096 : (r["part"] + 1) * 4096] = r["bits"]
     byte = F.conv(F.hex(F.substring(F.lit(bytes(held)), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    sides = sets.where(F.call_function("getbit", byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1).select("id", "set")
+    return sets.where(F.call_function("getbit", byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1).select("id", "set")
+
+
+def with_parities(sets: DataFrame) -> DataFrame:
+    """id, n and parities of sets: a bit for each value that the low bits of a hash can have, in words of 64, telling whether an
+    odd number of hashes has it. There are as many bits as hashes, at most twice as many, always a power of two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, n = b.column("set").flatten().to_numpy().view(np.uint64), b.column("set").value_lengths().to_numpy().astype(np.int64)
+            wide = 1 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64)
+            starts = np.concatenate([[0], np.cumsum(wide)])
+            place = (values & np.repeat(64 * wide - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(64 * starts[:-1], n)
+            odd = (np.bincount(place, minlength=64 * int(starts[-1])) & 1).astype(np.uint8)
+            words = pa.array(np.packbits(odd, bitorder="little").view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), words)], ["id", "n", "parities"])
+
+    return small_batches(sets.select("id", "set")).mapInArrow(run, "id long, n long, parities array<bigint>")
+
+
+def _maybe_similar(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """pairs without those whose parities tell that they are less similar. Sets that differ in d hashes differ in d bits at
+    most, however many of them there are; of a longer one, the halves are put together. Parities take a 64th or a 32nd of
+    the sets, so only sets that are similar, or nearly so, are moved."""
+    told = with_parities(_in_pairs(sets, pairs))
+    both = pairs.join(told.toDF("u", "nu", "pu"), "u").join(told.toDF("v", "nv", "pv"), "v")
+    longer = F.size("pu") >= F.size("pv")
+    long, short = F.when(longer, F.col("pu")).otherwise(F.col("pv")), F.when(longer, F.col("pv")).otherwise(F.col("pu"))
+    xor, half = lambda a, b: a.bitwiseXOR(b), F.size(short)
+    even = F.when(F.size(long) == half, long).when(F.size(long) == 2 * half, F.zip_with(F.slice(long, F.lit(1), half), F.slice(long, half + 1, half), xor))
+    differ = F.aggregate(F.zip_with(even, short, xor), F.lit(0), lambda n, x: n + F.bit_count(x))
+    most = F.lit((1 - threshold) / (1 + threshold)) * (F.col("nu") + F.col("nv")) + F.lit(_SLACK)
+    return both.where(F.coalesce(differ <= most, F.lit(True))).select("u", "v")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Those of pairs that are as similar."""
+    ensure_checkpoints(sets.sparkSession)
+    pairs = _maybe_similar(sets, pairs.checkpoint(), threshold).checkpoint()
+    sides = _in_pairs(sets, pairs)
     joined = pairs.join(sides.toDF("u", "x"), "u").join(sides.toDF("v", "y"), "v")
     both = F.size(F.array_intersect("x", "y"))
     scored = joined.withColumn("similarity", both / (F.size("x") + F.size("y") - both))

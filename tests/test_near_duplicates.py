@@ -69,3 +69,23 @@ def test_little_is_moved(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def test_unlike_candidates_are_not_moved(spark):
+    """Parities tell candidates that are far from similar, of any length, and lose no pair at the threshold."""
+    rng = random.Random(9)
+    sets = []
+    for size in (6, 60, 130, 500, 3000):
+        base = [rng.randrange(1 << 60) for _ in range(size)]
+        sets += [base, base[: -(-size * 85 // 100)], [*base[: size // 2], *(rng.randrange(1 << 60) for _ in range(size - size // 2))]]
+    df = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "id long, set array<long>")
+    at = {r.id: (r.n, list(r.parities)) for r in near_duplicates.with_parities(df).collect()}
+    for i, x in enumerate(sets):
+        n, words = at[i]
+        assert n == len(x) <= 64 * len(words) <= max(64, 2 * n)
+        assert sum((w & (1 << 64) - 1).bit_count() for w in words) % 2 == n % 2
+    pairs = spark.createDataFrame([(i + a, i + b) for i in range(0, len(sets), 3) for a, b in ((0, 1), (0, 2), (1, 2))], "u long, v long")
+    kept = {(r.u, r.v) for r in near_duplicates._maybe_similar(df, pairs, 0.85).collect()}
+    assert {(i, i + 1) for i in range(0, len(sets), 3)} <= kept
+    assert not kept & {(i + a, i + 2) for i in range(3, len(sets), 3) for a in (0, 1)}
+    assert {(r.u, r.v) for r in near_duplicates._verified(df, pairs, 0.85).collect()} == {(i, i + 1) for i in range(0, len(sets), 3)}
