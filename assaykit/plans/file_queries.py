@@ -66,6 +66,54 @@ def written(spark: SparkSession, table: DataFrame, kind: str, n: int = PARTS) ->
     return _renamed(folder, f".{kind}")
 
 
+def _joined(spark: SparkSession, pieces: list[str], kind: str, n: int = PARTS) -> list[str]:
+    """Files of rows, written by as many tasks as there are, as n files: a task for each copies its pieces' bytes or row groups."""
+    if len(pieces) <= n:
+        return pieces
+    folder = _folder(spark, kind)
+    system, at = storage.system(folder)
+    system.create_dir(at)
+
+    def run(batches):
+        for b in batches:
+            for own in b.column("pieces").to_pylist():
+                name = uuid.uuid4().hex
+                system, at = storage.system(folder)
+                with system.open_output_stream(f"{at}/_{name}") as sink:
+                    (_row_groups if kind == "parquet" else _bytes)(sink, own, kind == "csv")
+                yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    rows = spark.createDataFrame([(i, pieces[i::n]) for i in range(n)], "i int, pieces array<string>").repartitionByRange(n, "i")
+    for r in rows.mapInArrow(run, "name string").collect():
+        system.move(f"{at}/_{r['name']}", f"{at}/part-{r['name']}.{kind}")
+    return list_files(folder)
+
+
+def _bytes(sink, pieces: list[str], headed: bool) -> None:
+    for i, path in enumerate(pieces):
+        with storage.open_file(path) as f:
+            if headed and i:
+                # the names are in one line, quoted
+                while (held := f.read(1 << 16)) and (end := held.find(b"\n")) < 0:
+                    pass
+                sink.write(held[end + 1 :])
+            while held := f.read(1 << 20):
+                sink.write(held)
+
+
+def _row_groups(sink, pieces: list[str], _) -> None:
+    import pyarrow.parquet as pq
+
+    out = None
+    for path in pieces:
+        with storage.open_file(path) as f:
+            read = pq.ParquetFile(f)
+            out = out or pq.ParquetWriter(sink, read.schema_arrow)
+            for i in range(read.num_row_groups):
+                out.write_table(read.read_row_group(i))
+    out.close()
+
+
 def _json(sink, batches) -> None:
     before = "["
     for b in batches:
@@ -188,10 +236,11 @@ def chat_tool_calls(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def file_formats(spark: SparkSession, sf: str) -> DataFrame:
-    """The shape that a file of each kind is told to have."""
+    """The shape that a file of each kind is told to have: PARTS files, whatever the table."""
     docs, out = _documents(spark, sf), None
     for kind in ("jsonl", "csv", "parquet"):
-        one = formats.file_formats(read_records(spark, written(spark, docs, kind))).groupBy("format").agg(F.count_if(F.col("sampled") > 0).alias("files")).select(F.lit(kind).alias("kind"), "format", "files")
+        files = _joined(spark, written(spark, docs, kind, parts_of(sf)), kind)
+        one = formats.file_formats(read_records(spark, files)).groupBy("format").agg(F.count_if(F.col("sampled") > 0).alias("files")).select(F.lit(kind).alias("kind"), "format", "files")
         out = one if out is None else out.union(one)
     return out
 

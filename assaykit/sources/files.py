@@ -84,12 +84,13 @@ def numbered(scan: DataFrame) -> DataFrame:
     blocks = marked.groupBy("__path", "__block").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy("__path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = blocks.select("__path", "__block", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
-    out = marked.join(offsets, ["__path", "__block"]).withColumn("idx", F.col("__at") - F.col("__first") + F.col("__before"))
+    # a row for each block or file, however large; joined otherwise, all rows would be shuffled to them, a block to a task
+    out = marked.join(F.broadcast(offsets), ["__path", "__block"]).withColumn("idx", F.col("__at") - F.col("__first") + F.col("__before"))
     return out.withColumn("path", _local(F.col("__path"))).drop("__path", "__block", "__at", "__first", "__before")
 
 
 def _lines(spark: SparkSession, files: list[tuple[int, str]], raw_text: bool) -> DataFrame:
-    scan = numbered(spark.read.text([storage.full(p) for _, p in files])).join(_mapping(spark, files), "path")
+    scan = numbered(spark.read.text([storage.full(p) for _, p in files])).join(F.broadcast(_mapping(spark, files)), "path")
     # the reader drops a byte-order mark, which is part of the first line
     value = F.when(F.col("bom") & (F.col("idx") == 0), F.concat(F.lit("\ufeff"), "value")).otherwise(F.col("value"))
     lines = scan.select("file", "file_ord", "idx", value.alias("value"))
@@ -220,7 +221,7 @@ def _parquet(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
             groups.setdefault(r["told"]["schema"], []).append(r)
     for own in groups.values():
         named = spark.createDataFrame([(r["path"], r["file"], r["file_ord"]) for r in own], "path string, __file string, __ord int")
-        scan = numbered(spark.read.parquet(*(r["path"] for r in own))).join(named, "path")
+        scan = numbered(spark.read.parquet(*(r["path"] for r in own))).join(F.broadcast(named), "path")
         names = [c for c in scan.columns if c not in ("idx", "path", "__file", "__ord")]
 
         def run(batches, names=names, schema=schema):

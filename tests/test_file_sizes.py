@@ -62,3 +62,32 @@ def test_larger_tables_give_more_files(spark, sf, name, monkeypatch):
     names = [d[0] for d in cursor.description]
     assert sorted(repr(list(r)) for r in got.collect()) == sorted(repr([dict(zip(names, r))[c] for c in got.columns]) for r in cursor.fetchall())
     assert len(made[0]) == file_queries.parts_of(sf) > file_queries.PARTS
+
+
+def test_joined_files_hold_the_pieces_rows(spark, sf, monkeypatch):
+    """Four files, as the SQL asks for, but of pieces that as many tasks write as the table takes."""
+    monkeypatch.setattr(file_queries, "PART_BYTES", 30_000)
+    wrote, written = [], file_queries.written
+    monkeypatch.setattr(file_queries, "written", lambda *a: (wrote.append(written(*a)), wrote[-1])[1])
+    assert sorted(map(tuple, QUERIES["file_formats"](spark, sf).collect())) == [(k, "classification", 4) for k in ("csv", "jsonl", "parquet")]
+    assert [len(pieces) for pieces in wrote] == 3 * [file_queries.parts_of(sf)] and file_queries.parts_of(sf) > file_queries.PARTS
+    row = ["kind", "canonical", "label"]
+    for pieces, kind in zip(wrote, ("jsonl", "csv", "parquet")):
+        files = file_queries._joined(spark, pieces, kind)
+        assert len(files) == file_queries.PARTS
+        assert sorted(map(tuple, read_records(spark, files).select(row).collect())) == sorted(map(tuple, read_records(spark, pieces).select(row).collect()))
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_rows_are_read_where_they_lie(spark, sf, kind):
+    """Places within files come to the rows: no row is shuffled, a block to a task, to be numbered."""
+    files = file_queries.written(spark, file_queries._documents(spark, sf), kind)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = read_records(spark, files)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
