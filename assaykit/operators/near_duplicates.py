@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.batches import small_batches
 from ..functions.records import primary_text
-from ..functions.text import shingle_hashes, words
+from ..functions.text import words
 from .components import connected_components
 from .shared import ensure_checkpoints
 
@@ -31,30 +31,95 @@ MISSED = 0.001
 _SLACK = 1e-9
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def shingled(values: np.ndarray, sizes: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Of records' word hashes, one record after another, with the numbers of their words: the sorted distinct hashes of each
+    record's runs of n words, and how many these are; the words' own hashes of a record with fewer words."""
+    short = sizes < n
+    runs = np.where(short, sizes, sizes - (n - 1))
+    words, whole = values.view(np.uint64), max(len(values) - (n - 1), 0)
+    held = words[:whole]
+    for i in range(1, n):
+        held = _mixed(held) ^ words[i : whole + i]
+    starts = np.cumsum(sizes) - sizes
+    out = np.where(np.repeat(short, sizes), words, np.concatenate([_mixed(held), words[whole:]]))
+    # runs over the end of a record are none
+    out = out[np.arange(len(values)) - np.repeat(starts, sizes) < np.repeat(runs, sizes)].view(np.int64)
+    ends = np.cumsum(runs)
+    for a, b in zip((ends - runs).tolist(), ends.tolist()):
+        out[a:b].sort()
+    first = np.ones(len(out), bool)
+    first[1:] = out[1:] != out[:-1]
+    first[(ends - runs)[runs > 0]] = True
+    before = np.concatenate([[0], np.cumsum(first)])
+    return out[first], before[ends] - before[ends - runs]
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and the lists' sizes."""
+    return column.flatten().to_numpy(), column.value_lengths().to_numpy().astype(np.int64)
+
+
+def _ddl(df: DataFrame, names: list[str]) -> str:
+    of = {f.name: f.dataType.simpleString() for f in df.schema}
+    return "".join(f"`{c}` {of[c]}, " for c in names)
+
+
 def with_sets(records: DataFrame, keys: list[str]) -> DataFrame:
     """keys and set: the sorted hashes of the record's shingles. Blank and unreadable rows have empty sets and stay."""
-    return records.select(*keys, shingle_hashes(words(primary_text(F.col("fields"))), SHINGLE).alias("set"))
+    hashed = records.select(*keys, F.transform(words(primary_text(F.col("fields"))), lambda t: F.xxhash64(t)).alias("words"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), _lists(*shingled(*_flat(b.column("words"))))], [*keys, "set"])
+
+    return small_batches(hashed).mapInArrow(run, _ddl(hashed, keys) + "set array<bigint>")
 
-def _rarest_first(sets: DataFrame) -> DataFrame:
-    """sets with column ordered: a number for each of the set's shingles, rarest first. The number's upper 7 bits, from a byte a
-    counter, tell in quarters of powers of two how often its shingles occur; the rest is the hash's. Shingles that share
-    a number are as one for the prefixes, which so can only find more pairs."""
+
+def _often(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each counter occur, in quarters of powers of two, 7 bits each."""
     counter = F.pmod(F.col("shingle"), F.lit(COUNTERS)).cast("int").alias("counter")
-    often = bytearray(COUNTERS)
+    often = np.zeros(COUNTERS, np.int64)
     for r in sets.select(F.explode("set").alias("shingle")).groupBy(counter).agg(F.count("*").alias("n")).collect():
         often[r["counter"]] = min(127, int(4 * math.log2(1 + r["n"])))
-    rank = F.lit(bytes(often))
-    number = lambda x: F.shiftleft(F.ascii(F.substring(rank, F.pmod(x, F.lit(COUNTERS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
-    return sets.withColumn("ordered", F.sort_array(F.transform("set", number)))
+    return often
+
+
+def prefixes(sets: DataFrame, threshold: float, group: list[str]) -> DataFrame:
+    """group, id, n, place, head: the first of each set's shingles, rarest first, as numbers. A number's upper 7 bits tell how
+    often its counter's shingles occur; the rest is the hash's. Shingles that share a number are as one for the prefixes,
+    which so can only find more pairs. sets: group, id, set, not empty."""
+    often, keys = _often(sets), [*group, "id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, n = _flat(b.column("set"))
+            number = often[values & (COUNTERS - 1)] << 56 | (values.view(np.uint64) >> np.uint64(8)).view(np.int64)
+            ends = np.cumsum(n)
+            for a, e in zip((ends - n).tolist(), ends.tolist()):
+                number[a:e].sort()
+            long = (n - np.ceil(threshold * n - _SLACK) + 1).astype(np.int64)
+            place = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+            head = number[np.repeat(ends - n, long) + place]
+            of = pa.array(np.repeat(np.arange(b.num_rows), long))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(of) for c in keys), pa.array(np.repeat(n, long)), pa.array(place), pa.array(head)], [*keys, "n", "place", "head"])
+
+    return small_batches(sets.select(*keys, "set")).mapInArrow(run, _ddl(sets, keys) + "n bigint, place bigint, head bigint")
 
 
 def candidate_pairs(sets: DataFrame, threshold: float, group: list[str]) -> DataFrame:
     """u, v: the pairs of sets with something in the prefixes that such a similarity takes; sets: group, id, set, not empty."""
-    n, t = F.col("n"), float(threshold)
-    ordered = _rarest_first(sets.withColumn("n", F.size("set")))
-    prefix = F.slice("ordered", F.lit(1), (n - F.ceil(F.lit(t) * n - F.lit(_SLACK)) + 1).cast("int"))
-    heads = ordered.select(*group, "id", "n", F.posexplode(prefix).alias("place", "head"))
+    t = float(threshold)
+    # nothing is null; said of both sides, as the join would say it of one, so that one shuffle serves for both
+    heads = prefixes(sets, t, group).where(" and ".join(f"{c} is not null" for c in ("id", "n", "place", "head")))
     side = lambda s: heads.select(*group, "head", *(F.col(c).alias(c + s) for c in ("id", "n", "place")))
     # asked of both sides together, so that it isn't asked before the shuffle: one serves for both
     leads = F.col("placey") + F.least("placex", F.lit(0)) <= F.col("ny") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("ny") - F.lit(_SLACK))
@@ -88,7 +153,8 @@ def with_parities(sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            values, n = b.column("set").flatten().to_numpy().view(np.uint64), b.column("set").value_lengths().to_numpy().astype(np.int64)
+            values, n = _flat(b.column("set"))
+            values = values.view(np.uint64)
             wide = 1 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64)
             starts = np.concatenate([[0], np.cumsum(wide)])
             place = (values & np.repeat(64 * wide - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(64 * starts[:-1], n)

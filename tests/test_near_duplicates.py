@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,33 @@ def test_unlike_candidates_are_not_moved(spark):
     assert {(i, i + 1) for i in range(0, len(sets), 3)} <= kept
     assert not kept & {(i + a, i + 2) for i in range(3, len(sets), 3) for a in (0, 1)}
     assert {(r.u, r.v) for r in near_duplicates._verified(df, pairs, 0.85).collect()} == {(i, i + 1) for i in range(0, len(sets), 3)}
+
+
+def test_shingles_are_hashed_as_arrays():
+    """Runs of five words within each record, each once; of fewer words, the words. No run goes on in the next record."""
+    rng = random.Random(10)
+    texts = [[rng.randrange(-(1 << 63), 1 << 63) if rng.random() < 0.3 else rng.randrange(4) for _ in range(n)] for n in [0, 1, 3, 4, 5, 6, 0, 40, 300, 5, 2, 0] + [rng.randrange(12) for _ in range(300)]]
+    texts += [texts[8][:], texts[3][:], texts[8][::-1]]
+    values, sizes = near_duplicates.shingled(np.array([w for t in texts for w in t], np.int64), np.array([len(t) for t in texts]))
+    ends = np.cumsum(sizes)
+    got = [values[e - n : e].tolist() for e, n in zip(ends, sizes)]
+    assert all(x == sorted(set(x)) for x in got)
+    named = {}
+    for t, x in zip(texts, got):
+        runs = {tuple(t[i : i + 5]) for i in range(len(t) - 4)} if len(t) >= 5 else {(w,) for w in t}
+        assert len(x) == len(runs)
+        for run in runs:
+            # a run's hash by itself is its hash in any record
+            alone = near_duplicates.shingled(np.array(run, np.int64), np.array([len(run)]))[0].tolist()
+            assert named.setdefault(run, alone) == alone and set(alone) <= set(x)
+    assert len({x for v in named.values() for x in v}) == len(named)
+    assert got[-3] == got[8] != got[-1] and near_duplicates.shingled(np.array([], np.int64), np.array([0, 0]))[1].tolist() == [0, 0]
+
+
+def test_sets_are_made_without_a_lambda_for_each_run(spark):
+    """A lambda of Spark's for each word, run and number took most of the time."""
+    fields = F.array(F.struct(F.lit("text").alias("name"), F.lit("a b c d e f a b c d e").alias("value")))
+    sets = near_duplicates.with_sets(spark.range(3).select("id", fields.alias("fields")), ["id"])
+    assert [(r.id, len(r.set)) for r in sets.orderBy("id").collect()] == [(i, 6) for i in range(3)]
+    plan = sets._jdf.queryExecution().optimizedPlan().toString() + near_duplicates.candidate_pairs(sets, 0.85, [])._jdf.queryExecution().optimizedPlan().toString()
+    assert not [f for f in ("zip_with", "array_distinct", "posexplode") if f in plan]
