@@ -5,6 +5,7 @@ import tracemalloc
 
 import duckdb
 import pyarrow as pa
+import pyarrow.ipc as ipc
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from assaykit.functions import batches
 from assaykit.operators import encoding
 from assaykit.plans import file_queries
 from assaykit.plans.queries import ORACLE_SQL, QUERIES
+from assaykit.sources import arrow, storage
 from assaykit.sources.files import read_records
 from tests.test_records import whole
 
@@ -91,3 +93,55 @@ def test_rows_are_read_where_they_lie(spark, sf, kind):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+class _Counted:
+    """A file that adds up the bytes read of it."""
+
+    closed, read_bytes = False, 0
+
+    def __init__(self, path):
+        self.raw = open(path, "rb")
+
+    def read(self, n=-1):
+        got = self.raw.read(n)
+        _Counted.read_bytes += len(got)
+        return got
+
+    def __getattr__(self, name):
+        return getattr(self.raw, name)
+
+
+def test_arrow_batches_are_listed_without_reading_them(tmp_path, monkeypatch):
+    """One process lists the batches of all files, so it must not read what is in them."""
+    sizes = [300, 0, 1, 700, 45]
+    rng, n = random.Random(7), sum(sizes)
+    every = pa.record_batch({"text": [rng.randbytes(1000).hex() for _ in range(n)], "label": pa.array([rng.choice("ab") for _ in range(n)]).dictionary_encode()})
+    schema = every.schema
+    for name, options in (("plain", {}), ("packed", {"compression": "zstd"}), ("old", {"use_legacy_format": True})):
+        with ipc.new_file(str(tmp_path / f"{name}.arrow"), schema, options=ipc.IpcWriteOptions(**options)) as w:
+            for i, size in enumerate(sizes):
+                w.write_batch(every.slice(sum(sizes[:i]), size))
+    with ipc.new_file(str(tmp_path / "none.arrow"), schema):
+        pass
+    (tmp_path / "bad.arrow").write_bytes(b"ARROW1\0\0" + b"\xff" * 100 + b"ARROW1")
+    files = sorted(map(str, tmp_path.iterdir()))
+    monkeypatch.setattr(storage, "open_file", lambda path: pa.PythonFile(_Counted(path), mode="r"))
+    _Counted.read_bytes = 0
+    got = {}
+    for b in arrow._Reader(list(enumerate(files))).partitions():
+        got.setdefault(b.path.rpartition("/")[2], []).append((b.number, b.first, b.error is None))
+    whole = [(i, sum(sizes[:i]), True) for i in range(len(sizes))]
+    assert got == {"bad.arrow": [(-1, 0, False)], "plain.arrow": whole, "packed.arrow": whole, "old.arrow": whole}
+    assert _Counted.read_bytes < 50_000 < sum(map(storage.size, files)) / 50
+
+
+def test_a_batch_that_only_its_bytes_show_to_be_bad(spark, tmp_path):
+    table = pa.table({"text": [f"{i} " + "x" * 50 for i in range(500)]})
+    with ipc.new_file(str(tmp_path / "torn.arrow"), table.schema, options=ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table, max_chunksize=250)
+    raw = (tmp_path / "torn.arrow").read_bytes()
+    magic = raw.index(b"\x28\xb5\x2f\xfd")
+    (tmp_path / "torn.arrow").write_bytes(raw[:magic] + b"\0" * 4 + raw[magic + 4 :])
+    got = read_records(spark, [str(tmp_path / "torn.arrow")]).groupBy("kind").count().collect()
+    assert sorted(map(tuple, got)) == [("file_error", 1), ("record", 250)]
