@@ -190,9 +190,12 @@ def _whole(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
                     if len(held) == 2000 or chars >= BATCH_BYTES:
                         yield pd.DataFrame(records.rows_of(iter(held)), columns=_NAMES)
                         held, chars = [], 0
-                yield pd.DataFrame(records.rows_of(iter(held)), columns=_NAMES)
+                # without rows a frame's columns have no type that Arrow takes
+                if held:
+                    yield pd.DataFrame(records.rows_of(iter(held)), columns=_NAMES)
 
-    named = spark.createDataFrame([(p, i) for i, p in files], "file string, file_ord int").repartition(len(files))
+    # by range each file is a task; dealt out in turns from several places, some tasks would get three files and others none
+    named = spark.createDataFrame([(p, i) for i, p in files], "file string, file_ord int").repartitionByRange(len(files), "file_ord")
     return named.mapInPandas(run, records.RECORD)
 
 

@@ -14,7 +14,7 @@ from assaykit.operators import encoding
 from assaykit.plans import file_queries
 from assaykit.plans.queries import ORACLE_SQL, QUERIES
 from assaykit.sources import arrow, storage
-from assaykit.sources.files import read_records
+from assaykit.sources.files import list_files, read_records
 from tests.test_records import whole
 
 
@@ -145,3 +145,22 @@ def test_a_batch_that_only_its_bytes_show_to_be_bad(spark, tmp_path):
     (tmp_path / "torn.arrow").write_bytes(raw[:magic] + b"\0" * 4 + raw[magic + 4 :])
     got = read_records(spark, [str(tmp_path / "torn.arrow")]).groupBy("kind").count().collect()
     assert sorted(map(tuple, got)) == [("file_error", 1), ("record", 250)]
+
+
+@pytest.mark.parametrize("kind", ["csv", "tsv", "json"])
+def test_each_file_is_a_task(spark, tmp_path, kind):
+    """Files that are read from their start are read by a task each, so none reads several while others idle."""
+    said = {"csv": "text,label\na,b\n", "tsv": "text\tlabel\na\tb\n", "json": '[{"text": "a", "label": "b"}]'}[kind]
+    for i in range(60):
+        (tmp_path / f"{i}.{kind}").write_text(said)
+    read = read_records(spark, list_files(str(tmp_path))).groupBy(F.spark_partition_id()).agg(F.count_distinct("file"), F.count("*"))
+    assert [tuple(r)[1:] for r in read.collect()] == [(1, 1)] * 60
+
+
+@pytest.mark.parametrize("kind", ["csv", "tsv", "json"])
+def test_a_file_may_end_with_a_batch(spark, tmp_path, kind):
+    """Rows that fill the last batch, and a file without any."""
+    said = {"csv": ("text,label\n", "a,b\n", ""), "tsv": ("text\tlabel\n", "a\tb\n", ""), "json": ("[", '{"text": "a", "label": "b"},', "]")}[kind]
+    for name, n in (("full", 2000), ("none", 0)):
+        (tmp_path / f"{name}.{kind}").write_text(said[0] + (n * said[1]).rstrip(",") + said[2])
+    assert read_records(spark, list_files(str(tmp_path))).where("kind = 'record'").count() == 2000
